@@ -22,14 +22,12 @@ except ImportError:  # Python < 3.11
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
+# Keyed by name: the parser's own constants cannot travel to a worker.
 _CLASS = {
-    sre.CATEGORY_DIGIT: DIGIT, sre.CATEGORY_WORD: WORD, sre.CATEGORY_SPACE: SPACE,
-    sre.CATEGORY_NOT_DIGIT: f"[^{DIGIT}]", sre.CATEGORY_NOT_WORD: f"[^{WORD}]",
-    sre.CATEGORY_NOT_SPACE: f"[^{SPACE}]",
+    "CATEGORY_DIGIT": DIGIT, "CATEGORY_WORD": WORD, "CATEGORY_SPACE": SPACE,
+    "CATEGORY_NOT_DIGIT": f"[^{DIGIT}]", "CATEGORY_NOT_WORD": f"[^{WORD}]", "CATEGORY_NOT_SPACE": f"[^{SPACE}]",
 }
-
-
-_ONE_CHAR = (sre.LITERAL, sre.NOT_LITERAL, sre.ANY, sre.IN)
+_ONE_CHAR = ("LITERAL", "NOT_LITERAL", "ANY", "IN")
 
 
 class NotTranslatable(Exception):
@@ -57,7 +55,7 @@ def _members(items) -> str:
         elif op is sre.RANGE:
             out.append(f"{_char(av[0])}-{_char(av[1])}")
         elif op is sre.CATEGORY:
-            out.append(_CLASS[av])
+            out.append(_CLASS[str(av)])
         else:
             raise NotTranslatable(str(op))
     return "".join(out)
@@ -157,7 +155,7 @@ def _emit(items) -> str:
             low, high, sub = av
             top = "" if high is sre.MAXREPEAT else str(high)
             lazy = "?" if op is sre.MIN_REPEAT else ""
-            body, single = _emit(list(sub)), len(sub) == 1 and sub[0][0] in _ONE_CHAR
+            body, single = _emit(list(sub)), len(sub) == 1 and str(sub[0][0]) in _ONE_CHAR
             out.append((body if single else f"(?:{body})") + f"{{{low},{top}}}{lazy}")
         elif op in (sre.ASSERT, sre.ASSERT_NOT):
             sign = "=" if op is sre.ASSERT else "!"

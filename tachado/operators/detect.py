@@ -18,7 +18,7 @@ from tachado import constants as K
 from tachado.functions import patterns
 from tachado.functions.text import as_col, is_blank
 from tachado.operators.overlap import explode_entities
-from tachado.schemas import CANDIDATE, CANDIDATE_FIELDS, CANDIDATES
+from tachado.schemas import CANDIDATE, CANDIDATES
 
 _SPANS = "array<struct<start_offset:int,end_offset:int,text:string>>"
 
@@ -134,22 +134,26 @@ def page_candidates(pages: DataFrame, rules: Iterable | None = None, base_offset
         for i, _, j in native])
     if other:
         out = out.withColumn("_py", F.when(is_blank(text), None).otherwise(_python_spans([r for _, r in other])(text)))
-    found = {}
-    for i, r, j in native:
-        m = F.col(f"_m{i}")
-        found[i] = F.when(F.size(m) > 0, _as_candidates(_spans(text, m, F.lit(j.pattern)), F.lit(r["type"]), base_offset))
-    for n, (i, r) in enumerate(other):
-        found[i] = F.when(F.size(F.get("_py", F.lit(n))) > 0,
-                          _as_candidates(F.get("_py", F.lit(n)), F.lit(r["type"]), base_offset))
-    if not found:
+    # What each rule found, as one array, so the plan states the rest once however many rules there are.
+    hits = []
+    for i, r, j in stated:
+        slot = [k for k, _ in other].index(i) if j is None else None
+        hits.append(F.struct(
+            F.lit(r["type"]).alias("type"), F.lit(j.pattern if j else None).cast("string").alias("jvm"),
+            (F.col(f"_m{i}") if j else F.array().cast("array<string>")).alias("m"),
+            (F.get("_py", F.lit(slot)) if j is None else F.lit(None).cast(_SPANS)).alias("spans")))
+    if not hits:
         return out.select(*kept, none.alias("candidates"))
-    hit = F.lit(False)
-    for i, _, _ in native:
-        hit = hit | (F.size(f"_m{i}") > 0)
-    if other:
-        hit = hit | F.col("_py").isNotNull()
-    every = F.concat(*[F.coalesce(found[i], none) for i in sorted(found)])
-    return out.select(*kept, F.when(hit, numbered(every)).otherwise(none).alias("candidates"))
+    found = F.filter(F.array(*hits), lambda h: (F.size(h["m"]) > 0) | (F.size(h["spans"]) > 0))
+    out = out.select(*kept, found.alias("_found"))
+    return out.select(*kept, F.when(F.size("_found") > 0, _candidates_of(text, F.col("_found"), base_offset))
+                      .otherwise(none).alias("candidates"))
+
+
+def _candidates_of(text: Column, found: Column, base_offset: int = 0) -> Column:
+    """Candidates of the rules that found something, in rule and match order."""
+    return numbered(F.flatten(F.transform(found, lambda h: _as_candidates(
+        F.coalesce(h["spans"], _spans(text, h["m"], h["jvm"])), h["type"], base_offset))))
 
 
 def _matches(text: Column, pattern: Column, required, digits: Column | None) -> Column:
@@ -167,8 +171,7 @@ def _matches(text: Column, pattern: Column, required, digits: Column | None) ->
 def detect_rules(pages: DataFrame, rules: Iterable | None = None, base_offset: int = 0,
                  engine: str = "jvm") -> DataFrame:
     """Every non-overlapping match of every usable rule, one row per match."""
-    found = page_candidates(pages, rules, base_offset, engine)
-    return explode_entities(found.filter(F.size("candidates") > 0), "candidates")
+    return explode_entities(page_candidates(pages, rules, base_offset, engine), "candidates")
 
 
 def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -186,19 +189,20 @@ def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
     with_py = joined.withColumn("_py", _python_user_spans(
         F.when(F.exists("_rules", lambda r: r["jvm"].isNull()), text),
         F.transform(F.filter("_rules", lambda r: r["jvm"].isNull()), lambda r: r["pattern"])))
-    native = F.transform("_rules", lambda r: F.struct(
-        r.alias("r"),
-        F.when(r["jvm"].isNull() | F.exists(r["required"], lambda x: ~F.contains(text, x)), F.array().cast("array<string>"))
-        .otherwise(F.regexp_extract_all(text, r["jvm"], F.lit(0))).alias("m")))
-    matched = with_py.withColumn("_native", native)
-    # Position of a rule among the user's fallback rules gives its slot in ``_py``.
-    slots = F.transform("_native", lambda n, i: F.size(F.filter(F.slice("_rules", 1, i), lambda r: r["jvm"].isNull())))
-    per_rule = F.transform(F.arrays_zip(F.col("_native").alias("n"), slots.alias("slot")), lambda z: F.when(
-        z["n"]["r"]["jvm"].isNull(), _as_candidates(F.coalesce(F.get("_py", z["slot"]), F.array().cast(_SPANS)), z["n"]["r"]["type"]))
-        .when(F.size(z["n"]["m"]) > 0, _as_candidates(_spans(text, z["n"]["m"], z["n"]["r"]["jvm"]), z["n"]["r"]["type"]))
-        .otherwise(F.array().cast(CANDIDATES)))
-    every = F.coalesce(numbered(F.flatten(per_rule)), F.array().cast(CANDIDATES))
-    return matched.select(*pages.columns, every.alias("candidates"))
+    nothing = F.array().cast("array<string>")
+
+    def look(r, i):
+        # A fallback rule's place among the user's fallback rules is its slot in ``_py``.
+        slot = F.size(F.filter(F.slice("_rules", F.lit(1), i), lambda q: q["jvm"].isNull()))
+        skip = r["jvm"].isNull() | F.exists(r["required"], lambda x: ~F.contains(text, x))
+        return F.struct(r["type"].alias("type"), r["jvm"].alias("jvm"),
+                        F.when(skip, nothing).otherwise(F.regexp_extract_all(text, r["jvm"], F.lit(0))).alias("m"),
+                        F.when(r["jvm"].isNull(), F.get("_py", slot)).alias("spans"))
+
+    found = F.filter(F.transform("_rules", look), lambda h: (F.size(h["m"]) > 0) | (F.size(h["spans"]) > 0))
+    matched = with_py.withColumn("_found", found)
+    return matched.select(*pages.columns, F.when(F.size("_found") > 0, _candidates_of(text, F.col("_found")))
+                          .otherwise(F.array().cast(CANDIDATES)).alias("candidates"))
 
 
 @pandas_udf(f"array<{_SPANS}>")

@@ -200,7 +200,7 @@ def model_candidates(pages: DataFrame, types: list[str] | None = None) -> DataFr
 
 def locate_entities(pages: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Located model entities, one row each."""
-    return explode_entities(model_candidates(pages, types).filter(F.size("candidates") > 0), "candidates")
+    return explode_entities(model_candidates(pages, types), "candidates")
 
 
 def map_types(entities: DataFrame, mapping: dict | None = None) -> DataFrame:

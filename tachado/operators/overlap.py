@@ -131,8 +131,13 @@ def _per_page(entities: DataFrame, settle, keys) -> DataFrame:
 
 
 def explode_entities(pages: DataFrame, column: str, keys=("doc_id", "page")) -> DataFrame:
-    """One row per entity of the page arrays."""
-    return pages.select(*keys, F.explode(column).alias("_e")).select(
+    """One row per entity of the page arrays.
+
+    The array is not exploded as a bare column: the optimizer would add a filter on
+    its size and push it below the matching, which would then run twice.
+    """
+    present = F.filter(column, lambda e: e["ord"].isNotNull())
+    return pages.select(*keys, F.explode(present).alias("_e")).select(
         *keys, *[F.col(f"_e.{f}").alias(f) for f in CANDIDATE_FIELDS])
 
 

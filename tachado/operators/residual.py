@@ -20,7 +20,6 @@ def residual_scan(masked_pages: DataFrame, rules: Iterable | None = None) -> Dat
     A label that was put there (``[TYPE-R]``) is not personal data: hits inside one go.
     """
     found = page_candidates(masked_pages.withColumn("text", F.col("masked_text")), rules)
-    hits = found.filter(F.size("candidates") > 0)
     label = r"\[[^\[\]\s]+\]"
     spans = F.split("text", label, -1)
     labels = F.regexp_extract_all("text", F.lit(label), F.lit(0))
@@ -33,7 +32,7 @@ def residual_scan(masked_pages: DataFrame, rules: Iterable | None = None) -> Dat
                 (acc["at"] + F.length(z["p"])).alias("s"),
                 (acc["at"] + F.length(z["p"]) + F.length(z["m"])).alias("e")))).alias("out")),
         lambda acc: acc["out"])
-    hits = hits.withColumn("_labels", places)
+    hits = found.withColumn("_labels", F.when(F.size("candidates") > 0, places))
     kept = F.filter("candidates", lambda c: ~F.exists(
         "_labels", lambda p: (c["start_offset"] >= p["s"]) & (c["end_offset"] <= p["e"])))
     return explode_entities(hits.withColumn("candidates", kept), "candidates")
@@ -48,7 +47,7 @@ def scan_status(docs: DataFrame, enabled: DataFrame, available: bool = True) ->
 
 def scan_scopes(originals: DataFrame, masked: DataFrame, rules: Iterable | None = None) -> DataFrame:
     """Hits by scope and type, before and after masking."""
-    before = page_candidates(originals, rules).filter(F.size("candidates") > 0)
+    before = page_candidates(originals, rules)
     before = explode_entities(before, "candidates").select(F.lit(K.SCOPES[K.ROOT_ORIGINALS]).alias("scope"), "type")
     after = residual_scan(masked, rules).select(F.lit(K.SCOPES[K.ROOT_MASKED]).alias("scope"), "type")
     return before.unionByName(after).groupBy("scope", "type").agg(F.count(F.lit(1)).alias("findings"))

@@ -55,7 +55,7 @@ def mask_pages(pages: DataFrame, rules: Iterable | DataFrame | None = None, labe
 
 def entities_of(found: DataFrame) -> DataFrame:
     """Entity rows of detected pages."""
-    return explode_entities(found.filter(F.size("entities") > 0), "entities")
+    return explode_entities(found, "entities")
 
 
 def document_summary(found: DataFrame, model_id: str = K.DEFAULT_MODEL_ID, keys=("doc_id",)) -> DataFrame:
