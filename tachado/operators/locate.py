@@ -81,7 +81,9 @@ def locate_tolerant(entities: DataFrame, words: DataFrame, fields: list[str] | N
 
 
 def _grams(x: Column, n: int) -> Column:
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    """The different runs of ``n`` characters of a text, each with its size."""
+    runs = F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    return F.transform(runs, lambda g: F.struct(F.lit(n).alias("_size"), g.alias("_key")))
 
 
 _GRAMS = [6, 3, 2, 1]
@@ -109,8 +111,7 @@ def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("page_text"), F.lit(r"[^\p{L}\p{Nd}]"), F.lit(0)))
     index = mine.select("doc_id", "page", F.explode(F.concat(
         F.transform(separators, lambda g: F.struct(F.lit(0).alias("_size"), g.alias("_key"))),
-        *[F.transform(_grams(F.col("_n"), n), lambda g, n=n: F.struct(F.lit(n).alias("_size"), g.alias("_key")))
-          for n in _GRAMS])).alias("g")).select("doc_id", "page", "g.*")
+        *[_grams(F.col("_n"), n) for n in _GRAMS])).alias("g")).select("doc_id", "page", "g.*")
     maybe = keyed.join(index, ["doc_id", "_size", "_key"]).select("doc_id", "page", "text", "_t")
 
     tokens = F.filter(F.split("page_text", r"[\p{IsWhite_Space}\x1c-\x1f]+", -1), lambda w: w != "")

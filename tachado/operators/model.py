@@ -6,7 +6,7 @@ import json
 from typing import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
@@ -48,7 +48,7 @@ def score_pages(prompts: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series],
     """
     t = temperature if isinstance(temperature, Column) else F.lit(temperature)
     ready = prompts.withColumn("temperature", clamp01(t))
-    schema = ready.schema.add("response", "string").add("model_error", "string")
+    schema = T.StructType([*ready.schema.fields, T.StructField("response", T.StringType()), T.StructField("model_error", T.StringType())])
 
     def one_by_one(frame: pd.DataFrame):
         for i in range(len(frame)):

@@ -27,12 +27,12 @@ def dead_letters(failures: DataFrame, source: str = "intake") -> DataFrame:
 def metric_points(errors: DataFrame) -> DataFrame:
     """One count per error: of a service (with its error type, if any) or of a pipeline step.
 
-    ``errors`` has ts, service, error_type and step; a row with a service is a service error.
+    ``errors`` has ts, service, error_type and error_step; a row with a service is a service error.
     """
     of_service = F.col("service").isNotNull()
     dims = F.when(of_service, F.create_map(F.lit("ServiceName"), F.col("service"), F.lit("ErrorType"),
                                            F.nullif("error_type", F.lit("")))).otherwise(
-        F.create_map(F.lit("ErrorStep"), F.col("step")))
+        F.create_map(F.lit("ErrorStep"), F.col("error_step")))
     name = F.when(of_service, "ServiceInvocationError").otherwise("PipelineError")
     return errors.select("ts", name.alias("name"), F.map_filter(dims, lambda k, v: v.isNotNull()).alias("dims"),
                          F.lit(1.0).alias("value"), F.lit("Count").alias("unit"))

@@ -904,14 +904,15 @@ def stream_residual(spark, d):
 @query
 def stream_alarms(spark, d):
     m = _stream(spark, d, "events").select("ts", F.col("event_type").alias("name"), "value")
-    return _drained(flows.alarm_stream(m, default=60.0).withColumn("total", F.round("total", 4)))
+    out = _drained(flows.alarm_stream(m, default=60.0).withColumn("total", F.round("total", 4)))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query
 def stream_deduplicated(spark, d):
     e = _stream(spark, d, "events").select("event_id", F.col("user_id"), F.get_json_object("props", "$.k").alias("document_id"), "ts")
     twice = e.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    return _drained(flows.dedup_arrivals(twice))
+    return _drained(flows.dedup_arrivals(twice)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query

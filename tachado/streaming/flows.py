@@ -53,25 +53,30 @@ def alarm_stream(metrics: DataFrame, watermark: str = "10 minutes", width: str =
 
     A window without points emits nothing: missing data does not breach.
     """
-    sums = metrics.withWatermark("ts", watermark).groupBy(in_window_struct(width), "name").agg(F.sum("value").alias("total"))
+    sums = timed(metrics).withWatermark("ts", watermark).groupBy(in_window_struct(width), "name").agg(F.sum("value").alias("total"))
     return sums.filter(F.col("total") > default).select(F.col("window.start").alias("window_start"), "name", "total")
 
 
 def latency_stream(metrics: DataFrame, watermark: str = "10 minutes", width: str = K.WINDOW,
                    limit: float = K.LATENCY_P99_MS, accuracy: int = 10000) -> DataFrame:
     """Windows whose 99th percentile is over the limit (X2); a stream keeps a sketch, not the values."""
-    p = metrics.withWatermark("ts", watermark).groupBy(in_window_struct(width), "name").agg(
+    p = timed(metrics).withWatermark("ts", watermark).groupBy(in_window_struct(width), "name").agg(
         F.percentile_approx("value", 0.99, accuracy).alias("p99"))
     return p.filter(F.col("p99") > limit).select(F.col("window.start").alias("window_start"), "name", "p99")
 
 
+def timed(df: DataFrame) -> DataFrame:
+    """Event time as a timestamp with a zone, which watermarks need."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def in_window_struct(width: str):
     return F.window("ts", width).alias("window")
 
 
 def dedup_arrivals(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """One notification per file within the watermark: a file sent again is the same document."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "document_id", "event_id"])
+    return timed(events).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "document_id", "event_id"])
 
 
 def status_stream(events: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def stuck_documents(events: DataFrame, timeout: str = "10 minutes", watermark: s
         state.update((status, since))
         state.setTimeoutTimestamp(max(since + limit_ms, state.getCurrentWatermarkMs() + 1))
 
-    typed = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("user_id", F.col("user_id").cast("string"))
+    typed = timed(events).withColumn("user_id", F.col("user_id").cast("string"))
     return (typed.withWatermark("ts", watermark).groupBy("user_id", "document_id")
             .applyInPandasWithState(advance, _STUCK, "status string, since long", "append",
                                     GroupStateTimeout.EventTimeTimeout))
