@@ -118,10 +118,10 @@ MODEL = """names AS (
     unnest(range(0, len(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')))) AS i FROM pg WHERE len(text) % 5 <> 0),
 seen AS (SELECT doc_id, page, left(text, 10000) AS text, name, i FROM names),
 spots AS (
-  SELECT doc_id, page, text, name, i, CAST(instr(text, name) AS BIGINT) AS at FROM seen WHERE contains(text, name)
+  SELECT doc_id, page, text, name, i, CAST(instr(text, name) AS BIGINT) AS pos FROM seen WHERE contains(text, name)
   UNION ALL
-  SELECT doc_id, page, text, name, i, at + instr(substring(text, at + 1), name) FROM spots WHERE instr(substring(text, at + 1), name) > 0),
-placed AS (SELECT doc_id, page, name, i, arg_min(at - 1, (abs(at - 1 - i * 50), at)) AS s FROM spots GROUP BY ALL),
+  SELECT doc_id, page, text, name, i, pos + instr(substring(text, pos + 1), name) FROM spots WHERE instr(substring(text, pos + 1), name) > 0),
+placed AS (SELECT doc_id, page, name, i, arg_min(pos - 1, (abs(pos - 1 - i * 50), pos)) AS s FROM spots GROUP BY ALL),
 by_model AS (
   SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS INTEGER) AS ord, 'NOMBRE' AS type,
     CAST(s AS INTEGER) AS start_offset, CAST(s + len(name) AS INTEGER) AS end_offset, name AS text, 'bedrock' AS source, 0.85::DOUBLE AS confidence FROM placed)"""
@@ -142,15 +142,13 @@ sql("detect_every_rule", [DOC_PAGES, found_ctes(True)], f"SELECT {_ENTITY} FROM
 sql("page_html_rules", ["pg AS (SELECT page_id AS doc_id, 1 AS page, html AS text FROM pages)",
                         found_ctes(True, only=("EMAIL", "DNI", "FECHA", "TARJETA_CREDITO"))], f"SELECT {_ENTITY} FROM found")
 sql("detect_user_rules", [DOC_PAGES, found_ctes(False, only=("EMAIL",)),
-    r"""digits AS (SELECT doc_id, page, unnest(range(1, len(text) + 1)) AS p, string_split(text, '') AS ch FROM pg),
-marked AS (SELECT doc_id, page, p, ch[p] AS c, CASE WHEN ch[p] BETWEEN '0' AND '9' AND ch[p] IS NOT DISTINCT FROM ch[p - 1] THEN 0 ELSE 1 END AS fresh FROM
-  (SELECT doc_id, page, p, ch FROM digits WHERE ch[p] BETWEEN '0' AND '9')),
-runs AS (SELECT doc_id, page, c, p, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY p) AS r FROM marked),
-same AS (SELECT doc_id, page, min(p) - 1 AS s, count(*) AS n, min(c) AS c FROM runs GROUP BY doc_id, page, r HAVING count(*) >= 4),
+    """rep AS (SELECT doc_id, page, regexp_extract_all(text, rx) AS m, string_split_regex(text, rx) AS s FROM
+  (SELECT *, '0{4,}|1{4,}|2{4,}|3{4,}|4{4,}|5{4,}|6{4,}|7{4,}|8{4,}|9{4,}' AS rx FROM pg) WHERE regexp_matches(text, rx)),
 both_rules AS (
-  SELECT 0 AS b, doc_id, page, type, start_offset, end_offset, text FROM found
-  UNION ALL SELECT 1, doc_id, page, 'REPETIDO', CAST(s AS INTEGER), CAST(s + n AS INTEGER), repeat(c, n) FROM same)"""],
-    "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY b, start_offset) - 1 AS INTEGER) AS ord, type, start_offset, end_offset, text, 'regex' AS source, 0.95::DOUBLE AS confidence FROM both_rules")
+  SELECT 0 AS b, doc_id, page, type, start_offset, text FROM found
+  UNION ALL SELECT 1, doc_id, page, 'REPETIDO', CAST(list_sum(list_transform(s[:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: len(x))), 0) AS INTEGER), m[k]
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM rep))"""],
+    "SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY b, start_offset) - 1 AS INTEGER) AS ord, type, start_offset, CAST(start_offset + len(text) AS INTEGER) AS end_offset, text, 'regex' AS source, 0.95::DOUBLE AS confidence FROM both_rules")
 sql("blank_pages", [], r"SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE regexp_matches(t, '[^\s]') GROUP BY 1")
 
 CONFIG = """cfg AS (
@@ -208,9 +206,9 @@ named AS (SELECT doc_id, page, k, m[k] AS text, CAST(list_sum(list_transform(s[:
   FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hits))"""],
     "SELECT doc_id, page, CAST(k - 1 AS INTEGER) AS ord, 'NOMBRE' AS type, start_offset, CAST(start_offset + len(text) AS INTEGER) AS end_offset, text, 'bedrock' AS source, 0.85::DOUBLE AS confidence FROM named")
 sql("find_all", ["""spots AS (
-  SELECT doc_id, text, CAST(1 AS BIGINT) AS at FROM documents WHERE text <> ''
-  UNION ALL SELECT doc_id, text, at + instr(substring(text, at + 1), left(text, 4)) FROM spots WHERE instr(substring(text, at + 1), left(text, 4)) > 0)"""],
-    "SELECT doc_id, CAST(at - 1 AS INTEGER) AS pos FROM spots")
+  SELECT doc_id, text, CAST(1 AS BIGINT) AS pos FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, pos + instr(substring(text, pos + 1), left(text, 4)) FROM spots WHERE instr(substring(text, pos + 1), left(text, 4)) > 0)"""],
+    "SELECT doc_id, CAST(pos - 1 AS INTEGER) AS pos FROM spots")
 sql("map_types", [], """SELECT event_id, CASE event_type WHEN 'view' THEN 'NOMBRE' WHEN 'signup' THEN 'EMAIL' WHEN 'click' THEN 'TELEFONO' WHEN 'purchase' THEN 'FECHA' END AS type
   FROM events WHERE event_type <> 'error'""")
 
@@ -335,7 +333,58 @@ laid AS (SELECT *, (word_ord % 8) * 60.0 AS x0, (word_ord // 8) * 12.0 AS y0, (w
 sql("font_sizes", ["pg AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations)", LAID],
     """SELECT b.doc_id, b.page, CAST(b.word_ord AS INTEGER) AS word_ord, CAST(s.n + 6 AS DOUBLE) AS font_size FROM laid b
   JOIN (SELECT doc_id, page, line, count(*) AS n FROM laid GROUP BY 1, 2, 3) s USING (doc_id, page, line) WHERE len(b.text) > 9""")
+# Two neighbouring words of each page as a model would spell them, and where their letters run in the page's words.
+_NORMAL = "regexp_replace(lower(strip_accents({0})), '[' || chr(9) || chr(10) || chr(13) || ' \\-–—.,;:()\\[\\]{{}}/\\\\|+*°#''\"]', '', 'g')"
+sql("normalized_words", [], f"""SELECT text, {_NORMAL.format('text')} AS normal FROM (
+  SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS text FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE text <> ''""")
+SPOKEN = f"""tok AS (SELECT doc_id, page, w, len(w) AS n FROM (SELECT doc_id, page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM pg) WHERE len(w) > 4),
+spoken AS (SELECT doc_id, page, 0 AS ord, lower(w[n - 2]) || ' - ' || lower(w[n - 1]) AS text FROM tok UNION ALL SELECT doc_id, page, 1, w[1] FROM tok),
+targets AS (SELECT doc_id, page, ord, {_NORMAL.format('text')} AS t FROM spoken)"""
+RUNS = f"""nw AS (SELECT *, {_NORMAL.format('text')} AS norm FROM laid),
+full_words AS (SELECT *, sum(len(norm)) OVER (PARTITION BY doc_id, page ORDER BY word_ord) - len(norm) AS s FROM nw WHERE norm <> ''),
+whole AS (SELECT doc_id, page, string_agg(norm, '' ORDER BY word_ord) AS nn FROM full_words GROUP BY 1, 2),
+starts AS (SELECT t.doc_id, t.page, t.ord, t.t, f.word_ord AS first_word, f.s + len(t.t) AS until FROM targets t JOIN whole USING (doc_id, page)
+  JOIN full_words f ON f.doc_id = t.doc_id AND f.page = t.page AND f.norm[1] = t.t[1] WHERE t.t <> '' AND substring(nn, CAST(f.s AS BIGINT) + 1, len(t.t)) = t.t),
+spans AS (SELECT a.doc_id, a.page, a.ord, a.first_word, f.word_ord AS last_word FROM starts a JOIN full_words f ON f.doc_id = a.doc_id AND f.page = a.page AND f.s < a.until AND f.s + len(f.norm) >= a.until),
+lists AS (SELECT doc_id, page, ord, list({{'a': first_word, 'b': last_word}} ORDER BY first_word) AS c FROM spans GROUP BY 1, 2, 3),
+going AS (SELECT doc_id, page, ord, c, CAST(1 AS BIGINT) AS i, c[:0] AS kept FROM lists
+  UNION ALL SELECT doc_id, page, ord, c, i + 1, CASE WHEN len(kept) > 0 AND c[i].a <= kept[len(kept)].b THEN kept ELSE list_append(kept, c[i]) END FROM going WHERE i <= len(c)),
+runs AS (SELECT doc_id, page, ord, CAST(k - 1 AS INTEGER) AS occurrence, CAST(kept[k].a AS INTEGER) AS first_word, CAST(kept[k].b AS INTEGER) AS last_word
+  FROM (SELECT *, unnest(range(1, len(kept) + 1)) AS k FROM going WHERE i = len(c) + 1)),
+boxed AS (SELECT doc_id, page, ord, occurrence, CAST(row_number() OVER (PARTITION BY doc_id, page, ord, occurrence ORDER BY line) - 1 AS INTEGER) AS box, x0, y0, x1, y1 FROM (
+  SELECT r.doc_id, r.page, ord, occurrence, line, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1
+  FROM runs r JOIN laid l ON l.doc_id = r.doc_id AND l.page = r.page AND l.word_ord BETWEEN first_word AND last_word GROUP BY 1, 2, 3, 4, 5))"""
+_RUN_CTES = [SPLIT_PAGES, LAID, SPOKEN, RUNS]
+sql("locate_tolerant", _RUN_CTES, "SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, occurrence, first_word, last_word FROM runs")
+sql("boxes_per_line", _RUN_CTES, "SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, occurrence, box, x0, y0, x1, y1 FROM boxed")
+# The boxes of one text never meet, and its second text is a single word: it goes if the first covers half of it.
+sql("dedup_boxes", _RUN_CTES, """SELECT doc_id, page, count(*) AS boxes, sum(x0) AS x0, sum(y1) AS y1 FROM boxed b WHERE ord = 0 OR NOT EXISTS (
+  SELECT 1 FROM boxed k WHERE k.doc_id = b.doc_id AND k.page = b.page AND k.ord = 0
+    AND greatest(0, least(b.x1, k.x1) - greatest(b.x0, k.x0)) * greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0))
+      >= 0.5 * least((b.x1 - b.x0) * (b.y1 - b.y0), (k.x1 - k.x0) * (k.y1 - k.y0))) GROUP BY 1, 2""")
 STRAYS = """strays AS (SELECT doc_id, CAST(page + start_offset % 2 AS INTEGER) AS page, ord, start_offset, CASE WHEN start_offset % 7 = 0 THEN text || '@@' ELSE text END AS text FROM found)"""
+# Brute force: every page of the document against every text, as it is and by its letters from a word's start.
+ANYWHERE = f"""need AS (SELECT DISTINCT doc_id, text, {_NORMAL.format('text')} AS t FROM strays),
+pw AS (SELECT doc_id, page, text, list_filter(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: {_NORMAL.format('x')}), lambda x: x <> '') AS w
+  FROM pg WHERE doc_id IN (SELECT doc_id FROM strays)),
+pn AS (SELECT doc_id, page, text, ' ' || array_to_string(w, ' ') AS joined FROM pw),
+hits AS (SELECT n.doc_id, n.text, p.page FROM need n JOIN pn p USING (doc_id) WHERE contains(p.text, n.text)
+  OR (n.t <> '' AND regexp_matches(p.joined, ' ' || array_to_string(list_transform(string_split(n.t, ''), lambda c: regexp_escape(c)), ' ?')))),
+first_page AS (SELECT doc_id, text, min(page) AS found_page FROM hits GROUP BY 1, 2)"""
+_STRAY = [SPLIT_PAGES, found_ctes(True), STRAYS, ANYWHERE]
+sql("locate_any_page", _STRAY, "SELECT doc_id, page, ord, text, found_page FROM strays JOIN first_page USING (doc_id, text)")
+sql("locate_cascade", _STRAY, """SELECT s.doc_id, s.page, start_offset || '/' || ord AS ord,
+  CASE WHEN contains(p.text, s.text) THEN 'exact' WHEN h.page IS NOT NULL THEN 'tolerant' WHEN found_page IS NOT NULL THEN 'other_page' ELSE 'missing' END AS how,
+  CASE WHEN h.page IS NOT NULL THEN s.page ELSE found_page END AS found_page
+  FROM strays s LEFT JOIN pg p USING (doc_id, page) LEFT JOIN hits h ON h.doc_id = s.doc_id AND h.page = s.page AND h.text = s.text LEFT JOIN first_page f ON f.doc_id = s.doc_id AND f.text = s.text""")
+# Half a minute up is the binary value's, so seconds are rounded on 2^52 parts.
+sql("display_texts", ["v AS (SELECT event_id, value, CASE WHEN value > 1 THEN CAST(floor(value * value * 10) AS BIGINT) END AS ms, CAST(floor(value * value * 997) AS BIGINT) AS size, CAST(round(value, 1) AS DECIMAL(12, 2)) AS n FROM events)"],
+    """SELECT event_id, CASE WHEN ms IS NULL THEN '—' WHEN ms < 1000 THEN ms || ' ms'
+    WHEN ms < 60000 THEN (CAST(ms / 1000.0::DOUBLE * 4503599627370496 AS HUGEINT) * 20 + 4503599627370496) // 9007199254740992 // 10 || '.' || (CAST(ms / 1000.0::DOUBLE * 4503599627370496 AS HUGEINT) * 20 + 4503599627370496) // 9007199254740992 % 10 || ' s'
+    ELSE ms // 60000 || 'm ' || (ms % 60000 + 500) // 1000 || 's' END AS took,
+  CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN (size * 10 + 512) // 1024 // 10 || '.' || (size * 10 + 512) // 1024 % 10 || ' KB'
+    ELSE (size * 100 + 524288) // 1048576 // 100 || '.' || lpad(CAST((size * 100 + 524288) // 1048576 % 100 AS VARCHAR), 2, '0') || ' MB' END AS size,
+  greatest(0.0, least(1.0, value / 50)) AS clamped, CASE WHEN n % 1 = 0 THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE CAST(CAST(n AS DOUBLE) AS VARCHAR) END AS compact FROM v""")
 
 # ---------------------------------------------------------------- settings
 
@@ -365,7 +414,7 @@ sql("object_keys", [FILES], """SELECT doc_id, key, CASE WHEN e IS NULL THEN sour
   SELECT doc_id, source, CASE doc_id % 7 WHEN 0 THEN 'originales/solo.pdf' WHEN 1 THEN 'originales//x.pdf' WHEN 2 THEN 'originales/' || source || '/' WHEN 3 THEN 'originales/' || source || '/sub/' || name ELSE key END AS key,
     CASE doc_id % 7 WHEN 3 THEN 'sub/' || name ELSE name END AS f,
     CASE doc_id % 7 WHEN 0 THEN 'wrong_pattern' WHEN 1 THEN 'no_user' WHEN 2 THEN 'no_file' WHEN 3 THEN NULL ELSE CASE WHEN root <> 'originales' THEN 'wrong_prefix' END END AS e FROM files)""")
-sql("url_keys", [], r"""SELECT page_id, regexp_replace(url, '[^/]*$', '') AS parent, regexp_extract(url, '[^/]*$') AS name, 'originales/u1/' AS scoped, left(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g'), 64) AS safe FROM pages""")
+sql("url_keys", [], r"""SELECT page_id, regexp_replace(url, '[^/]*$', '') AS parent, CASE WHEN url LIKE '%/' THEN url ELSE regexp_extract(url, '[^/]*$') END AS name, 'originales/u1/' AS scoped, left(regexp_replace(url, '[^A-Za-z0-9_-]', '-', 'g'), 64) AS safe FROM pages""")
 CHECKED = """chk AS (SELECT doc_id, source, n_chars * 65536 AS length, CASE WHEN n_chars * 65536 >= 524288000 THEN 'too_large: ' || format('{:.1f}', n_chars / 16.0) || 'MB (max 500MB)' WHEN lang <> 'en' THEN 'no_pdf_header' END AS error_reason FROM documents)"""
 sql("validated_files", [CHECKED], "SELECT doc_id, length, error_reason FROM chk")
 sql("quarantine", [CHECKED], """SELECT CASE WHEN error_reason IS NOT NULL THEN 'errores/' || source || '/' || doc_id || '/' || doc_id END AS error_key, error_reason, CAST(doc_id AS VARCHAR) AS original_filename,

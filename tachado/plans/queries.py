@@ -401,12 +401,12 @@ def page_lookup(spark, d):
 # ---------------------------------------------------------------- location and geometry
 
 def _spoken(spark, d):
-    """Entities as a model would spell them: two neighbouring words of each page, shouted and dashed."""
+    """Entities as a model would spell them: two neighbouring words of each page, in small letters and dashed."""
     pages = roles.split_pages(spark, d)
     tokens = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
     pick = F.size("t") - 3
     pages = pages.withColumn("t", tokens).filter(F.size("t") > 4)
-    spelled = F.array(F.concat(F.upper(F.get("t", pick)), F.lit(" - "), F.upper(F.get("t", pick + 1))), F.get("t", F.lit(0)))
+    spelled = F.array(F.concat(F.lower(F.get("t", pick)), F.lit(" - "), F.lower(F.get("t", pick + 1))), F.get("t", F.lit(0)))
     rows = pages.select("doc_id", "page", F.posexplode(spelled).alias("ord", "text"))
     return rows.select("doc_id", "page", "ord", "text", F.lit("NOMBRE").alias("type"), F.lit(0).alias("start_offset"),
                        F.lit(0).alias("end_offset"), F.lit("bedrock").alias("source"), F.lit(0.85).alias("confidence"))
