@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
@@ -27,8 +27,12 @@ def is_blank(x) -> Column:
 
 
 def fold(x) -> Column:
-    """Strip and case-fold, for comparisons that ignore case."""
-    return F.lower(F.upper(strip(x)))
+    """Strip and case-fold, for comparisons that ignore case (``ß`` reads ``ss``).
+
+    The trim has nothing left to trim: it keeps the optimizer from reducing
+    lower(upper(x)) to lower(x), which does not fold.
+    """
+    return F.lower(F.trim(F.upper(strip(x))))
 
 
 def quote(x) -> Column:
@@ -48,13 +52,13 @@ def _normalized(text):
     return "".join(c.lower() for c in kept if ord(c) not in _DROPPED)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def normalize_text(texts: pd.Series) -> pd.Series:
     """Compatibility-decompose, drop accents and separators, lower-case (no JVM function does)."""
     return texts.map(_normalized)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(T.ArrayType(T.StringType()))
 def normalize_all(words: pd.Series) -> pd.Series:
     """``normalize_text`` for arrays of words."""
     return words.map(lambda ws: None if ws is None else [_normalized(w) for w in ws])

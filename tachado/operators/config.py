@@ -8,13 +8,13 @@ when it is small and splits a user with very many documents when it is not.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
 from tachado.functions import patterns
 from tachado.functions.text import as_col, is_blank
-from tachado.schemas import CONFIG
+from tachado.schemas import CONFIG_FIELDS
 
 _RULES = "array<struct<type:string,pattern:string,enabled:boolean>>"
 
@@ -57,7 +57,7 @@ def with_config(docs: DataFrame, config: DataFrame, fields: list[str] | None = N
         (F.coalesce(F.col(n), defaults[n]) if n in stored.columns else defaults[n]).alias(n) for n in fields])
 
 
-@pandas_udf("array<boolean>")
+@pandas_udf(T.ArrayType(T.BooleanType()))
 def _compile_flags(rules: pd.Series) -> pd.Series:
     """Which patterns of each rule list compile."""
     return rules.map(lambda rs: [bool(r["pattern"]) and patterns.compiles(r["pattern"]) for r in rs])
@@ -112,8 +112,8 @@ def validate_config(config: DataFrame) -> DataFrame:
 def save_config(config: DataFrame, path: str, mode: str = "append") -> None:
     """Write the valid rows of a submitted configuration."""
     valid = validate_config(config).filter("valid")
-    kept = [f for f in CONFIG.fieldNames() if f in config.columns]
-    (valid.select(*[F.col(f).cast(CONFIG[f].dataType).alias(f) for f in kept])
+    kept = [f for f in CONFIG_FIELDS if f in config.columns]
+    (valid.select(*[F.col(f).cast(CONFIG_FIELDS[f]).alias(f) for f in kept])
      .withColumn("updated_at", F.current_timestamp()).write.mode(mode).parquet(path))
 
 

@@ -11,7 +11,7 @@ import re
 from typing import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
@@ -20,7 +20,10 @@ from tachado.functions.text import as_col, is_blank
 from tachado.operators.overlap import explode_entities
 from tachado.schemas import CANDIDATE, CANDIDATES
 
-_SPANS = "array<struct<start_offset:int,end_offset:int,text:string>>"
+_SPANS = T.ArrayType(T.StructType([
+    T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType()), T.StructField("text", T.StringType())]))
+_STUDIED = T.StructType([T.StructField("usable", T.BooleanType()), T.StructField("jvm", T.StringType()),
+                         T.StructField("required", T.ArrayType(T.StringType()))])
 
 
 # ---------------------------------------------------------------- rules
@@ -48,7 +51,7 @@ def default_rules(enabled_only: bool = False) -> list[dict]:
     return [r for r in rules if r["enabled"]] if enabled_only else rules
 
 
-@pandas_udf("struct<usable:boolean,jvm:string,required:array<string>>")
+@pandas_udf(_STUDIED)
 def _study(pattern: pd.Series) -> pd.DataFrame:
     rows = []
     for p in pattern:
@@ -103,7 +106,7 @@ def numbered(candidates: Column) -> Column:
 
 def _python_spans(rules: list[dict]):
     """Arrow fallback for rules the JVM cannot state exactly."""
-    @pandas_udf(f"array<{_SPANS}>")
+    @pandas_udf(T.ArrayType(_SPANS))
     def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compiled = [re.compile(r["pattern"]) for r in rules]
         for batch in texts:
@@ -205,7 +208,7 @@ def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
                           .otherwise(F.array().cast(CANDIDATES)).alias("candidates"))
 
 
-@pandas_udf(f"array<{_SPANS}>")
+@pandas_udf(T.ArrayType(_SPANS))
 def _python_user_spans(texts: pd.Series, pats: pd.Series) -> pd.Series:
     def one(t, ps):
         if t is None or ps is None or len(ps) == 0:

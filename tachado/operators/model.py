@@ -15,7 +15,8 @@ from tachado.functions.text import as_col, is_blank, quote, strip
 from tachado.operators.overlap import explode_entities
 from tachado.schemas import CANDIDATE, CANDIDATES
 
-_PARSED = "array<struct<text:string,type:string,hint:bigint>>"
+_PARSED = T.ArrayType(T.StructType([
+    T.StructField("text", T.StringType()), T.StructField("type", T.StringType()), T.StructField("hint", T.LongType())]))
 
 
 def truncate_text(pages: DataFrame, limit: int = K.MODEL_TEXT_LIMIT) -> DataFrame:

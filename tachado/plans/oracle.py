@@ -16,16 +16,29 @@ pg AS (
   FROM (SELECT *, unnest(range(0, CAST(ceil(len(l) / 20.0) AS BIGINT))) AS p FROM pl))"""
 
 _W = r"\p{L}\p{N}_"
-_S = r"\s"
-# Rules with look-around, or with letters outside ASCII at their edges: what may not stand before and after.
+# Rules with look-around, or whose edges may touch letters outside ASCII: what may not stand before, and the match
+# with the one character after it.  Texts get a blank before and after so both always exist.
+_SPACED = r"(?:\d[ \-]?)"
 _EDGED = {
-    "TELEFONO": (r"\d\-", r"\d\-", r"(?:\+?\d{1,3}[\s.\-]?)?(?:\(?\d{2,4}\)?[\s.\-]?)\d{3,4}[\s.\-]?\d{4}"),
-    "CELULAR": (r"\d\-", r"\d\-", r"(?:\+?\d{1,3}[\s.\-]?)?(?:9[\s.\-]?)?(?:\(?\d{2,4}\)?[\s.\-]?)?(?:15[\s.\-]?)?\d{3,4}[\s.\-]?\d{4}"),
-    "TELEFONO_CHILE": (r"\d", r"\d", r"(?:\+?56[\s.\-]?)?(?:9|2|\d{1,2})[\s.\-]?\d{3,4}[\s.\-]?\d{4}"),
-    "NOMBRE": (_W, _W, r"(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+,\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)*|[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,2})"),
+    "TELEFONO": (r"\d\-", r"(?:\+?\d{1,3}[\s.\-]?)?(?:\(?\d{2,4}\)?[\s.\-]?)\d{3,4}[\s.\-]?\d{4}[^\d\-]"),
+    "CELULAR": (r"\d\-", r"(?:\+?\d{1,3}[\s.\-]?)?(?:9[\s.\-]?)?(?:\(?\d{2,4}\)?[\s.\-]?)?(?:15[\s.\-]?)?\d{3,4}[\s.\-]?\d{4}[^\d\-]"),
+    "TELEFONO_CHILE": (r"\d", r"(?:\+?56[\s.\-]?)?(?:9|2|\d{1,2})[\s.\-]?\d{3,4}[\s.\-]?\d{4}[^\d]"),
+    "TARJETA_CREDITO": (_W, "(?:" + "|".join(
+        f"{_SPACED}{{{n}}}\\d[ \\-][{_W}]|{_SPACED}{{{n}}}\\d[^{_W}]" for n in (15, 14, 13, 12)) + ")"),
+    "NOMBRE": (_W, r"(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+,\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+)*|[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,2})[^" + _W + "]"),
 }
 
 
+def edged_cte(name: str, pages: str, before: str, body: str) -> str:
+    """Matches one after the other: each step looks at what is left from the last match's last character on."""
+    rx = _str(f"[^{before}]{body}")
+    return f"""{name} AS (
+  SELECT doc_id, page, text, 0 AS k, -1 AS base, ' ' || text || ' ' AS rest, CAST(0 AS INTEGER) AS start_offset, '' AS ent FROM {pages} WHERE regexp_matches(' ' || text || ' ', {rx})
+  UNION ALL
+  SELECT doc_id, page, text, k + 1, base + cut + len(hit) - 2 AS base, substring(text || ' ', base + cut + len(hit) - 1) AS rest, CAST(base + cut + 1 AS INTEGER), substring(hit, 2, len(hit) - 2)
+  FROM (SELECT *, len(string_split_regex(rest, {rx})[1]) AS cut, regexp_extract(rest, {rx}) AS hit FROM {name} WHERE regexp_matches(rest, {rx})))"""
+
+
 def _str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -53,13 +66,7 @@ plain AS (SELECT doc_id, page, rule, type, k,
     m[k] AS text FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM plain_hits))""")
     names = ["SELECT doc_id, page, rule, type, k, start_offset, text FROM plain"]
     for i, t, _ in edged:
-        before, after, body = _EDGED[t]
-        rx = _str(f"[^{before}]({body})(?:[^{after}]|$)")
-        out.append(f"""e{i} AS (
-  SELECT doc_id, page, text, 0 AS k, -1 AS base, ' ' || text AS rest, CAST(0 AS INTEGER) AS start_offset, '' AS ent FROM {pages} WHERE regexp_matches(' ' || text, {rx})
-  UNION ALL
-  SELECT doc_id, page, text, k + 1, base + cut + 1 + len(hit) AS base, substring(text, base + cut + 2 + len(hit)) AS rest, CAST(base + cut + 1 AS INTEGER), hit
-  FROM (SELECT *, len(string_split_regex(rest, {rx})[1]) AS cut, regexp_extract(rest, {rx}, 1) AS hit FROM e{i} WHERE regexp_matches(rest, {rx})))""")
+        out.append(edged_cte(f"e{i}", pages, *_EDGED[t]))
         names.append(f"SELECT doc_id, page, {i} AS rule, {_str(t)} AS type, k, start_offset, ent AS text FROM e{i} WHERE k > 0")
     out.append("every_hit AS (" + " UNION ALL ".join(names) + ")")
     out.append("""found AS (SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY rule, k) - 1 AS INTEGER) AS ord, type,
@@ -200,11 +207,8 @@ sql("model_elements", [], """SELECT doc_id, CAST(pos AS INTEGER) AS pos, text, C
   UNION ALL SELECT doc_id, NULL, NULL, NULL, true FROM documents WHERE len(text) % 5 = 0)""")
 sql("model_entities", [DOC_PAGES, MODEL], f"SELECT {_ENTITY} FROM by_model")
 sql("scored_pages", ["pg AS (SELECT doc_id, 1 AS page, left(text, 10000) AS text FROM documents)",
-    r"""hits AS (SELECT doc_id, page, regexp_extract_all(text, '\b[A-Z][a-z]+ [A-Z][a-z]+\b') AS m, string_split_regex(text, '\b[A-Z][a-z]+ [A-Z][a-z]+\b') AS s
-  FROM pg WHERE regexp_matches(text, '\b[A-Z][a-z]+ [A-Z][a-z]+\b')),
-named AS (SELECT doc_id, page, k, m[k] AS text, CAST(list_sum(list_transform(s[:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: len(x))), 0) AS INTEGER) AS start_offset
-  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM hits))"""],
-    "SELECT doc_id, page, CAST(k - 1 AS INTEGER) AS ord, 'NOMBRE' AS type, start_offset, CAST(start_offset + len(text) AS INTEGER) AS end_offset, text, 'bedrock' AS source, 0.85::DOUBLE AS confidence FROM named")
+    edged_cte("named", "pg", _W, f"[A-Z][a-z]+ [A-Z][a-z]+[^{_W}]")],
+    "SELECT doc_id, page, CAST(k - 1 AS INTEGER) AS ord, 'NOMBRE' AS type, start_offset, CAST(start_offset + len(ent) AS INTEGER) AS end_offset, ent AS text, 'bedrock' AS source, 0.85::DOUBLE AS confidence FROM named WHERE k > 0")
 sql("find_all", ["""spots AS (
   SELECT doc_id, text, CAST(1 AS BIGINT) AS pos FROM documents WHERE text <> ''
   UNION ALL SELECT doc_id, text, pos + instr(substring(text, pos + 1), left(text, 4)) FROM spots WHERE instr(substring(text, pos + 1), left(text, 4)) > 0)"""],
@@ -259,10 +263,11 @@ sql("redaction_counts", [DOC_PAGES, found_ctes(True), settled_ctes("found")], ""
 sql("nothing_to_mask", [DOC_PAGES, TOGGLES, found_ctes(False)], """SELECT doc_id, CASE WHEN doc_id IN (
   SELECT f.doc_id FROM found f JOIN pg USING (doc_id) LEFT JOIN toggles t ON t.user_id = pg.user_id AND t.type = f.type WHERE coalesce(active, true)) THEN 'MASK' ELSE 'COMPLETED' END AS state FROM documents""")
 # All literal occurrences of each text in turn; a place that is taken stays with the earlier entity.
-sql("mask_occurrences", [DOC_PAGES, found_ctes(True), settled_ctes("found"),
+sql("mask_occurrences", [DOC_PAGES, found_ctes(False), settled_ctes("found"),
     """texts AS (SELECT s.doc_id, s.page, s.ord, s.type, s.text AS needle, pg.text, string_split(pg.text, s.text) AS parts FROM settled s JOIN pg USING (doc_id)),
-places AS (SELECT doc_id, page, ord, type, needle, k, CAST(list_sum(list_transform(parts[:k], lambda x: len(x))) + (k - 1) * len(needle) AS BIGINT) AS s
-  FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM texts)),
+pieces AS (SELECT doc_id, page, ord, type, needle, unnest(range(1, len(parts) + 1)) AS k, unnest(list_transform(parts, lambda x: len(x))) AS n, len(parts) AS of FROM texts),
+places AS (SELECT doc_id, page, ord, type, needle, s FROM (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, page, ord ORDER BY k) + (k - 1) * len(needle) AS BIGINT) AS s FROM pieces) WHERE k < of),
 lined AS (SELECT doc_id, page, list({'s': s, 'e': s + len(needle), 't': type} ORDER BY ord, s) AS c FROM places GROUP BY 1, 2),
 taking AS (
   SELECT doc_id, page, c, CAST(1 AS BIGINT) AS i, c[:0] AS kept FROM lined
@@ -322,7 +327,8 @@ sql("page_offsets", [SPLIT_PAGES], _OFFSETS)
 sql("conversation_offsets", ["pg AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations)"], _OFFSETS)
 WORDS = "wd AS (SELECT doc_id, page, line, top, \"left\", unnest(w) AS text, unnest(range(0, len(w))) AS i FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM ln))"
 sql("attach_words", [LINES, WORDS], """SELECT doc_id, page, 'L' || line AS line_id, count(*) AS words, CAST(sum(len(text) * (i + 1)) AS BIGINT) AS weight, max(round("left" + i / 100.0, 6)) AS rightmost FROM wd GROUP BY 1, 2, line""")
-sql("ocr_words", [LINES, WORDS], """SELECT doc_id, CASE WHEN page % 3 <> 0 THEN page END AS page, CAST(1 AS INTEGER) AS page_at, count(*) AS words, CAST(count(*) - 1 AS INTEGER) AS last FROM wd GROUP BY doc_id, wd.page""")
+sql("ocr_words", [LINES, WORDS], """SELECT doc_id, CASE WHEN p % 3 <> 0 THEN p END AS page, CAST(1 AS INTEGER) AS page_at, CAST(sum(n) AS BIGINT) AS words, CAST(max(n) - 1 AS INTEGER) AS last
+  FROM (SELECT doc_id, page AS p, count(*) AS n FROM wd GROUP BY 1, 2) GROUP BY 1, 2""")
 sql("page_lookup", [], """SELECT doc_id, page, CAST(coalesce(min(n.pos), min(a.pos)) AS INTEGER) AS pos FROM (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page FROM conversations) w
   LEFT JOIN (SELECT conv_id AS doc_id, CAST(turn + conv_id % 2 + 1 AS INTEGER) AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) n USING (doc_id, page)
   LEFT JOIN (SELECT conv_id AS doc_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations) a USING (doc_id, page) GROUP BY 1, 2""")
@@ -502,7 +508,7 @@ sql("finding_summary", [FILES, FINDINGS], "SELECT count(*) AS findings, count(*)
 
 # ---------------------------------------------------------------- scalar functions
 
-sql("folded_lines", [], r"""SELECT doc_id, CAST(n AS INTEGER) AS line, md5(lower(upper(regexp_replace(l[n + 1], '^\s+|\s+$', '', 'g')))) AS folded
+sql("folded_lines", [], r"""SELECT doc_id, CAST(n AS INTEGER) AS line, md5(replace(lower(regexp_replace(l[n + 1], '^\s+|\s+$', '', 'g')), 'ß', 'ss')) AS folded
   FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 sql("identities", [], """SELECT event_id, CASE event_type WHEN 'view' THEN 'user' || user_id WHEN 'click' THEN 'u.' || user_id ELSE CASE user_id % 3 WHEN 0 THEN 'sub-' || user_id WHEN 1 THEN CAST(user_id AS VARCHAR) ELSE 'p' || user_id END END AS owner,
   left(sha256('sub-' || user_id), 8) AS session FROM events""")
@@ -519,5 +525,9 @@ sql("status_labels", [*_ST, f"sh AS (SELECT *, {_STATE.format('status')} AS stat
 sql("stream_alarms", [], """SELECT window_start, name, round(t, 4) AS total FROM (
   SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type AS name, sum(value) AS t FROM events GROUP BY 1, 2)
   WHERE t > 60 AND window_start + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+# A document's timer runs a day past its last event and fires once the watermark (a minute behind) has passed it.
+sql("stream_stuck", [], """SELECT CAST(user_id AS VARCHAR) AS user_id, document_id, status, date_trunc('milliseconds', ts) AS since FROM (
+  SELECT user_id, 'doc-' || json_extract_string(props, '$.k') AS document_id, arg_max(CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END, (ts, event_id)) AS status, max(ts) AS ts
+  FROM events GROUP BY 1, 2) WHERE status = 'PROCESSING' AND ts + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
 sql("stream_deduplicated", [], "SELECT event_id, user_id, json_extract_string(props, '$.k') AS document_id, ts FROM events")
 sql("stream_last_status", [], """SELECT user_id, 'doc-' || json_extract_string(props, '$.k') AS document_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events FROM events GROUP BY 1, 2""")

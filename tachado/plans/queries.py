@@ -278,7 +278,7 @@ def nothing_to_mask(spark, d):
 @query
 def mask_occurrences(spark, d):
     pages = roles.doc_pages(spark, d)
-    found = overlap.resolve_overlaps(detect.detect_rules(pages, roles.ALL_RULES))
+    found = overlap.resolve_overlaps(detect.detect_rules(pages))
     return loc.mask_occurrences(pages, found).select("doc_id", big("occurrences_masked").alias("occurrences_masked"), "masked_text")
 
 

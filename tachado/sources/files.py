@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tachado import constants as K
 from tachado.operators.intake import header_reason, size_reason
-from tachado.schemas import ENTITIES_DOCUMENT, OCR
+from tachado.schemas import ENTITIES_DOCUMENT, ENTITIES_FIELDS, OCR, OCR_FIELDS
 
 
 def fan_out(df: DataFrame, at_least: int | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def write_ocr(pages: DataFrame, path: str, mode: str = "append") -> None:
     ``pages`` has documentId and the fields of ``schemas.OCR`` that are known.  A row
     is a document or part of one: parts carry their pages, numbered.
     """
-    kept = [f for f in OCR.fieldNames() if f in pages.columns]
+    kept = [f for f in OCR_FIELDS if f in pages.columns]
     # documentId is written as the folder and inside the row.
     rows = pages.select(*kept, F.col("documentId").alias("document"))
     rows.write.mode(mode).partitionBy("document").json(path)
@@ -94,7 +94,7 @@ def ocr_page_text(ocr: DataFrame) -> DataFrame:
 def write_entities(documents: DataFrame, path: str, mode: str = "append") -> None:
     """Entity files as JSON lines by document (S7); see ``aggregate.entities_document``."""
     stamped = documents.withColumn("processedAt", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
-    kept = [f for f in ENTITIES_DOCUMENT.fieldNames()]
+    kept = list(ENTITIES_FIELDS)
     stamped.select(*kept, F.col("documentId").alias("document")).write.mode(mode).partitionBy("document").json(path)
 
 
