@@ -16,6 +16,7 @@ from tachado.functions.text import as_col, normalize_all, normalize_text, quote
 from tachado.operators.mask import mask_array
 from tachado.operators.overlap import candidate_array
 from tachado.schemas import CANDIDATE, CANDIDATES
+from tachado.session import stored
 
 _KEYS = ["doc_id", "page"]
 _RUNS = "array<struct<first:int,last:int>>"
@@ -70,7 +71,8 @@ def locate_tolerant(entities: DataFrame, words: DataFrame, fields: list[str] | N
     """
     fields = fields or []
     targets = entities.withColumn("_target", normalize_text("text")).filter("_target <> ''")
-    pages = page_words(words, fields)
+    # Only the words of pages that have a target are brought together.
+    pages = page_words(words.join(targets.select(*_KEYS).distinct(), _KEYS, "left_semi"), fields)
     joined = targets.join(pages, _KEYS)
     runs = joined.select(*entities.columns, "words", "all_words",
                          F.posexplode(word_runs(F.col("joined"), F.col("_target"))).alias("occurrence", "_r"))
@@ -101,7 +103,6 @@ def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
     mine = pages.select("doc_id", "page", F.col("text").alias("page_text")).join(
         needles.select("doc_id").distinct(), "doc_id", "left_semi")
     mine = mine.withColumn("_n", normalize_text("page_text"))
-
     length = F.length("_t")
     size = F.when(length >= 6, 6).when(length >= 3, 3).when(length >= 1, length).otherwise(0)
     # An entity of separators only is looked up by its first character.
@@ -128,26 +129,31 @@ def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
 def locate(entities: DataFrame, pages: DataFrame, words: DataFrame, ocr_words: DataFrame | None = None) -> DataFrame:
     """How each entity is found: literally, tolerantly, on another page, in recognised words, or not.
 
-    Each step only sees what the one before it left.  ``entities`` has doc_id, page, ord and text.
+    Each step only sees what the one before it left.  ``entities`` has doc_id, page,
+    ord and text.  What is left after the literal step is stored once, since the
+    later steps read it again and again.
     """
     ids = ["doc_id", "page", "ord"]
-    mine = entities.filter(F.coalesce("text", F.lit("")) != "")
+    mine = entities.filter(F.coalesce("text", F.lit("")) != "").select(*ids, "text")
     texts = pages.select("doc_id", "page", F.col("text").alias("page_text"))
-    exact = (mine.join(texts, _KEYS).filter(F.contains("page_text", F.col("text")))
-             .select(*ids, F.lit("exact").alias("how"), F.col("page").alias("found_page")))
-    left = mine.join(exact, ids, "left_anti")
-    tolerant = (locate_tolerant(left, words).select(*ids).distinct()
-                .select(*ids, F.lit("tolerant").alias("how"), F.col("page").alias("found_page")))
+    literal = stored(mine.join(texts, _KEYS, "left").select(
+        *ids, "text", F.coalesce(F.contains("page_text", F.col("text")), F.lit(False)).alias("_exact")))
+    left = literal.filter("not _exact").drop("_exact")
+    tolerant = stored(locate_tolerant(left, words).select(*ids).distinct().withColumn("_tolerant", F.lit(True)))
     left = left.join(tolerant, ids, "left_anti")
-    moved = locate_any_page(left, pages).select(*ids, F.lit("other_page").alias("how"), "found_page")
-    left = left.join(moved, ids, "left_anti")
-    found = exact.unionByName(tolerant).unionByName(moved)
+    moved = locate_any_page(left, pages).select(*ids, "found_page")
+    out = literal.join(tolerant, ids, "left").join(moved, ids, "left")
+    how = (F.when(F.col("_exact"), "exact").when(F.col("_tolerant"), "tolerant")
+           .when(F.col("found_page").isNotNull(), "other_page"))
     if ocr_words is not None:
-        seen = locate_tolerant(left, ocr_words).select(*ids).distinct()
-        found = found.unionByName(seen.select(*ids, F.lit("ocr").alias("how"), F.col("page").alias("found_page")))
-        left = left.join(seen, ids, "left_anti")
-    missing = left.select(*ids, F.lit("missing").alias("how"), F.lit(None).cast("int").alias("found_page"))
-    return found.unionByName(missing)
+        moved = stored(moved)
+        left = left.join(moved, ids, "left_anti")
+        seen = locate_tolerant(left, ocr_words).select(*ids).distinct().withColumn("_seen", F.lit(True))
+        out = out.join(seen, ids, "left")
+        how = how.when(F.col("_seen"), "ocr")
+    how = how.otherwise("missing")
+    at = F.when(how.isin("exact", "tolerant", "ocr"), F.col("page")).when(how == "other_page", F.col("found_page"))
+    return out.select(*ids, how.alias("how"), at.alias("found_page"))
 
 
 def occurrences_array(text, entities) -> Column:

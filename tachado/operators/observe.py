@@ -75,12 +75,14 @@ def latency_p99(metrics: DataFrame, width: str = K.WINDOW, q: float = 0.99, limi
     # The two neighbours of the rank lie between the brackets, or at an end of a tiny window.
     near = near.select(*keys, "n", F.when(F.col("n") <= accuracy, F.col("least")).otherwise(F.get("side", F.lit(0))).alias("low"),
                        F.when(F.col("n") <= accuracy, F.col("most")).otherwise(F.get("side", F.lit(1))).alias("high"))
-    joined = points.join(near, keys)
-    below = joined.groupBy(*keys).agg(F.count_if(F.col("value") < F.col("low")).alias("below"))
-    inside = joined.filter(F.col("value").between(F.col("low"), F.col("high"))).groupBy(*keys, "n", "value").agg(
-        F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys).orderBy("value")
-    ranked = inside.join(below, keys).withColumn("upto", F.col("below") + F.sum("c").over(w))
+    value = F.col("value")
+    inside = F.when(value.between(F.col("low"), F.col("high")), value)
+    counts = points.join(near, keys).groupBy(*keys, "n", inside.alias("v")).agg(
+        F.count(F.lit(1)).alias("c"), F.count_if(value < F.col("low")).alias("b"))
+    every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
+    ranked = counts.select(*keys, "n", F.col("v").alias("value"), F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0).alias("c"),
+                           F.sum("b").over(every).alias("below"), F.col("v"))
+    ranked = ranked.withColumn("upto", F.col("below") + F.sum("c").over(upto)).filter("value is not null")
     at = (F.col("n") - 1) * F.lit(q)
     lower = F.min(F.when(F.col("upto") > F.floor(at), F.col("value")))
     upper = F.min(F.when(F.col("upto") > F.ceil(at), F.col("value")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from typing import Callable
 
@@ -868,9 +866,7 @@ def bucket_accounts(spark, d):
 # ---------------------------------------------------------------- streams
 
 def _folder(spark: SparkSession) -> str:
-    base = checkpoint_dir(spark)
-    base = base or os.path.join(tempfile.gettempdir(), "tachado-streams")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 def _drained(stream: DataFrame) -> DataFrame:

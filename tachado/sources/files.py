@@ -9,21 +9,21 @@ from tachado.operators.intake import header_reason, size_reason
 from tachado.schemas import ENTITIES_DOCUMENT, ENTITIES_FIELDS, OCR, OCR_FIELDS
 
 
-def fan_out(df: DataFrame, at_least: int | None = None) -> DataFrame:
+def fan_out(df: DataFrame, key: str, at_least: int | None = None) -> DataFrame:
     """Spread rows over the cores where a scan has fewer splits than there are cores.
 
     Matching is bound by CPU; a table that is one small file would run on one core.
     Large tables have more splits than cores and pass through without a shuffle.
     """
     cores = at_least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str, spread: bool = False) -> DataFrame:
-    """Some columns of a parquet table."""
+    """Some columns of a parquet table; ``spread`` by the first of them where the file is small."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    return fan_out(df) if spread else df
+    return fan_out(df, df.columns[0]) if spread else df
 
 
 def _listing(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
