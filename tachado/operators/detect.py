@@ -75,7 +75,7 @@ def usable_rules(rules: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- matching
 
-def _spans(text: Column, matches: Column, pattern: Column) -> Column:
+def spans_of(text: Column, matches: Column, pattern: Column) -> Column:
     """Exact offsets of non-overlapping matches, from the pieces between them."""
     pieces = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -156,7 +156,7 @@ def page_candidates(pages: DataFrame, rules: Iterable | None = None, base_offset
 def _candidates_of(text: Column, found: Column, base_offset: int = 0) -> Column:
     """Candidates of the rules that found something, in rule and match order."""
     return numbered(F.flatten(F.transform(found, lambda h: _as_candidates(
-        F.coalesce(h["spans"], _spans(text, h["m"], h["jvm"])), h["type"], base_offset))))
+        F.coalesce(h["spans"], spans_of(text, h["m"], h["jvm"])), h["type"], base_offset))))
 
 
 def _matches(text: Column, pattern: Column, required, digits: Column | None) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado.functions.text import as_col, normalize_all, normalize_text, quote
+from tachado.operators.detect import spans_of
 from tachado.operators.mask import mask_array
 from tachado.operators.overlap import candidate_array
 from tachado.schemas import CANDIDATE, CANDIDATES
@@ -156,8 +157,8 @@ def locate(entities: DataFrame, pages: DataFrame, words: DataFrame, ocr_words: D
     return out.select(*ids, how.alias("how"), at.alias("found_page"))
 
 
-def occurrences_array(text, entities) -> Column:
-    """All literal occurrences of a page's entity texts as candidates, in entity order.
+def occurrences_array(text, entities, more=None) -> Column:
+    """All literal occurrences of a page's entity texts as candidates, in entity order, then ``more``.
 
     Occurrences of one text do not overlap; a place already taken by an earlier entity is not taken again.
     """
@@ -174,6 +175,8 @@ def occurrences_array(text, entities) -> Column:
         ).otherwise(F.array().cast(CANDIDATES))
 
     every = F.flatten(F.transform(as_col(entities), spans))
+    if more is not None:
+        every = F.concat(every, as_col(more))
 
     def place(kept, c):
         taken = F.exists(kept, lambda k: F.greatest(k["start_offset"], c["start_offset"])
@@ -184,13 +187,67 @@ def occurrences_array(text, entities) -> Column:
     return F.transform(placed, lambda c, i: c.withField("ord", i))
 
 
+def _words_with_offsets(text: Column) -> Column:
+    """Words of a page as spans (start_offset, end_offset, text)."""
+    word = F.lit(r"[^\p{IsWhite_Space}\x1c-\x1f]+")
+    return spans_of(text, F.regexp_extract_all(text, word, F.lit(0)), word)
+
+
+def tolerant_array(words: Column, normal: Column, entities, targets: Column) -> Column:
+    """Runs of a page's words that spell its entities, as candidates from the first word to the last.
+
+    ``words`` are the page's words as spans, ``normal`` their normalised forms,
+    ``targets`` the entities' normalised texts, null for an entity not to look for.
+    """
+    both = F.filter(F.arrays_zip(words.alias("w"), normal.alias("n")), lambda z: z["n"] != "")
+    joined = F.concat(F.lit(" "), F.array_join(F.transform(both, lambda z: z["n"]), " "))
+
+    def runs(z):
+        e = z["e"]
+        return F.transform(word_runs(joined, z["t"]), lambda r: F.struct(
+            F.lit(0), e["type"], F.get(both, r["first"])["w"]["start_offset"], F.get(both, r["last"])["w"]["end_offset"],
+            e["text"], e["source"], e["confidence"]).cast(CANDIDATE))
+
+    wanted = F.filter(F.arrays_zip(as_col(entities).alias("e"), targets.alias("t")), lambda z: F.coalesce(z["t"], F.lit("")) != "")
+    return F.flatten(F.transform(wanted, runs))
+
+
+def relocate(entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """Entities with their page replaced by the first that has them, where their own does not.
+
+    An entity that is nowhere keeps its page.
+    """
+    texts = pages.select("doc_id", "page", F.col("text").alias("page_text"))
+    literal = F.coalesce(F.contains("page_text", F.col("text")), F.lit(False))
+    seen = stored(entities.join(texts, _KEYS, "left").withColumn("_here", literal).drop("page_text"))
+    away = seen.filter("not _here").drop("_here")
+    # A page that spells it tolerantly counts as its own.
+    tokens = pages.select("doc_id", "page", F.posexplode(F.filter(
+        F.split("text", r"[\p{IsWhite_Space}\x1c-\x1f]+", -1), lambda w: w != "")).alias("word_ord", "text"))
+    spelled = locate_tolerant(away, tokens).select(*_KEYS, "text").distinct()
+    lost = stored(away.join(spelled, [*_KEYS, "text"], "left_anti"))
+    found = locate_any_page(lost, pages).select(*_KEYS, "text", "found_page").distinct()
+    return seen.drop("_here").join(found, [*_KEYS, "text"], "left").withColumn(
+        "page", F.coalesce("found_page", "page")).select(*entities.columns)
+
+
 def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every literal occurrence of each entity's text on its page masked, with the count.
+    """Every occurrence of each entity's text on its page masked, with the count.
 
-    ``occurrences_masked`` counts places, not entities.
+    Literal occurrences; for an entity without any, the words that spell it.
+    ``occurrences_masked`` counts places, not entities.  Entities that may be on
+    another page go through ``relocate`` first.
     """
+    none = F.array().cast(CANDIDATES)
     texts = entities.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(candidate_array())).alias("_e"))
-    placed = pages.join(texts, _KEYS, "left").withColumn(
-        "occurrences", F.when(F.size("_e") > 0, occurrences_array("text", "_e")).otherwise(F.array().cast(CANDIDATES)))
+    mine = pages.join(texts, _KEYS, "left").withColumn("_e", F.coalesce("_e", none))
+    missing = F.transform("_e", lambda e: F.when(~F.contains("text", e["text"]) & (e["text"] != ""), e["text"]))
+    mine = mine.withColumn("_t", missing).withColumn("_any", F.exists("_t", lambda t: t.isNotNull()))
+    mine = mine.withColumn("_w", F.when(F.col("_any"), _words_with_offsets(F.col("text"))))
+    mine = mine.withColumn("_n", normalize_all(F.transform("_w", lambda w: w["text"]))).withColumn(
+        "_t", normalize_all(F.when(F.col("_any"), F.col("_t"))))
+    loose = F.when(F.col("_any"), tolerant_array(F.col("_w"), F.col("_n"), "_e", F.col("_t"))).otherwise(none)
+    placed = mine.withColumn("_loose", loose).withColumn("occurrences", F.when(
+        F.size("_e") > 0, occurrences_array("text", "_e", "_loose")).otherwise(none))
     return placed.withColumn("masked_text", mask_array("text", "occurrences")).withColumn(
-        "occurrences_masked", F.size("occurrences")).drop("_e")
+        "occurrences_masked", F.size("occurrences")).drop("_e", "_t", "_any", "_w", "_n", "_loose")

@@ -392,6 +392,21 @@ sql("display_texts", ["v AS (SELECT event_id, value, CASE WHEN value > 1 THEN CA
     ELSE (size * 100 + 524288) // 1048576 // 100 || '.' || lpad(CAST((size * 100 + 524288) // 1048576 % 100 AS VARCHAR), 2, '0') || ' MB' END AS size,
   greatest(0.0, least(1.0, value / 50)) AS clamped, CASE WHEN n % 1 = 0 THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE CAST(CAST(n AS DOUBLE) AS VARCHAR) END AS compact FROM v""")
 
+# Strays that are on no page of their own: masked on the first page that has them; a place is masked once.
+sql("mask_strays", [SPLIT_PAGES, found_ctes(False), "strays AS (SELECT doc_id, CAST(page + start_offset % 2 AS INTEGER) AS page, ord, start_offset, text FROM found)", ANYWHERE,
+    """homes AS (SELECT DISTINCT s.doc_id, s.text, CASE WHEN h.page IS NOT NULL THEN s.page ELSE f.found_page END AS page FROM strays s
+  LEFT JOIN hits h ON h.doc_id = s.doc_id AND h.page = s.page AND h.text = s.text LEFT JOIN first_page f ON f.doc_id = s.doc_id AND f.text = s.text),
+cuts AS (SELECT h.doc_id, h.page, h.text, unnest(range(1, len(p) + 1)) AS k, unnest(list_transform(p, lambda x: len(x))) AS n, len(p) AS of FROM (
+  SELECT homes.doc_id, homes.page, homes.text, string_split(pg.text, homes.text) AS p FROM homes JOIN pg USING (doc_id, page)) h),
+spots AS (SELECT doc_id, page, sum(n) OVER (PARTITION BY doc_id, page, text ORDER BY k) + (k - 1) * len(text) AS s, len(text) AS n, k, of FROM cuts),
+marks AS (SELECT doc_id, page, s, s + n AS e, max(s + n) OVER (PARTITION BY doc_id, page ORDER BY s, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spots WHERE k < of)"""],
+    """SELECT doc_id, page, count(m) AS occurrences_masked FROM pg LEFT JOIN (SELECT doc_id, page, 1 AS m FROM marks WHERE before IS NULL OR s >= before) USING (doc_id, page) GROUP BY 1, 2""")
+ORACLE["completed_status"] = ORACLE["mask_documents"].replace("SELECT doc_id, n_entities, masked_text FROM masked",
+    "SELECT user_id, CAST(doc_id AS VARCHAR) AS document_id, 'COMPLETED' AS status, CAST(n_entities AS BIGINT) AS entities_found, "
+    "CASE WHEN n_entities > 0 THEN 'Regex' ELSE 'IA (Claude Haiku 4.5)' END AS engine, TIMESTAMP '2024-02-01' AS completed_at FROM masked")
+sql("stored_entities", [SPLIT_PAGES, found_ctes(False), settled_ctes("found")], "SELECT CAST(doc_id AS VARCHAR) AS doc_id, page, type, start_offset, end_offset, text, source, confidence FROM settled")
+ORACLE["stored_reports"] = "SELECT r.*, d.source AS user_id FROM (" + ORACLE["report_sections"] + ") r JOIN documents d USING (doc_id)"
+
 # ---------------------------------------------------------------- settings
 
 _PROMPT = _str(K.DEFAULT_PROMPT)

@@ -13,7 +13,7 @@ from tachado.operators import aggregate, config, detect, geometry, intake, locat
 from tachado.operators import status as st
 from tachado.plans import corpus, roles
 from tachado.session import checkpoint_dir
-from tachado.sources.files import read_table
+from tachado.sources.files import read_entities, read_table, write_entities, write_reports
 from tachado.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,6 +280,48 @@ def mask_occurrences(spark, d):
     return loc.mask_occurrences(pages, found).select("doc_id", big("occurrences_masked").alias("occurrences_masked"), "masked_text")
 
 
+@query
+def mask_spelled(spark, d):
+    """Names as a model would spell them, masked wherever the page's words spell them."""
+    return loc.mask_occurrences(roles.split_pages(spark, d), _spoken(spark, d)).select("doc_id", "page", big("occurrences_masked").alias("occurrences_masked"), "masked_text")
+
+
+@query
+def mask_strays(spark, d):
+    """Rule matches that claim to be on the next page, put where they are and masked there."""
+    pages = roles.split_pages(spark, d)
+    found = detect.detect_rules(pages).withColumn("page", F.col("page") + F.col("start_offset") % 2)
+    return loc.mask_occurrences(pages, loc.relocate(found, pages)).select("doc_id", "page", big("occurrences_masked").alias("occurrences_masked"))
+
+
+@query
+def completed_status(spark, d):
+    """A final status for every document, with nothing found too."""
+    found = corpus.detect_pages(roles.doc_pages(spark, d))
+    docs = found.select("doc_id", "user_id").withColumn("file_name", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")))
+    events = corpus.completion_events(docs, corpus.document_summary(found), F.expr("timestamp_ntz'2024-02-01 00:00:00'"))
+    return st.latest_status(events).select("user_id", "document_id", "status", "entities_found", "engine", "completed_at")
+
+
+@query
+def stored_entities(spark, d):
+    """Entity files written and read back."""
+    at = _folder(spark)
+    files_out = aggregate.entities_document(corpus.entities_of(corpus.detect_pages(roles.split_pages(spark, d))))
+    write_entities(files_out.withColumn("documentId", F.col("documentId").cast("string")), f"{at}/entities")
+    return read_entities(spark, f"{at}/entities").select("doc_id", "page", "type", "start_offset", "end_offset", "text", "source", "confidence")
+
+
+@query
+def stored_reports(spark, d):
+    """Report sections written and read back."""
+    at = _folder(spark)
+    masked = corpus.mask_pages(roles.split_pages(spark, d)).withColumn("file_name", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    owners = read_table(spark, d, "documents", "doc_id", "source").withColumnRenamed("source", "user_id")
+    write_reports(mask.page_report(masked).join(owners, "doc_id"), f"{at}/reports")
+    return spark.read.parquet(f"{at}/reports")
+
+
 @query
 def residual_scan(spark, d):
     return residual.residual_scan(_masked(spark, d), roles.ALL_RULES).select("doc_id", "type", "start_offset", "end_offset", "text")

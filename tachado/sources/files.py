@@ -60,16 +60,21 @@ def stream_files(spark: SparkSession, path: str, fmt: str = "binaryFile", schema
 
 # ---------------------------------------------------------------- recognition results
 
-def write_ocr(pages: DataFrame, path: str, mode: str = "append") -> None:
-    """Recognition rows as JSON lines by document; keys without a value, such as error, are left out.
+def _write_json(rows: DataFrame, path: str, mode: str, by_document: bool) -> None:
+    """JSON lines; a folder per document only on request, since a large corpus would drown in small files."""
+    if by_document:
+        rows.withColumn("document", F.col("documentId")).write.mode(mode).partitionBy("document").json(path)
+    else:
+        rows.write.mode(mode).json(path)
+
+
+def write_ocr(pages: DataFrame, path: str, mode: str = "append", by_document: bool = False) -> None:
+    """Recognition rows as JSON lines; keys without a value, such as error, are left out.
 
     ``pages`` has documentId and the fields of ``schemas.OCR`` that are known.  A row
     is a document or part of one: parts carry their pages, numbered.
     """
-    kept = [f for f in OCR_FIELDS if f in pages.columns]
-    # documentId is written as the folder and inside the row.
-    rows = pages.select(*kept, F.col("documentId").alias("document"))
-    rows.write.mode(mode).partitionBy("document").json(path)
+    _write_json(pages.select(*[f for f in OCR_FIELDS if f in pages.columns]), path, mode, by_document)
 
 
 def read_ocr(spark: SparkSession, path: str, number_by_place: bool = False, multi_line: bool = False) -> DataFrame:
@@ -91,11 +96,10 @@ def ocr_page_text(ocr: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- entity files
 
-def write_entities(documents: DataFrame, path: str, mode: str = "append") -> None:
-    """Entity files as JSON lines by document (S7); see ``aggregate.entities_document``."""
+def write_entities(documents: DataFrame, path: str, mode: str = "append", by_document: bool = False) -> None:
+    """Entity files as JSON lines (S7); see ``aggregate.entities_document``."""
     stamped = documents.withColumn("processedAt", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
-    kept = list(ENTITIES_FIELDS)
-    stamped.select(*kept, F.col("documentId").alias("document")).write.mode(mode).partitionBy("document").json(path)
+    _write_json(stamped.select(*ENTITIES_FIELDS), path, mode, by_document)
 
 
 def read_entities(spark: SparkSession, path: str, docs: DataFrame | None = None, multi_line: bool = False) -> DataFrame:
@@ -110,11 +114,15 @@ def read_entities(spark: SparkSession, path: str, docs: DataFrame | None = None,
 
 # ---------------------------------------------------------------- reports
 
-def write_reports(sections: DataFrame, path: str, mode: str = "append") -> None:
-    """Report sections as text under ``user_id=…/doc_id=…``.
+def write_reports(sections: DataFrame, path: str, mode: str = "append", by_document: bool = False) -> None:
+    """Report sections in order (S9): a parquet table, or text under ``user_id=…/doc_id=…`` with ``by_document``.
 
     Sections are spread by range and sorted, so a long document is written by many
-    tasks and its part files, in name order, read in page order.
+    tasks; its rows (or its part files, in name order) read in page order.
     """
-    ordered = sections.repartitionByRange("user_id", "doc_id", "section").sortWithinPartitions("user_id", "doc_id", "section")
-    ordered.select("user_id", "doc_id", F.col("body").alias("value")).write.mode(mode).partitionBy("user_id", "doc_id").text(path)
+    key = ["user_id", "doc_id", "section"]
+    ordered = sections.select(*key, "body").repartitionByRange(*key).sortWithinPartitions(*key)
+    if by_document:
+        ordered.select("user_id", "doc_id", F.col("body").alias("value")).write.mode(mode).partitionBy("user_id", "doc_id").text(path)
+    else:
+        ordered.write.mode(mode).parquet(path)

@@ -95,7 +95,7 @@ def test_entity_files(spark, tmp_path):
     docs = aggregate.entities_document(ents)
     one = docs.filter("page = 1").first()
     assert one.totalEntities == 3 and one.sourceContributions == {"bedrock": 1, "regex": 1} and [e.startOffset for e in one.entities] == [0, 5]
-    files.write_entities(docs, str(tmp_path / "e"))
+    files.write_entities(docs, str(tmp_path / "e"), by_document=True)
     back = files.read_entities(spark, str(tmp_path / "e"), spark.createDataFrame([("d",), ("nada",)], "doc_id string"))
     assert sorted((r.doc_id, r.page, r.type) for r in back.collect() if r.page) == [("d", 1, "B"), ("d", 1, "DNI"), ("d", 2, "A")]
     assert back.filter("doc_id = 'nada' and type is null").count() == 1
@@ -104,7 +104,9 @@ def test_entity_files(spark, tmp_path):
 def test_report_files_read_in_page_order(spark, tmp_path):
     rows = [("u", "d", i, f"linea {i}") for i in range(200)]
     df = spark.createDataFrame(rows, "user_id string, doc_id string, section int, body string").repartition(7)
-    files.write_reports(df, str(tmp_path / "r"))
+    files.write_reports(df, str(tmp_path / "r"), by_document=True)
+    files.write_reports(df, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 200
     parts = sorted((tmp_path / "r" / "user_id=u" / "doc_id=d").glob("part-*"))
     assert "".join(p.read_text() for p in parts).split("\n")[:-1] == [f"linea {i}" for i in range(200)]
 
@@ -157,3 +159,23 @@ def test_occurrences(spark):
     ents = spark.createDataFrame([(1, 1, 0, "N", 0, 3, "ana", "regex", .9), (1, 1, 1, "B", 0, 3, "banana", "regex", .9)], "doc_id int, page int, ord int, type string, start_offset int, end_offset int, text string, source string, confidence double")
     got = {r.page: (r.masked_text, r.occurrences_masked) for r in locate.mask_occurrences(pages, ents).collect()}
     assert got == {1: ("[N-R] [N-R] b[N-R]na", 3), 2: ("x", 0)}
+
+
+def test_spelled_and_strayed_occurrences(spark):
+    pages = spark.createDataFrame([(1, 1, "Hola JOSÉ  María, ana"), (1, 2, "Ana Paz y Ana Paz"), (2, 1, "x")], "doc_id int, page int, text string")
+    rows = [(1, 1, 0, "NOMBRE", 0, 3, "jose maria", "bedrock", .8), (1, 1, 1, "NOMBRE", 0, 3, "Ana Paz", "bedrock", .8), (2, 1, 0, "DNI", 0, 3, "Ana", "regex", .8), (1, 1, 2, "X", 0, 1, "ana", "regex", .9)]
+    ents = spark.createDataFrame(rows, "doc_id int, page int, ord int, type string, start_offset int, end_offset int, text string, source string, confidence double")
+    moved = locate.relocate(ents, pages)
+    assert sorted((r.doc_id, r.page, r.text) for r in moved.collect()) == [(1, 1, "ana"), (1, 1, "jose maria"), (1, 2, "Ana Paz"), (2, 1, "Ana")]
+    got = {(r.doc_id, r.page): (r.masked_text, r.occurrences_masked) for r in locate.mask_occurrences(pages, moved).collect()}
+    assert got == {(1, 1): ("Hola [NOMBRE-IA] [X-R]", 2), (1, 2): ("[NOMBRE-IA] y [NOMBRE-IA]", 2), (2, 1): ("x", 0)}
+
+
+def test_files_as_they_arrive(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"%PDF hola")
+    stream = files.stream_files(spark, str(tmp_path / "in"), recursiveFileLookup="true", schema=spark.read.format("binaryFile").load(str(tmp_path / "in")).schema)
+    checked = intake.validate_files(stream).select("path", "length", "error_reason")
+    q = checked.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.length, r.error_reason) for r in spark.table("arrived").collect()] == [(9, None)]
