@@ -249,5 +249,8 @@ def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
     loose = F.when(F.col("_any"), tolerant_array(F.col("_w"), F.col("_n"), "_e", F.col("_t"))).otherwise(none)
     placed = mine.withColumn("_loose", loose).withColumn("occurrences", F.when(
         F.size("_e") > 0, occurrences_array("text", "_e", "_loose")).otherwise(none))
-    return placed.withColumn("masked_text", mask_array("text", "occurrences")).withColumn(
-        "occurrences_masked", F.size("occurrences")).drop("_e", "_t", "_any", "_w", "_n", "_loose")
+    # Places do not overlap and lie inside the text; from left to right they are masked in one walk.
+    across = F.transform(F.array_sort(F.transform("occurrences", lambda c: F.struct(c["start_offset"].alias("s"), c.alias("c")))), lambda x: x["c"])
+    placed = placed.withColumn("_across", across)
+    return placed.withColumn("masked_text", mask_array("text", "_across", settled=True)).withColumn(
+        "occurrences_masked", F.size("occurrences")).drop("_e", "_t", "_any", "_w", "_n", "_loose", "_across")
