@@ -121,7 +121,7 @@ def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
     full = full.filter(F.contains("page_text", F.col("text")) | F.contains("_n", F.col("_t")))
     full = full.withColumn("_w", normalize_all(tokens))
     joined = F.concat(F.lit(" "), F.array_join(F.filter("_w", lambda w: w != ""), " "))
-    spelled = F.size(word_runs(joined, F.col("_t"))) > 0
+    spelled = (F.col("_t") != "") & F.rlike(joined, _spelled(F.col("_t")))
     hits = full.filter(F.contains("page_text", F.col("text")) | spelled)
     first = hits.groupBy("doc_id", "text").agg(F.min("page").alias("found_page"))
     return entities.join(first, ["doc_id", "text"])
@@ -193,22 +193,20 @@ def _words_with_offsets(text: Column) -> Column:
     return spans_of(text, F.regexp_extract_all(text, word, F.lit(0)), word)
 
 
-def tolerant_array(words: Column, normal: Column, entities, targets: Column) -> Column:
+def tolerant_array(words, joined, entities, targets) -> Column:
     """Runs of a page's words that spell its entities, as candidates from the first word to the last.
 
-    ``words`` are the page's words as spans, ``normal`` their normalised forms,
-    ``targets`` the entities' normalised texts, null for an entity not to look for.
+    ``words`` are the page's non-empty words as spans and ``joined`` their normalised
+    spelling; ``targets`` are the entities' normalised texts, null for an entity not
+    to look for.  All four should be columns: the search refers to them many times.
     """
-    both = F.filter(F.arrays_zip(words.alias("w"), normal.alias("n")), lambda z: z["n"] != "")
-    joined = F.concat(F.lit(" "), F.array_join(F.transform(both, lambda z: z["n"]), " "))
-
     def runs(z):
         e = z["e"]
-        return F.transform(word_runs(joined, z["t"]), lambda r: F.struct(
-            F.lit(0), e["type"], F.get(both, r["first"])["w"]["start_offset"], F.get(both, r["last"])["w"]["end_offset"],
+        return F.transform(word_runs(as_col(joined), z["t"]), lambda r: F.struct(
+            F.lit(0), e["type"], F.get(as_col(words), r["first"])["start_offset"], F.get(as_col(words), r["last"])["end_offset"],
             e["text"], e["source"], e["confidence"]).cast(CANDIDATE))
 
-    wanted = F.filter(F.arrays_zip(as_col(entities).alias("e"), targets.alias("t")), lambda z: F.coalesce(z["t"], F.lit("")) != "")
+    wanted = F.filter(F.arrays_zip(as_col(entities).alias("e"), as_col(targets).alias("t")), lambda z: F.coalesce(z["t"], F.lit("")) != "")
     return F.flatten(F.transform(wanted, runs))
 
 
@@ -246,11 +244,14 @@ def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
     mine = mine.withColumn("_w", F.when(F.col("_any"), _words_with_offsets(F.col("text"))))
     mine = mine.withColumn("_n", normalize_all(F.transform("_w", lambda w: w["text"]))).withColumn(
         "_t", normalize_all(F.when(F.col("_any"), F.col("_t"))))
-    loose = F.when(F.col("_any"), tolerant_array(F.col("_w"), F.col("_n"), "_e", F.col("_t"))).otherwise(none)
+    mine = mine.withColumn("_k", F.filter(F.arrays_zip(F.col("_w").alias("w"), F.col("_n").alias("n")), lambda z: z["n"] != ""))
+    mine = mine.withColumn("_w", F.transform("_k", lambda z: z["w"])).withColumn(
+        "_n", F.concat(F.lit(" "), F.array_join(F.transform("_k", lambda z: z["n"]), " ")))
+    loose = F.when(F.col("_any"), tolerant_array("_w", "_n", "_e", "_t")).otherwise(none)
     placed = mine.withColumn("_loose", loose).withColumn("occurrences", F.when(
         F.size("_e") > 0, occurrences_array("text", "_e", "_loose")).otherwise(none))
     # Places do not overlap and lie inside the text; from left to right they are masked in one walk.
     across = F.transform(F.array_sort(F.transform("occurrences", lambda c: F.struct(c["start_offset"].alias("s"), c.alias("c")))), lambda x: x["c"])
     placed = placed.withColumn("_across", across)
     return placed.withColumn("masked_text", mask_array("text", "_across", settled=True)).withColumn(
-        "occurrences_masked", F.size("occurrences")).drop("_e", "_t", "_any", "_w", "_n", "_loose", "_across")
+        "occurrences_masked", F.size("occurrences")).drop("_e", "_t", "_any", "_w", "_n", "_k", "_loose", "_across")
