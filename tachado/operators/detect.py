@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
 from tachado.functions import patterns
+from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col, is_blank
 from tachado.operators.overlap import explode_entities
 from tachado.schemas import CANDIDATE, CANDIDATES
@@ -149,14 +150,15 @@ def page_candidates(pages: DataFrame, rules: Iterable | None = None, base_offset
         return out.select(*kept, none.alias("candidates"))
     found = F.filter(F.array(*hits), lambda h: (F.size(h["m"]) > 0) | (F.size(h["spans"]) > 0))
     out = out.select(*kept, found.alias("_found"))
-    return out.select(*kept, F.when(F.size("_found") > 0, _candidates_of(text, F.col("_found"), base_offset))
+    return out.select(*kept, F.when(F.size("_found") > 0, _candidates_of("text", "_found", base_offset))
                       .otherwise(none).alias("candidates"))
 
 
-def _candidates_of(text: Column, found: Column, base_offset: int = 0) -> Column:
+@once_per_session
+def _candidates_of(text: str, found: str, base_offset: int = 0) -> Column:
     """Candidates of the rules that found something, in rule and match order."""
     return numbered(F.flatten(F.transform(found, lambda h: _as_candidates(
-        F.coalesce(h["spans"], spans_of(text, h["m"], h["jvm"])), h["type"], base_offset))))
+        F.coalesce(h["spans"], spans_of(F.col(text), h["m"], h["jvm"])), h["type"], base_offset))))
 
 
 def _matches(text: Column, pattern: Column, required, digits: Column | None) -> Column:
@@ -204,7 +206,7 @@ def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
     found = F.filter(F.transform("_rules", look), lambda h: (F.size(h["m"]) > 0) | (F.size(h["spans"]) > 0))
     matched = with_py.withColumn("_found", found)
-    return matched.select(*pages.columns, F.when(F.size("_found") > 0, _candidates_of(text, F.col("_found")))
+    return matched.select(*pages.columns, F.when(F.size("_found") > 0, _candidates_of("text", "_found"))
                           .otherwise(F.array().cast(CANDIDATES)).alias("candidates"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado import constants as K
 from tachado.functions.display import lookup
+from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col, fold
 from tachado.operators.overlap import candidate_array
 
@@ -74,6 +75,7 @@ def _folded(text: Column, ents: Column, labels) -> Column:
     return F.aggregate(backwards, text, step)
 
 
+@once_per_session
 def mask_array(text, entities, labels: dict | None = None, settled: bool = False) -> Column:
     """Page text with its entity array replaced by labels (R2).
 

@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
 from tachado.functions.display import clamp01, lookup
+from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col, is_blank, quote, strip
 from tachado.operators.overlap import explode_entities
 from tachado.schemas import CANDIDATE, CANDIDATES
@@ -162,6 +163,7 @@ def _nearest(positions: Column, hint: Column) -> Column:
     return F.array_min(F.transform(positions, lambda p: F.struct(F.abs(p - hint).alias("far"), p.alias("at"))))["at"]
 
 
+@once_per_session
 def located(text, entities) -> Column:
     """Valid elements as candidates at their true place in the text.
 
@@ -194,9 +196,9 @@ def model_candidates(pages: DataFrame, types: list[str] | None = None) -> DataFr
     """Pages with a ``response`` -> pages with a ``candidates`` array of located entities."""
     parsed = pages.withColumn("_valid", F.when(F.col("response").isNotNull(), parse_response("response")))
     parsed = parsed.withColumn("_valid", valid_entities("_valid", types))
-    seen = F.left("text", F.lit(K.MODEL_TEXT_LIMIT))
-    return parsed.withColumn("candidates", F.when(F.size("_valid") > 0, located(seen, "_valid"))
-                             .otherwise(F.array().cast(CANDIDATES))).drop("_valid")
+    parsed = parsed.withColumn("_seen", F.left("text", F.lit(K.MODEL_TEXT_LIMIT)))
+    return parsed.withColumn("candidates", F.when(F.size("_valid") > 0, located("_seen", "_valid"))
+                             .otherwise(F.array().cast(CANDIDATES))).drop("_valid", "_seen")
 
 
 def locate_entities(pages: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado import constants as K
+from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col
 from tachado.schemas import CANDIDATE, CANDIDATE_FIELDS, CANDIDATES
 
@@ -108,11 +109,13 @@ def _settle(cands: Column, clash, beats) -> Column:
     return F.when(F.size(cands) < 2, cands).otherwise(F.transform(by_start, lambda x: x["c"]))
 
 
+@once_per_session
 def resolve_array(candidates, priority: dict | None = None) -> Column:
     """Survivors of one page's candidate array, in reading order."""
     return _settle(as_col(candidates), _overlaps, _stronger(priority or K.SOURCE_PRIORITY))
 
 
+@once_per_session
 def dedup_array(candidates, threshold: float = 0.80) -> Column:
     """Same-type duplicates of one page removed: keep the longer, then the surer, then the earlier."""
     return _settle(as_col(candidates), _same_type_above(threshold), _longer_or_surer)
