@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado import constants as K
-from tachado.functions.text import as_col, model_label
+from tachado.functions.text import model_label
 
 _COUNTED = [K.SOURCE_MODEL, K.SOURCE_RULES]
 

@@ -508,7 +508,7 @@ BAD = """bad AS (SELECT event_id, user_id, ts, value, CASE WHEN value < 20 THEN
 sql("dead_letters", [BAD], """SELECT 'doc-' || event_id AS document_id, step AS error_step, ts, CAST(least(2048, len(repeat('failed at ' || event_id || ' ', 200))) AS INTEGER) AS length, step, CAST(user_id AS VARCHAR) AS user_id FROM bad""")
 sql("metric_points", [BAD], """SELECT ts, name, dim, dim_value, 1.0::DOUBLE AS value, 'Count' AS unit FROM (
   SELECT ts, 'PipelineError' AS name, 'ErrorStep' AS dim, step AS dim_value FROM bad WHERE value < 20
-  UNION ALL SELECT ts, 'ServiceInvocationError', 'ServiceName', CASE WHEN value >= 30 THEN 'Textract' ELSE 'Macie' END FROM bad WHERE value >= 20
+  UNION ALL SELECT ts, 'ServiceInvocationError', 'ServiceName', CASE WHEN value >= 30 THEN 'recognition' ELSE 'scanner' END FROM bad WHERE value >= 20
   UNION ALL SELECT ts, 'ServiceInvocationError', 'ErrorType', 'Throttled' FROM bad WHERE value >= 40)""")
 sql("error_alarms", [], """SELECT window_start, name, round(t, 4) AS total, t > CASE name WHEN 'error' THEN 60 WHEN 'view' THEN 100 ELSE 5 END AS breaching FROM (
   SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type AS name, sum(value) AS t FROM events GROUP BY 1, 2)""")

@@ -135,7 +135,7 @@ def failures(spark: SparkSession, d: str) -> DataFrame:
         F.col("props").alias("event"), F.when(bad, F.repeat(F.concat(F.lit("failed at "), F.col("event_id").cast("string"), F.lit(" ")), F.lit(200))).alias("error_message"),
         F.when(F.col("value") < 20, "DETECTION").otherwise("REDACTION").alias("error_step"),
         F.concat(F.lit("doc-"), F.col("event_id").cast("string")).alias("document_id"), F.col("user_id").cast("string").alias("user_id"), "ts",
-        F.when(F.col("value") >= 30, "Textract").when(F.col("value") >= 20, "Macie").alias("service"),
+        F.when(F.col("value") >= 30, "recognition").when(F.col("value") >= 20, "scanner").alias("service"),
         F.when(F.col("value") >= 40, "Throttled").otherwise("").alias("error_type"), F.col("event_type"))
 
 
