@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, tiling, urls
+from tachado.llm import chat, credentials, packing, tiling, tokenfiles, urls
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,24 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 def op9_url_rules(spark, d):
     """Every page's URL judged by fixed rules and rules mined from labels."""
     return urls.judge(table(spark, d, "pages", "page_id", "url"), table(spark, d, "labels", "doc_id", "quality", "toxic"), RULES)
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op5_token_files(spark, d):
+    """Ids of every document written to flat files, and read back from them."""
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return tokenfiles.read(spark, tokenfiles.write(docs, vocabulary("word_bpe_49k.json"), end_id=1))
+
+
+@query
+def op6_curve_packing(spark, d):
+    """Every document packed along the curve, one row per piece."""
+    packed = packing.pack(table(spark, d, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), end_id=0)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
