@@ -11,6 +11,7 @@ import os
 import re
 import sys
 from array import array
+from types import ModuleType
 
 #: Characters on which Python's pattern classes, lower-casing and normal forms agree with the tokenizers'.
 OTHER = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]|<\|")
@@ -27,8 +28,6 @@ KEPT = 700_000
 class Encoder:
     """Ids as little-endian unsigned 16-bit integers: the known vocabularies have fewer than 65,536."""
 
-    _held: dict[str, Encoder] = {}
-
     def __init__(self, file: str):
         if sys.byteorder != "little":
             raise OSError("ids are written as they lie in memory, which must be little-endian")
@@ -43,10 +42,11 @@ class Encoder:
 
     @classmethod
     def of(cls, file: str) -> Encoder:
-        """The encoder of this worker, so that tasks share what it knows."""
-        if file not in cls._held:
-            cls._held[file] = cls(file)
-        return cls._held[file]
+        """The encoder of this worker, held outside of this class, which each task gets anew."""
+        held = sys.modules.setdefault("_tachado_encoders", ModuleType("_tachado_encoders"))
+        if not hasattr(held, file):
+            setattr(held, file, cls(file))
+        return getattr(held, file)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

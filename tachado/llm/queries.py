@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, packing, tiling, tokenfiles, urls
+from tachado.llm import chat, credentials, packing, quality, tiling, tokenfiles, urls
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,10 @@ def op6_curve_packing(spark, d):
     """Every document packed along the curve, one row per piece."""
     packed = packing.pack(table(spark, d, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.json"), end_id=0)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op1_cotraining(spark, d):
+    """Every document scored by two co-trained views."""
+    docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
+    return quality.score(docs, quality.train(docs, table(spark, d, "labels", "doc_id", "quality", "toxic")))
