@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, packing, quality, tiling, tokenfiles, urls
+from tachado.llm import chat, credentials, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,15 @@ def op1_cotraining(spark, d):
     """Every document scored by two co-trained views."""
     docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
     return quality.score(docs, quality.train(docs, table(spark, d, "labels", "doc_id", "quality", "toxic")))
+
+
+@query
+def op3_weighted_sampling(spark, d):
+    """Fingerprints of every document, of its edited text, and their likeness to each other and the next document's."""
+    return sampling.compared(table(spark, d, "documents", "doc_id", "text"))
+
+
+@query
+def op10_ngram_jaccard(spark, d):
+    """Components of documents that share 90 per cent of their word triples."""
+    return ngram_join.linked_components(table(spark, d, "documents", "doc_id", "text"))
