@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls
+from tachado.llm import chat, credentials, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls, windows
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,10 @@ def op3_weighted_sampling(spark, d):
 def op10_ngram_jaccard(spark, d):
     """Components of documents that share 90 per cent of their word triples."""
     return ngram_join.linked_components(table(spark, d, "documents", "doc_id", "text"))
+
+
+@query
+def op2_window_dedup(spark, d):
+    """Words under repeated windows removed from every document."""
+    kept = windows.deduplicated(table(spark, d, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
