@@ -56,7 +56,7 @@ class Model:
         """Probabilities of being good: by text, by metadata, by both; one half each without a model."""
         if self.text is None:
             return np.full((len(found), 3), 0.5)
-        raw = np.stack([_linear(_rows(found), self.text), _dense(metadata, self.centre, self.spread) @ self.meta], axis=1)
+        raw = np.stack([_linear(_rows(found), self.text, len(found)), _dense(metadata, self.centre, self.spread) @ self.meta], axis=1)
         own = [_sigmoid(a * raw[:, i] + b) for i, (a, b) in enumerate(self.calibrated[:2])]
         return np.stack([*own, _sigmoid(raw @ self.calibrated[2][:2] + self.calibrated[2][2])], axis=1)
 
@@ -93,9 +93,8 @@ def _rows(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found) if found else np.zeros(0, np.int64)).astype(np.int64), np.repeat(np.arange(len(found)), sizes)
 
 
-def _linear(rows: tuple[np.ndarray, np.ndarray], weights: np.ndarray, n: int | None = None) -> np.ndarray:
+def _linear(rows: tuple[np.ndarray, np.ndarray], weights: np.ndarray, n: int) -> np.ndarray:
     at, row = rows
-    n = int(row.max()) + 1 if n is None and len(row) else (n or 0)
     return np.bincount(row, weights[at], minlength=n) + weights[-1]
 
 
