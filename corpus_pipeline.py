@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import credentials, tiling
+from tachado.llm import credentials, ngram_join, packing, quality, tiling
+from tachado.llm.queries import vocabulary
 from tachado.llm.tables import table, written
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier scores below one half go."""
+    return quality.kept(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near-equal sets of word triples the one of the smallest doc_id stays."""
+    return ngram_join.first_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return tiling.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -15,14 +26,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by marks; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     return credentials.mask(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("secret scans", mask_secrets)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as pieces of sequences of 1024 ids, neighbours on the curve together."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [("quality classifier", classify), ("n-gram Jaccard join", one_of_each), ("benchmark decontamination", decontaminate),
+          ("secret scans", mask_secrets), ("packing", pack)]
 
-#: Classification, similarity search and packing are not SQL's; tests hold the stages against brute force.
+#: Classification, tokenizing and packing are not SQL's; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
