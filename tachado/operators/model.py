@@ -13,16 +13,24 @@ from tachado import constants as K
 from tachado.functions.display import clamp01, lookup
 from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col, is_blank, quote, strip
-from tachado.operators.overlap import explode_entities
+from tachado.operators.overlap import candidate_order, explode_entities
 from tachado.schemas import CANDIDATE, CANDIDATES
 
 _PARSED = T.ArrayType(T.StructType([
     T.StructField("text", T.StringType()), T.StructField("type", T.StringType()), T.StructField("hint", T.LongType())]))
 
 
-def truncate_text(pages: DataFrame, limit: int = K.MODEL_TEXT_LIMIT) -> DataFrame:
-    """Pages cut to what one model call may see; rules still see everything (P5)."""
-    return pages.withColumn("text", F.left("text", F.lit(limit)))
+def prompt_windows(pages: DataFrame, size: int = K.MODEL_TEXT_LIMIT, overlap: int = K.MODEL_WINDOW_OVERLAP) -> DataFrame:
+    """Pages as overlapping windows of at most ``size`` characters, one model call each: no text goes unseen (P5).
+
+    ``text`` becomes the window's; ``window``, ``window_start`` and ``page_chars`` say where it lies.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("windows must be longer than their overlap")
+    n = F.length("text")
+    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(size - overlap))
+    cut = pages.withColumn("page_chars", n).select("*", F.posexplode(F.coalesce(starts, F.array(F.lit(0)))).alias("window", "window_start"))
+    return cut.withColumn("text", F.substr("text", F.col("window_start") + 1, F.lit(size)))
 
 
 def build_prompt(pages: DataFrame, template=None) -> DataFrame:
@@ -196,9 +204,8 @@ def model_candidates(pages: DataFrame, types: list[str] | None = None) -> DataFr
     """Pages with a ``response`` -> pages with a ``candidates`` array of located entities."""
     parsed = pages.withColumn("_valid", F.when(F.col("response").isNotNull(), parse_response("response")))
     parsed = parsed.withColumn("_valid", valid_entities("_valid", types))
-    parsed = parsed.withColumn("_seen", F.left("text", F.lit(K.MODEL_TEXT_LIMIT)))
-    return parsed.withColumn("candidates", F.when(F.size("_valid") > 0, located("_seen", "_valid"))
-                             .otherwise(F.array().cast(CANDIDATES))).drop("_valid", "_seen")
+    return parsed.withColumn("candidates", F.when(F.size("_valid") > 0, located("text", "_valid"))
+                             .otherwise(F.array().cast(CANDIDATES))).drop("_valid")
 
 
 def locate_entities(pages: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -206,6 +213,23 @@ def locate_entities(pages: DataFrame, types: list[str] | None = None) -> DataFra
     return explode_entities(model_candidates(pages, types), "candidates")
 
 
+def locate_in_windows(windows: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Entities of answered windows (``prompt_windows``), one row each, at their place in the page.
+
+    What touches an inner edge may be cut off there and is left to the neighbour, which holds it whole; what two
+    windows found counts once.
+    """
+    found = model_candidates(windows, types)
+    whole = F.filter("candidates", lambda c: ((c["start_offset"] > 0) | (F.col("window_start") == 0)) & (
+        (c["end_offset"] < F.length("text")) | (F.col("window_start") + F.length("text") >= F.col("page_chars"))))
+    moved = F.transform(whole, lambda c: c.withField("start_offset", c["start_offset"] + F.col("window_start")).withField(
+        "end_offset", c["end_offset"] + F.col("window_start")).withField("ord", F.col("window") * 1_000_000 + c["ord"]).cast(CANDIDATE))
+    rows = explode_entities(found.withColumn("candidates", moved), "candidates")
+    rest = [c for c in rows.columns if c != "ord"]
+    once = rows.groupBy(*rest).agg(F.min("ord").alias("ord")).select(*rows.columns)
+    return candidate_order(once, ["ord"])
+
+
 def map_types(entities: DataFrame, mapping: dict | None = None) -> DataFrame:
     """External type names to own ones; unmapped entities go."""
     own = lookup("type", mapping or K.EXTERNAL_TYPES, F.lit(None).cast("string"))

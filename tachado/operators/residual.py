@@ -8,33 +8,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado import constants as K
 from tachado.functions.display import severity_label
+from tachado.functions.text import as_col
 from tachado.operators.detect import page_candidates
+from tachado.operators.mask import label
 from tachado.operators.overlap import explode_entities
 
 DISABLED, REQUESTED, UNAVAILABLE = "DISABLED", "REQUESTED", "UNAVAILABLE"
 
 
-def residual_scan(masked_pages: DataFrame, rules: Iterable | None = None) -> DataFrame:
+def label_spans(entities, labels: dict | None = None) -> Column:
+    """Where the labels of settled entities lie in the masked text, as an array of (s, e)."""
+    each = F.transform(as_col(entities), lambda e: F.struct(
+        e["start_offset"].alias("at"), F.length(label(e["type"], e["source"], labels)).alias("n"), (e["end_offset"] - e["start_offset"]).alias("was")))
+    start = F.struct(F.lit(0).alias("moved"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+    return F.aggregate(each, start, lambda acc, x: F.struct(
+        (acc["moved"] + x["n"] - x["was"]).alias("moved"),
+        F.concat(acc["out"], F.array(F.struct((x["at"] + acc["moved"]).alias("s"), (x["at"] + acc["moved"] + x["n"]).alias("e")))).alias("out")),
+        lambda acc: acc["out"])
+
+
+def residual_scan(masked_pages: DataFrame, rules: Iterable | None = None, labels: dict | None = None) -> DataFrame:
     """Personal data that still matches on masked text.
 
-    A label that was put there (``[TYPE-R]``) is not personal data: hits inside one go.
+    ``masked_pages`` comes from ``mask_pages``: ``entities`` says where labels were put, and only hits inside one of
+    those go; brackets that were in the text before are searched like the rest.
     """
     found = page_candidates(masked_pages.withColumn("text", F.col("masked_text")), rules)
-    label = r"\[[^\[\]\s]+\]"
-    spans = F.split("text", label, -1)
-    labels = F.regexp_extract_all("text", F.lit(label), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    places = F.aggregate(
-        F.filter(F.arrays_zip(spans.alias("p"), labels.alias("m")), lambda z: z["m"].isNotNull()), start,
-        lambda acc, z: F.struct(
-            (acc["at"] + F.length(z["p"]) + F.length(z["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(z["p"])).alias("s"),
-                (acc["at"] + F.length(z["p"]) + F.length(z["m"])).alias("e")))).alias("out")),
-        lambda acc: acc["out"])
-    hits = found.withColumn("_labels", F.when(F.size("candidates") > 0, places))
+    hits = found.withColumn("_labels", F.when((F.size("candidates") > 0) & (F.size("entities") > 0), label_spans("entities", labels)))
     kept = F.filter("candidates", lambda c: ~F.exists(
-        "_labels", lambda p: (c["start_offset"] >= p["s"]) & (c["end_offset"] <= p["e"])))
+        F.coalesce("_labels", F.array().cast("array<struct<s:int,e:int>>")), lambda p: (c["start_offset"] >= p["s"]) & (c["end_offset"] <= p["e"])))
     return explode_entities(hits.withColumn("candidates", kept), "candidates")
 
 

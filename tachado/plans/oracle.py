@@ -123,9 +123,8 @@ _ENTITY = "doc_id, page, ord, type, start_offset, end_offset, text, source, conf
 MODEL = """names AS (
   SELECT doc_id, page, text, unnest(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) AS name,
     unnest(range(0, len(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')))) AS i FROM pg WHERE len(text) % 5 <> 0),
-seen AS (SELECT doc_id, page, left(text, 10000) AS text, name, i FROM names),
 spots AS (
-  SELECT doc_id, page, text, name, i, CAST(instr(text, name) AS BIGINT) AS pos FROM seen WHERE contains(text, name)
+  SELECT doc_id, page, text, name, i, CAST(instr(text, name) AS BIGINT) AS pos FROM names WHERE contains(text, name)
   UNION ALL
   SELECT doc_id, page, text, name, i, pos + instr(substring(text, pos + 1), name) FROM spots WHERE instr(substring(text, pos + 1), name) > 0),
 placed AS (SELECT doc_id, page, name, i, arg_min(pos - 1, (abs(pos - 1 - i * 50), pos)) AS s FROM spots GROUP BY ALL),
@@ -147,7 +146,7 @@ def sql(name: str, ctes: list[str], select: str) -> None:
 sql("detect_default_rules", [DOC_PAGES, found_ctes(False)], f"SELECT {_ENTITY} FROM found")
 sql("detect_every_rule", [DOC_PAGES, found_ctes(True)], f"SELECT {_ENTITY} FROM found")
 sql("page_html_rules", ["pg AS (SELECT page_id AS doc_id, 1 AS page, html AS text FROM pages)",
-                        found_ctes(True, only=("EMAIL", "DNI", "FECHA", "TARJETA_CREDITO"))], f"SELECT {_ENTITY} FROM found")
+                        found_ctes(True)], f"SELECT {_ENTITY} FROM found")
 sql("detect_user_rules", [DOC_PAGES, found_ctes(False, only=("EMAIL",)),
     """rep AS (SELECT doc_id, page, regexp_extract_all(text, rx) AS m, string_split_regex(text, rx) AS s FROM
   (SELECT *, '0{4,}|1{4,}|2{4,}|3{4,}|4{4,}|5{4,}|6{4,}|7{4,}|8{4,}|9{4,}' AS rx FROM pg) WHERE regexp_matches(text, rx)),
@@ -197,18 +196,24 @@ sql("reading_order", [DOC_PAGES, found_ctes(True)], "SELECT doc_id, page, start_
 
 # ---------------------------------------------------------------- model
 
-sql("model_prompts", [], """SELECT doc_id, CAST(len(prompt) AS INTEGER) AS length, md5(prompt) AS digest, prompt IS NULL AS failed FROM (
-  SELECT doc_id, CASE WHEN source = 'src0' THEN NULL WHEN source LIKE '%1' THEN 'Sin marca' || chr(10) || chr(10) || 'TEXTO A ANALIZAR:' || chr(10) || '---' || chr(10) || left(text, 10000) || chr(10) || '---'
-    ELSE 'Ver ' || left(text, 10000) || ' y ' || left(text, 10000) || '.' END AS prompt FROM documents)""")
+# Windows of 10 000 characters, each 500 characters into the one before.
+WINDOWS = """win AS (SELECT doc_id, text AS whole, CAST(unnest(range(0, greatest(len(text) - 500, 1), 9500)) AS INTEGER) AS a FROM documents),
+pg AS (SELECT doc_id, CAST(a // 9500 AS INTEGER) AS page, a, len(whole) AS n, substring(whole, a + 1, 10000) AS text FROM win)"""
+sql("model_prompts", [WINDOWS], """SELECT doc_id, page AS "window", CAST(len(prompt) AS INTEGER) AS length, md5(prompt) AS digest, prompt IS NULL AS failed FROM (
+  SELECT doc_id, page, CASE WHEN source = 'src0' THEN NULL WHEN source LIKE '%1' THEN 'Sin marca' || chr(10) || chr(10) || 'TEXTO A ANALIZAR:' || chr(10) || '---' || chr(10) || pg.text || chr(10) || '---'
+    ELSE 'Ver ' || pg.text || ' y ' || pg.text || '.' END AS prompt FROM pg JOIN documents USING (doc_id))""")
 sql("model_elements", [], """SELECT doc_id, CAST(pos AS INTEGER) AS pos, text, CASE WHEN text IS NULL THEN NULL ELSE 'NOMBRE' END AS type, hint, failed FROM (
   SELECT doc_id, unnest(range(0, len(n) + 1)) AS pos, unnest(list_append(n, 'Nadie Aqui Zzz')) AS text,
     unnest(list_append(list_transform(range(0, len(n)), lambda i: i * 50), 3)) AS hint, false AS failed
   FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS n FROM documents WHERE len(text) % 5 <> 0)
   UNION ALL SELECT doc_id, NULL, NULL, NULL, true FROM documents WHERE len(text) % 5 = 0)""")
 sql("model_entities", [DOC_PAGES, MODEL], f"SELECT {_ENTITY} FROM by_model")
-sql("scored_pages", ["pg AS (SELECT doc_id, 1 AS page, left(text, 10000) AS text FROM documents)",
-    edged_cte("named", "pg", _W, f"[A-Z][a-z]+ [A-Z][a-z]+[^{_W}]")],
-    "SELECT doc_id, page, CAST(k - 1 AS INTEGER) AS ord, 'NOMBRE' AS type, start_offset, CAST(start_offset + len(ent) AS INTEGER) AS end_offset, ent AS text, 'bedrock' AS source, 0.85::DOUBLE AS confidence FROM named WHERE k > 0")
+sql("scored_pages", [WINDOWS, edged_cte("named", "pg", _W, f"[A-Z][a-z]+ [A-Z][a-z]+[^{_W}]"),
+    """whole AS (SELECT named.doc_id, page, k, start_offset + pg.a AS s, start_offset + len(ent) + pg.a AS e, ent FROM named JOIN pg USING (doc_id, page)
+  WHERE k > 0 AND (start_offset > 0 OR pg.a = 0) AND (start_offset + len(ent) < len(pg.text) OR pg.a + len(pg.text) >= pg.n)),
+once AS (SELECT doc_id, s, e, ent, min((page, k)) AS first FROM whole GROUP BY ALL)"""],
+    """SELECT doc_id, 1 AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS INTEGER) AS ord, 'NOMBRE' AS type, CAST(s AS INTEGER) AS start_offset,
+  CAST(e AS INTEGER) AS end_offset, ent AS text, 'bedrock' AS source, 0.85::DOUBLE AS confidence FROM once""")
 sql("find_all", ["""spots AS (
   SELECT doc_id, text, CAST(1 AS BIGINT) AS pos FROM documents WHERE text <> ''
   UNION ALL SELECT doc_id, text, pos + instr(substring(text, pos + 1), left(text, 4)) FROM spots WHERE instr(substring(text, pos + 1), left(text, 4)) > 0)"""],
@@ -287,8 +292,8 @@ def _renamed(ctes: str, tag: str) -> str:
 
 
 _LEFT = [*_AFTER, _renamed(found_ctes(True, "mp"), "left"),
-         r"""lab AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS k, m, s FROM (SELECT doc_id, regexp_extract_all(text, '\[[^\[\]\s]+\]') AS m, string_split_regex(text, '\[[^\[\]\s]+\]') AS s FROM mp)),
-labs AS (SELECT doc_id, list_sum(list_transform(s[:k], lambda x: len(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: len(x))), 0) AS a, len(m[k]) AS n FROM lab),
+         """labs AS (SELECT doc_id, len(label) AS n, start_offset + coalesce(sum(len(label) - (end_offset - start_offset))
+  OVER (PARTITION BY doc_id, page ORDER BY start_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM masked_g),
 remains AS (SELECT * FROM left_found f WHERE NOT EXISTS (SELECT 1 FROM labs l WHERE l.doc_id = f.doc_id AND f.start_offset >= l.a AND f.end_offset <= l.a + l.n))"""]
 sql("residual_scan", _LEFT, "SELECT doc_id, type, start_offset, end_offset, text FROM remains")
 ORACLE["stream_residual"] = ORACLE["residual_scan"]

@@ -62,7 +62,7 @@ def detect_user_rules(spark, d):
 def page_html_rules(spark, d):
     pages = read_table(spark, d, "pages", "page_id", "html", spread=True).select(
         F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.col("html").alias("text"))
-    return detect.detect_rules(pages, [r for r in roles.ALL_RULES if r["type"] in ("EMAIL", "DNI", "FECHA", "TARJETA_CREDITO")]).select(*ENTITY)
+    return detect.detect_rules(pages, roles.ALL_RULES).select(*ENTITY)
 
 
 @query
@@ -143,11 +143,11 @@ def reading_order(spark, d):
 
 @query
 def model_prompts(spark, d):
-    pages = model.truncate_text(roles.doc_pages(spark, d))
+    pages = model.prompt_windows(roles.doc_pages(spark, d))
     template = (F.when(F.col("user_id") == "src0", "   ").when(F.col("user_id").endswith("1"), "Sin marca")
                 .otherwise("Ver {text} y {text}."))
     out = model.build_prompt(pages, template)
-    return out.select("doc_id", F.length("prompt").alias("length"), F.md5("prompt").alias("digest"), F.col("prompt_error").isNotNull().alias("failed"))
+    return out.select("doc_id", "window", F.length("prompt").alias("length"), F.md5("prompt").alias("digest"), F.col("prompt_error").isNotNull().alias("failed"))
 
 
 @query
@@ -165,9 +165,9 @@ def model_entities(spark, d):
 
 @query
 def scored_pages(spark, d):
-    pages = model.build_prompt(model.truncate_text(roles.doc_pages(spark, d)))
-    scored = model.score_pages(pages, model.capitalized_names_scorer, temperature=F.lit(1.7), batch=64)
-    return model.locate_entities(scored).select(*ENTITY)
+    windows = model.build_prompt(model.prompt_windows(roles.doc_pages(spark, d)))
+    scored = model.score_pages(windows, model.capitalized_names_scorer, temperature=F.lit(1.7), batch=64)
+    return model.locate_in_windows(scored).select(*ENTITY)
 
 
 @query
