@@ -57,7 +57,7 @@ def validate_files(files: DataFrame) -> DataFrame:
     """Files with the first check they fail, size before header.
 
     ``content`` may be absent (metadata only: size is the only check).  Where the
-    files are on storage, ``sources.files.read_valid`` drops oversized ones by
+    files are on storage, ``sources.files.validate_folder`` drops oversized ones by
     their length before any content is read.
     """
     reasons = [size_reason("length")] + ([header_reason("content")] if "content" in files.columns else [])

@@ -42,16 +42,21 @@ def in_window(ts, width: str = K.WINDOW) -> Column:
     return F.window(ts, width)["start"].alias("window_start")
 
 
+def threshold(thresholds: dict[str, float], default: float) -> Column:
+    """The threshold of a row's ``name``."""
+    limit = F
+    for name, value in thresholds.items():
+        limit = limit.when(F.col("name") == name, float(value))
+    return limit.otherwise(float(default)) if thresholds else F.lit(float(default))
+
+
 def error_alarms(metrics: DataFrame, width: str = K.WINDOW, thresholds: dict[str, float] | None = None,
                  default: float = K.ERRORS_PER_WINDOW) -> DataFrame:
     """Sum per name and window, and whether it is over the name's threshold (A10).
 
     A window without points has no row and raises nothing.
     """
-    limit = F
-    for name, value in (thresholds or {}).items():
-        limit = limit.when(F.col("name") == name, float(value))
-    limit = limit.otherwise(float(default)) if thresholds else F.lit(float(default))
+    limit = threshold(thresholds or {}, default)
     sums = metrics.groupBy(in_window("ts", width), "name").agg(F.sum("value").alias("total"))
     return sums.withColumn("breaching", F.col("total") > limit)
 

@@ -88,19 +88,11 @@ def scope_findings(findings: DataFrame, user, bucket: str | None = None) -> Data
 
 
 def top_findings(findings: DataFrame, n: int = K.TOP_FINDINGS, user=None, bucket: str | None = None,
-                 category: str = "CLASSIFICATION", filter_first: bool = True) -> DataFrame:
-    """The newest findings of a category (T5).
-
-    By default the user's findings are picked before the newest ``n`` are;
-    ``filter_first=False`` cuts to ``n`` first and so may show fewer than there are.
-    """
+                 category: str = "CLASSIFICATION") -> DataFrame:
+    """The newest ``n`` findings of a category, of the user's if one is named (T5)."""
     of_kind = findings.filter(F.col("category") == category)
-    newest = [F.col("updated_at").desc(), F.col("id")]
-    if user is None:
-        return of_kind.orderBy(*newest).limit(n)
-    if filter_first:
-        return scope_findings(of_kind, user, bucket).orderBy(*newest).limit(n)
-    return scope_findings(of_kind.orderBy(*newest).limit(n), user, bucket)
+    mine = of_kind if user is None else scope_findings(of_kind, user, bucket)
+    return mine.orderBy(F.col("updated_at").desc(), F.col("id")).limit(n)
 
 
 def finding_summary(findings: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def list_documents(status: DataFrame, user, limit: int = K.LIST_LIMIT, order: st
     """
     by = {"uploaded": "uploaded_at", "index": "index_key"}[order]
     return (status.filter(F.col("user_id") == user).orderBy(F.col(by).desc_nulls_last(), F.col("document_id").desc())
-            .limit(min(int(limit), K.LIST_LIMIT_MAX)))
+            .limit(int(limit)))
 
 
 def page_token(row, order_by: str = "uploaded_at", key: str = "document_id") -> str:
@@ -100,7 +100,7 @@ def next_page(df: DataFrame, token: str | None, limit: int = K.LIST_LIMIT, order
         bound = F.lit(last).cast(df.schema[order_by].dataType)
         k = F.lit(last_key).cast(df.schema[key].dataType)
         df = df.filter((F.col(order_by) < bound) | ((F.col(order_by) == bound) & (F.col(key) < k)))
-    return df.orderBy(F.col(order_by).desc(), F.col(key).desc()).limit(min(int(limit), K.LIST_LIMIT_MAX))
+    return df.orderBy(F.col(order_by).desc(), F.col(key).desc()).limit(int(limit))
 
 
 def page_of(df: DataFrame, n: int, size: int = K.PAGE_SIZE) -> DataFrame:

@@ -833,11 +833,6 @@ def top_findings(spark, d):
     return residual.top_findings(roles.findings(spark, d), user="src1", bucket="docs-bucket-123").select("id", "scope", "severity", "updated_at")
 
 
-@query
-def top_findings_cut_first(spark, d):
-    return residual.top_findings(roles.findings(spark, d), user="src1", bucket="docs-bucket-123", filter_first=False).select("id", "scope", "severity", "updated_at")
-
-
 @query
 def finding_summary(spark, d):
     return residual.finding_summary(residual.scope_findings(roles.findings(spark, d), "src1"))
@@ -920,6 +915,14 @@ def _drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
+def _in_batches(rows: DataFrame, batch, n: int = 3) -> DataFrame:
+    """``rows`` as a stream of ``n`` micro-batches, by a column that numbers them."""
+    spark, at = rows.sparkSession, f"{_folder(rows.sparkSession)}/in"
+    for i in range(n):
+        rows.filter(batch == i).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/{table}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
@@ -927,14 +930,14 @@ def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 @query
 def stream_masked(spark, d):
-    docs = _stream(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism)
+    docs = _stream(spark, d, "documents")
     pages = docs.select("doc_id", F.lit(1).alias("page"), "text")
     return _drained(flows.mask_stream(pages).select("doc_id", F.size("entities").alias("n_entities"), "masked_text"))
 
 
 @query
 def stream_residual(spark, d):
-    docs = _stream(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism)
+    docs = _stream(spark, d, "documents")
     masked = flows.mask_stream(docs.select("doc_id", F.lit(1).alias("page"), "text"))
     return _drained(flows.residual_stream(masked, roles.ALL_RULES).select("doc_id", "type", "start_offset", "end_offset", "text"))
 
@@ -942,15 +945,16 @@ def stream_residual(spark, d):
 @query
 def stream_alarms(spark, d):
     m = _stream(spark, d, "events").select("ts", F.col("event_type").alias("name"), "value")
-    out = _drained(flows.alarm_stream(m, default=60.0).withColumn("total", F.round("total", 4)))
+    out = _drained(flows.alarm_stream(m, thresholds={"purchase": 30.0, "error": 90.0}, default=60.0).withColumn("total", F.round("total", 4)))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query
 def stream_deduplicated(spark, d):
-    e = _stream(spark, d, "events").select("event_id", F.col("user_id"), F.get_json_object("props", "$.k").alias("document_id"), "ts")
-    twice = e.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")).drop("copy")
-    return _drained(flows.dedup_arrivals(twice)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Events as notifications that arrive in three batches; a document's are spread over them, out of order."""
+    e = read_table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("document_id"), "ts")
+    out = _drained(flows.dedup_arrivals(_in_batches(e, F.col("event_id") * 7 % 3), "3650 days"))
+    return out.select("user_id", "document_id")
 
 
 @query
@@ -965,7 +969,7 @@ def stream_stuck(spark, d):
 
 @query
 def stream_last_status(spark, d):
-    e = _stream(spark, d, "events")
+    e = _in_batches(read_table(spark, d, "events"), F.col("event_id") * 7 % 3)
     doc = F.concat(F.lit("doc-"), F.get_json_object("props", "$.k"))
     events = e.select("user_id", doc.alias("document_id"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq"))
     at = _folder(spark)
@@ -973,9 +977,10 @@ def stream_last_status(spark, d):
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    q = (flows.status_stream(events).writeStream.outputMode("complete").foreachBatch(keep)
+    q = (flows.status_stream(events).writeStream.outputMode("update").foreachBatch(keep)
          .option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    every = spark.read.parquet(f"{at}/out")
-    newest = every.agg(F.max("batch").alias("batch"))
-    return every.join(newest, "batch", "left_semi").drop("batch")
+    # A batch holds the documents it changed; the last one of each counts.
+    changes = spark.read.parquet(f"{at}/out")
+    last = changes.groupBy("user_id", "document_id").agg(F.max_by(F.struct("status", "ts", "events"), "batch").alias("s"))
+    return last.select("user_id", "document_id", "s.*")

@@ -24,9 +24,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    A temporary one stands in only where everything runs in one process, as in tests; elsewhere a name is required.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or os.path.join(tempfile.gettempdir(), "tachado")
 
 

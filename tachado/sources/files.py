@@ -31,12 +31,13 @@ def _listing(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None, limit: int = K.FILE_LIST_LIMIT) -> DataFrame:
-    """Newest files under a folder by name, size and time; content is not read."""
+def list_files(spark: SparkSession, root: str, glob: str | None = None, limit: int | None = None) -> DataFrame:
+    """Files under a folder by name, size and time, the newest first, all of them or ``limit``; content is not read."""
     files = _listing(spark, root, glob).select(
         F.col("path").alias("key"), F.substring_index("path", "/", -1).alias("name"),
         F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    return files.orderBy(F.col("modified").desc(), "key").limit(limit)
+    ordered = files.orderBy(F.col("modified").desc(), "key")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def validate_folder(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
@@ -114,14 +115,18 @@ def read_entities(spark: SparkSession, path: str, docs: DataFrame | None = None,
 
 # ---------------------------------------------------------------- reports
 
+#: Neighbouring sections that are written by the same task.
+SECTIONS_PER_TASK = 1000
+
+
 def write_reports(sections: DataFrame, path: str, mode: str = "append", by_document: bool = False) -> None:
     """Report sections in order (S9): a parquet table, or text under ``user_id=…/doc_id=…`` with ``by_document``.
 
-    Sections are spread by range and sorted, so a long document is written by many
-    tasks; its rows (or its part files, in name order) read in page order.
+    Stretches of a document's sections are spread by hash and sorted, so a long one is written by many tasks and the
+    sections are made once; ``section`` gives their order.
     """
     key = ["user_id", "doc_id", "section"]
-    ordered = sections.select(*key, "body").repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered = sections.select(*key, "body").repartition("doc_id", F.floor(F.col("section") / SECTIONS_PER_TASK)).sortWithinPartitions(*key)
     if by_document:
         ordered.select("user_id", "doc_id", F.col("body").alias("value")).write.mode(mode).partitionBy("user_id", "doc_id").text(path)
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tachado import constants as K
+from tachado.operators.observe import threshold
 from tachado.operators.residual import residual_scan
 from tachado.plans.corpus import entities_of, mask_pages
 
@@ -48,13 +49,14 @@ def residual_stream(masked: DataFrame, rules: Iterable | None = None) -> DataFra
 
 
 def alarm_stream(metrics: DataFrame, watermark: str = "10 minutes", width: str = K.WINDOW,
-                 default: float = K.ERRORS_PER_WINDOW) -> DataFrame:
-    """Windows whose sum is over the threshold, once the watermark closes them.
+                 thresholds: dict[str, float] | None = None, default: float = K.ERRORS_PER_WINDOW) -> DataFrame:
+    """Windows whose sum is over their name's threshold, once the watermark closes them.
 
-    A window without points emits nothing: missing data does not breach.
+    Names without one of their own take ``default``.  A window without points emits nothing: missing data does not breach.
     """
     sums = timed(metrics).withWatermark("ts", watermark).groupBy(in_window_struct(width), "name").agg(F.sum("value").alias("total"))
-    return sums.filter(F.col("total") > default).select(F.col("window.start").alias("window_start"), "name", "total")
+    over = F.col("total") > threshold(K.THRESHOLDS if thresholds is None else thresholds, default)
+    return sums.filter(over).select(F.col("window.start").alias("window_start"), "name", "total")
 
 
 def latency_stream(metrics: DataFrame, watermark: str = "10 minutes", width: str = K.WINDOW,
@@ -75,54 +77,53 @@ def in_window_struct(width: str):
 
 
 def dedup_arrivals(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """One notification per file within the watermark: a file sent again is the same document."""
-    return timed(events).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "document_id", "event_id"])
+    """One notification per file within the watermark: a file sent again is the same document, whatever its event."""
+    return timed(events).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["user_id", "document_id"])
 
 
 def status_stream(events: DataFrame) -> DataFrame:
     """Last state per document, last write by event time wins.
 
-    Plain state aggregation: an event older than the last one cannot take its place.
+    Plain state aggregation: an event older than the last one cannot take its place.  Meant for update mode, in which a
+    batch emits only the documents it changed.
     """
     last = F.max_by(F.struct("status", "ts"), F.struct("ts", "seq"))
     return events.groupBy("user_id", "document_id").agg(last.alias("s"), F.count(F.lit(1)).alias("events")).select(
         "user_id", "document_id", F.col("s.status").alias("status"), F.col("s.ts").alias("ts"), "events")
 
 
+FINAL = ("COMPLETED", "FAILED")
 _STUCK = "user_id string, document_id string, status string, since timestamp, stuck boolean"
 
 
 def stuck_documents(events: DataFrame, timeout: str = "10 minutes", watermark: str = "1 minute") -> DataFrame:
     """Documents that reached no final state within the timeout, by event time.
 
-    Emits a document once when its timer fires; a final state clears the timer.
+    Emits a document once when its timer fires.  A final state stops the timer but is remembered until the watermark has
+    passed it, so an older event that comes late does not start it again; of equal times the larger ``seq`` is the later.
     """
     limit_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, since, seq = state.get if state.exists else (None, -1, -1)
         if state.hasTimedOut:
-            status, since = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], key[1], status, pd.Timestamp(since, unit="ms"), True)],
-                               columns=["user_id", "document_id", "status", "since", "stuck"])
+            if status not in FINAL:
+                yield pd.DataFrame([(key[0], key[1], status, pd.Timestamp(since, unit="ms"), True)],
+                                   columns=["user_id", "document_id", "status", "since", "stuck"])
             return
-        status, since = state.get if state.exists else (None, -1)
         for frame in frames:
             if len(frame):
                 newest = frame.sort_values(["ts", "seq"]).iloc[-1]
-                at = int(pd.Timestamp(newest["ts"]).value // 1_000_000)
-                if at >= since:
-                    status, since = newest["status"], at
+                at, number = int(pd.Timestamp(newest["ts"]).value // 1_000_000), int(newest["seq"])
+                if (at, number) >= (since, seq):
+                    status, since, seq = newest["status"], at, number
         if status is None:
             return
-        if status in ("COMPLETED", "FAILED"):
-            if state.exists:
-                state.remove()
-            return
-        state.update((status, since))
-        state.setTimeoutTimestamp(max(since + limit_ms, state.getCurrentWatermarkMs() + 1))
+        state.update((status, since, seq))
+        state.setTimeoutTimestamp(max(since + (1 if status in FINAL else limit_ms), state.getCurrentWatermarkMs() + 1))
 
     typed = timed(events).withColumn("user_id", F.col("user_id").cast("string"))
     return (typed.withWatermark("ts", watermark).groupBy("user_id", "document_id")
-            .applyInPandasWithState(advance, _STUCK, "status string, since long", "append",
+            .applyInPandasWithState(advance, _STUCK, "status string, since long, seq long", "append",
                                     GroupStateTimeout.EventTimeTimeout))

@@ -55,7 +55,26 @@ def test_prompts(spark):
     assert model.build_prompt(df, "sin").first().prompt == "sin\n\nTEXTO A ANALIZAR:\n---\nxxx\n---"
     blank = model.build_prompt(df, " \n").first()
     assert blank.prompt is None and blank.prompt_error
-    assert model.truncate_text(df, 2).first().text == "xx"
+
+
+def test_names_far_into_a_page_are_found(spark):
+    text = "x" * 9_990 + " Ana Paz " + "y " * 5_000 + "Eva Sol"
+    df = spark.createDataFrame([(1, 1, text), (2, 1, ""), (3, 1, None), (4, 1, "Luz Mar")], "doc_id int, page int, text string")
+    answered = df.filter("doc_id = 1").withColumn("response", F.lit(json.dumps([{"text": "Eva Sol", "type": "NOMBRE", "start_offset": 0}])))
+    assert [r.start_offset for r in model.locate_entities(answered).collect()] == [text.index("Eva Sol")]
+    windows = model.prompt_windows(df, 10_000, 500).collect()
+    for doc, own in ((1, text), (2, ""), (4, "Luz Mar")):
+        seen = set()
+        for w in windows:
+            if w.doc_id == doc:
+                assert w.text == own[w.window_start:w.window_start + 10_000] and w.page_chars == len(own)
+                seen |= set(range(w.window_start, w.window_start + len(w.text)))
+        assert seen == set(range(len(own)))
+    scored = model.score_pages(model.build_prompt(model.prompt_windows(df.na.fill(""), 50, 20)), model.capitalized_names_scorer)
+    found = model.locate_in_windows(scored).collect()
+    assert sorted((r.doc_id, r.text, r.start_offset) for r in found) == [
+        (1, "Ana Paz", text.index("Ana Paz")), (1, "Eva Sol", text.index("Eva Sol")), (4, "Luz Mar", 0)]
+    assert sorted(r.ord for r in found if r.doc_id == 1) == [0, 1]
 
 
 def test_one_bad_page_leaves_the_others(spark):
