@@ -158,20 +158,21 @@ def locate(entities: DataFrame, pages: DataFrame, words: DataFrame, ocr_words: D
 
 
 def occurrences_array(text, entities, more=None) -> Column:
-    """All literal occurrences of a page's entity texts as candidates, in entity order, then ``more``.
+    """All occurrences of a page's entity texts in any case as candidates, in entity order, then ``more``.
 
     Occurrences of one text do not overlap; a place already taken by an earlier entity is not taken again.
     """
     t = as_col(text)
+    low = F.lower(t)
 
     def spans(e):
-        pattern = quote(e["text"])
+        pattern = F.concat(F.lit("(?iu)"), quote(e["text"]))
         pieces, n = F.split(t, pattern, -1), F.length(e["text"])
         cuts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast("array<int>"),
                            lambda acc, p: F.concat(acc, F.array(F.length(p) + F.coalesce(
                                F.get(acc, F.size(acc) - 1) + n, F.lit(0)))))
-        return F.when((F.coalesce(e["text"], F.lit("")) != "") & F.contains(t, e["text"]), F.transform(
-            cuts, lambda s: F.struct(F.lit(0), e["type"], s, s + n, e["text"], e["source"], e["confidence"]).cast(CANDIDATE))
+        return F.when((F.coalesce(e["text"], F.lit("")) != "") & F.contains(low, F.lower(e["text"])), F.transform(
+            cuts, lambda s: F.struct(F.lit(0), e["type"], s, s + n, F.substr(t, s + 1, n), e["source"], e["confidence"]).cast(CANDIDATE))
         ).otherwise(F.array().cast(CANDIDATES))
 
     every = F.flatten(F.transform(as_col(entities), spans))
@@ -232,15 +233,15 @@ def relocate(entities: DataFrame, pages: DataFrame) -> DataFrame:
 def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
     """Every occurrence of each entity's text on its page masked, with the count.
 
-    Literal occurrences; for an entity without any, the words that spell it.
+    Literal occurrences in any case, and wherever the words of the page spell it.
     ``occurrences_masked`` counts places, not entities.  Entities that may be on
     another page go through ``relocate`` first.
     """
     none = F.array().cast(CANDIDATES)
     texts = entities.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(candidate_array())).alias("_e"))
     mine = pages.join(texts, _KEYS, "left").withColumn("_e", F.coalesce("_e", none))
-    missing = F.transform("_e", lambda e: F.when(~F.contains("text", e["text"]) & (e["text"] != ""), e["text"]))
-    mine = mine.withColumn("_t", missing).withColumn("_any", F.exists("_t", lambda t: t.isNotNull()))
+    wanted = F.transform("_e", lambda e: F.nullif(e["text"], F.lit("")))
+    mine = mine.withColumn("_t", wanted).withColumn("_any", F.exists("_t", lambda t: t.isNotNull()))
     mine = mine.withColumn("_w", F.when(F.col("_any"), _words_with_offsets(F.col("text"))))
     mine = mine.withColumn("_n", normalize_all(F.transform("_w", lambda w: w["text"]))).withColumn(
         "_t", normalize_all(F.when(F.col("_any"), F.col("_t"))))

@@ -267,18 +267,6 @@ sql("redaction_counts", [DOC_PAGES, found_ctes(True), settled_ctes("found")], ""
   CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS types FROM (SELECT doc_id, type, count(*) AS n FROM settled GROUP BY 1, 2)""")
 sql("nothing_to_mask", [DOC_PAGES, TOGGLES, found_ctes(False)], """SELECT doc_id, CASE WHEN doc_id IN (
   SELECT f.doc_id FROM found f JOIN pg USING (doc_id) LEFT JOIN toggles t ON t.user_id = pg.user_id AND t.type = f.type WHERE coalesce(active, true)) THEN 'MASK' ELSE 'COMPLETED' END AS state FROM documents""")
-# All literal occurrences of each text in turn; a place that is taken stays with the earlier entity.
-sql("mask_occurrences", [DOC_PAGES, found_ctes(False), settled_ctes("found"),
-    """texts AS (SELECT s.doc_id, s.page, s.ord, s.type, s.text AS needle, pg.text, string_split(pg.text, s.text) AS parts FROM settled s JOIN pg USING (doc_id)),
-pieces AS (SELECT doc_id, page, ord, type, needle, unnest(range(1, len(parts) + 1)) AS k, unnest(list_transform(parts, lambda x: len(x))) AS n, len(parts) AS of FROM texts),
-places AS (SELECT doc_id, page, ord, type, needle, s FROM (
-  SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, page, ord ORDER BY k) + (k - 1) * len(needle) AS BIGINT) AS s FROM pieces) WHERE k < of),
-lined AS (SELECT doc_id, page, list({'s': s, 'e': s + len(needle), 't': type} ORDER BY ord, s) AS c FROM places GROUP BY 1, 2),
-taking AS (
-  SELECT doc_id, page, c, CAST(1 AS BIGINT) AS i, c[:0] AS kept FROM lined
-  UNION ALL SELECT doc_id, page, c, i + 1, CASE WHEN len(list_filter(kept, lambda k: greatest(k.s, c[i].s) < least(k.e, c[i].e))) > 0 THEN kept ELSE list_append(kept, c[i]) END FROM taking WHERE i <= len(c)),
-occ AS (SELECT doc_id, page, e.t AS type, CAST(e.s AS INTEGER) AS start_offset, CAST(e.e AS INTEGER) AS end_offset, 'regex' AS source FROM (SELECT doc_id, page, unnest(kept) AS e FROM taking WHERE i = len(c) + 1))""",
-    masked_ctes("occ")], "SELECT doc_id, CAST(n_entities AS BIGINT) AS occurrences_masked, masked_text FROM masked")
 _AFTER = [DOC_PAGES, found_ctes(False), settled_ctes("found"), masked_ctes("settled"), "mp AS (SELECT doc_id, page, masked_text AS text FROM masked)"]
 
 
@@ -367,6 +355,29 @@ boxed AS (SELECT doc_id, page, ord, occurrence, CAST(row_number() OVER (PARTITIO
   FROM runs r JOIN laid l ON l.doc_id = r.doc_id AND l.page = r.page AND l.word_ord BETWEEN first_word AND last_word GROUP BY 1, 2, 3, 4, 5))"""
 _RUN_CTES = [SPLIT_PAGES, LAID, SPOKEN, RUNS]
 sql("locate_tolerant", _RUN_CTES, "SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, occurrence, first_word, last_word FROM runs")
+# Every literal occurrence in any case of each text in turn, then the runs of words that spell it; a place that is taken stays taken.
+_TARGETS = f"targets AS (SELECT doc_id, page, ord, {_NORMAL.format('text')} AS t FROM ent)"
+_OCCURRENCES = """texts AS (SELECT s.doc_id, s.page, s.ord, s.type, s.source, s.text AS needle, string_split(lower(pg.text), lower(s.text)) AS parts FROM ent s JOIN pg USING (doc_id, page)),
+pieces AS (SELECT doc_id, page, ord, type, source, needle, unnest(range(1, len(parts) + 1)) AS k, unnest(list_transform(parts, lambda x: len(x))) AS n, len(parts) AS of FROM texts),
+places AS (SELECT doc_id, page, ord, type, source, needle, s FROM (
+  SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id, page, ord ORDER BY k) + (k - 1) * len(needle) AS BIGINT) AS s FROM pieces) WHERE k < of),
+cut AS (SELECT doc_id, page, string_split_regex(text, '\\s+') AS w, list_append(regexp_extract_all(text, '\\s+'), '') AS gap FROM pg),
+cutw AS (SELECT doc_id, page, unnest(w) AS word, unnest(list_transform(w, lambda x: len(x))) AS n, unnest(list_transform(gap, lambda x: len(x))) AS g, unnest(range(0, len(w))) AS k FROM cut),
+worded AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) - 1 AS word_ord, a, a + n AS b FROM (
+  SELECT *, CAST(coalesce(sum(n + g) OVER (PARTITION BY doc_id, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM cutw) WHERE word <> ''),
+every AS (SELECT doc_id, page, 0 AS step, ord, s, s + len(needle) AS e, type, source FROM places
+  UNION ALL SELECT doc_id, page, 1, ord, list_extract(a, first_word + 1), list_extract(b, last_word + 1), type, source FROM runs JOIN ent USING (doc_id, page, ord)
+  JOIN (SELECT doc_id, page, list(a ORDER BY word_ord) AS a, list(b ORDER BY word_ord) AS b FROM worded GROUP BY 1, 2) USING (doc_id, page)),
+of_one AS (SELECT doc_id, page, step, ord, list({'s': s, 'e': e, 't': type, 'o': source} ORDER BY s) AS items FROM every GROUP BY 1, 2, 3, 4),
+lined AS (SELECT doc_id, page, list(items ORDER BY step, ord) AS c FROM of_one GROUP BY 1, 2),
+taking AS (
+  SELECT doc_id, page, c, CAST(1 AS BIGINT) AS i, c[1][:0] AS kept FROM lined
+  UNION ALL SELECT doc_id, page, c, i + 1, list_concat(kept, list_filter(c[i], lambda x: len(list_filter(kept, lambda k: greatest(k.s, x.s) < least(k.e, x.e))) = 0)) FROM taking WHERE i <= len(c)),
+occ AS (SELECT doc_id, page, e.t AS type, CAST(e.s AS INTEGER) AS start_offset, CAST(e.e AS INTEGER) AS end_offset, e.o AS source FROM (SELECT doc_id, page, unnest(kept) AS e FROM taking WHERE i = len(c) + 1))"""
+sql("mask_occurrences", [DOC_PAGES, found_ctes(False), settled_ctes("found"), "ent AS (SELECT doc_id, page, ord, type, text, source FROM settled)", LAID, _TARGETS, RUNS, _OCCURRENCES, masked_ctes("occ")],
+    "SELECT doc_id, CAST(n_entities AS BIGINT) AS occurrences_masked, masked_text FROM masked")
+sql("mask_spelled", [SPLIT_PAGES, LAID, SPOKEN.partition("targets AS")[0] + "ent AS (SELECT *, 'NOMBRE' AS type, 'bedrock' AS source FROM spoken)", _TARGETS, RUNS, _OCCURRENCES, masked_ctes("occ")],
+    "SELECT doc_id, page, CAST(n_entities AS BIGINT) AS occurrences_masked, masked_text FROM masked")
 sql("boxes_per_line", _RUN_CTES, "SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, occurrence, box, x0, y0, x1, y1 FROM boxed")
 # The boxes of one text never meet, and its second text is a single word: it goes if the first covers half of it.
 sql("dedup_boxes", _RUN_CTES, """SELECT doc_id, page, count(*) AS boxes, sum(x0) AS x0, sum(y1) AS y1 FROM boxed b WHERE ord = 0 OR NOT EXISTS (

@@ -161,6 +161,13 @@ def test_occurrences(spark):
     assert got == {1: ("[N-R] [N-R] b[N-R]na", 3), 2: ("x", 0)}
 
 
+def test_every_spelling_is_masked(spark):
+    pages = spark.createDataFrame([(1, 1, "Ana Paz y ANA PAZ y Ana  Paz, aná-paz")], "doc_id int, page int, text string")
+    ents = spark.createDataFrame([(1, 1, 0, "NOMBRE", 0, 7, "Ana Paz", "bedrock", .9)], "doc_id int, page int, ord int, type string, start_offset int, end_offset int, text string, source string, confidence double")
+    got = locate.mask_occurrences(pages, ents).first()
+    assert (got.masked_text, got.occurrences_masked) == ("[NOMBRE-IA] y [NOMBRE-IA] y [NOMBRE-IA] [NOMBRE-IA]", 4)
+
+
 def test_spelled_and_strayed_occurrences(spark):
     pages = spark.createDataFrame([(1, 1, "Hola JOSÉ  María, ana"), (1, 2, "Ana Paz y Ana Paz"), (2, 1, "x")], "doc_id int, page int, text string")
     rows = [(1, 1, 0, "NOMBRE", 0, 3, "jose maria", "bedrock", .8), (1, 1, 1, "NOMBRE", 0, 3, "Ana Paz", "bedrock", .8), (2, 1, 0, "DNI", 0, 3, "Ana", "regex", .8), (1, 1, 2, "X", 0, 1, "ana", "regex", .9)]
