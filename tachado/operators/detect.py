@@ -174,9 +174,9 @@ def _matches(text: Column, pattern: Column, required, digits: Column | None) ->
 
 
 def detect_rules(pages: DataFrame, rules: Iterable | None = None, base_offset: int = 0,
-                 engine: str = "jvm") -> DataFrame:
-    """Every non-overlapping match of every usable rule, one row per match."""
-    return explode_entities(page_candidates(pages, rules, base_offset, engine), "candidates")
+                 engine: str = "jvm", carry: Iterable[str] = ()) -> DataFrame:
+    """Every non-overlapping match of every usable rule, one row per match, with the page's ``carry`` columns."""
+    return explode_entities(page_candidates(pages, rules, base_offset, engine), "candidates", ("doc_id", "page", *carry))
 
 
 def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:

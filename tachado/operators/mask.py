@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tachado import constants as K
 from tachado.functions.display import lookup
@@ -188,6 +188,12 @@ def redaction_counts(occurrences: DataFrame, keys=("doc_id",)) -> DataFrame:
     return occurrences.groupBy(*keys, "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_totals(counts: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Each count with its document's ``total`` and number of ``types``; a document has one row per type."""
+    w = Window.partitionBy(*keys)
+    return counts.withColumns({"total": F.sum("n").over(w), "types": F.count(F.lit(1)).over(w).cast("int")})
+
+
 def counts_by_type(counts: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Total and map<type, n> per document; a document has one row per type, so the map is small."""
     return counts.groupBy(*keys).agg(

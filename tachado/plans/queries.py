@@ -237,15 +237,14 @@ def labels_and_colours(spark, d):
 @query
 def ignore_list(spark, d):
     pages = roles.doc_pages(spark, d)
-    users = pages.select("doc_id", "user_id")
-    found = detect.detect_rules(pages).join(users, "doc_id")
+    found = detect.detect_rules(pages, carry=["user_id"])
     return mask.drop_ignored(found, roles.ignored(spark, d)).select("user_id", *ENTITY)
 
 
 @query
 def type_switches(spark, d):
     pages = roles.doc_pages(spark, d)
-    found = detect.detect_rules(pages, roles.ALL_RULES).join(pages.select("doc_id", "user_id"), "doc_id")
+    found = detect.detect_rules(pages, roles.ALL_RULES, carry=["user_id"])
     kept = mask.keep_active_types(found, roles.toggles(spark, d))
     return kept.groupBy("user_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -253,9 +252,7 @@ def type_switches(spark, d):
 @query
 def redaction_counts(spark, d):
     found = corpus.entities_of(corpus.detect_pages(roles.doc_pages(spark, d), roles.ALL_RULES))
-    counts = mask.redaction_counts(found)
-    total = mask.counts_by_type(counts).select("doc_id", "total", F.size("by_type").alias("types"))
-    return counts.join(total, "doc_id")
+    return mask.with_totals(mask.redaction_counts(found))
 
 
 @query
@@ -268,7 +265,7 @@ def output_names(spark, d):
 @query
 def nothing_to_mask(spark, d):
     pages = roles.doc_pages(spark, d)
-    found = detect.detect_rules(pages).join(pages.select("doc_id", "user_id"), "doc_id")
+    found = detect.detect_rules(pages, carry=["user_id"])
     to_mask, nothing = mask.maskable(pages.select("doc_id", "user_id"), found, roles.toggles(spark, d))
     return to_mask.select("doc_id", F.lit("MASK").alias("state")).unionByName(nothing.select("doc_id", F.col("status").alias("state")))
 
