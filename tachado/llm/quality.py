@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tachado.llm.tables import pieces
+from tachado.llm.words import KEPT
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SEEDS = {"labelled": 11, "pool": 13, "held": 17}
@@ -43,9 +44,9 @@ class Settings:
 
 @dataclass
 class Model:
-    """What scoring needs: the words with their weights, the weights of the metadata, and three calibrations."""
+    """What scoring needs: the hashes of words with their weights, the weights of the metadata, and three calibrations."""
 
-    words: dict[str, int] = field(default_factory=dict)
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     text: np.ndarray | None = None
     meta: np.ndarray | None = None
     centre: np.ndarray | None = None
@@ -65,13 +66,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(TOKEN.findall((text or "").lower()))
+class FeatureHashes(dict):
+    """Hashes of features, kept for those seen first."""
 
+    def __missing__(self, feature: str) -> int:
+        value = xxhash.xxh3_64_intdigest(feature.encode())
+        if len(self) < KEPT:
+            self[feature] = value
+        return value
 
-def features(words: set[str]) -> set[str]:
-    """Words, and the first letters of longer ones, which a word not seen before may share with those that were."""
-    return words | {w[:4] + "*" for w in words if len(w) > 4}
+
+def features(text: str | None, known: FeatureHashes) -> np.ndarray:
+    """Sorted hashes of a text's words, and of the first letters of longer ones, which a word not seen before may share."""
+    words = set(TOKEN.findall((text or "").lower()))
+    words |= {w[:4] + "*" for w in words if len(w) > 4}
+    return np.unique(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
 
 
 def metadata(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
@@ -127,14 +136,15 @@ def _fit_dense(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int =
 
 
 def fit(labelled: list[tuple], pool: list[tuple], s: Settings = Settings()) -> Model:
-    """A model from rows (words, metadata, good, held) and unlabelled rows (words, metadata); an empty one if a class is missing."""
+    """A model from rows (features, metadata, good, held) and unlabelled rows (features, metadata); an empty one if a class is missing."""
     train, held = [r for r in labelled if not r[3]], [r for r in labelled if r[3]]
     if len({r[2] for r in train}) < 2 or len({r[2] for r in held}) < 2:
         return Model()
-    count = Counter(w for r in train for w in features(r[0]))
-    bad, share = Counter(w for r in train if not r[2] for w in features(r[0])), sum(not r[2] for r in train) / len(train)
-    names = sorted(w for w, n in count.items() if n >= s.least_documents and (bad[w] - n * share) ** 2 >= s.telling * n * share * (1 - share))
-    words = {w: i for i, w in enumerate(names)}
+    every, count = np.unique(np.concatenate([r[0] for r in train]), return_counts=True)
+    wrong, n = np.unique(np.concatenate([r[0] for r in train if not r[2]]), return_counts=True)
+    bad, share = np.zeros(len(every)), sum(not r[2] for r in train) / len(train)
+    bad[np.searchsorted(every, wrong)] = n
+    words = every[(count >= s.least_documents) & ((bad - count * share) ** 2 >= s.telling * count * share * (1 - share))]
     number = lambda rows: [numbered(r[0], words) for r in rows]
     text, held_text, pool_text = number(train), number(held), number(pool)
     meta = np.stack([r[1] for r in train])
@@ -164,8 +174,12 @@ def fit(labelled: list[tuple], pool: list[tuple], s: Settings = Settings()) -> M
     return Model(words, w_text, w_meta, centre, spread, (*scale, both))
 
 
-def numbered(words: set[str], known: dict[str, int]) -> np.ndarray:
-    return np.array(sorted(known[w] for w in features(words) if w in known), np.int64)
+def numbered(found: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The places in ``words`` of the features that are there."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(words, found), len(words) - 1)
+    return at[words[at] == found]
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
@@ -189,26 +203,26 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     both = labelled.unionByName(pool.withColumns({"good": F.lit(None).cast("int"), "held": F.lit(False)}))
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = FeatureHashes()
         for batch in batches:
             for part in pieces(batch, "text"):
                 text, lang, source = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([sorted(words_of(t)) for t in text], pa.list_(pa.string())),
-                    pa.array([metadata(*x).tolist() for x in zip(text, lang, source)], pa.list_(pa.float64())),
+                    part.column("doc_id"), pa.array([features(t, known).tobytes() for t in text], pa.binary()),
+                    pa.array([metadata(*x).tobytes() for x in zip(text, lang, source)], pa.binary()),
                     part.column("good"), part.column("held")], names=["doc_id", "words", "meta", "good", "held"])
 
     # Rows of a document that is there many times say the same; one of each is enough, and so the sample stays bounded.
-    got = both.dropDuplicates(["doc_id"]).mapInArrow(views, "doc_id bigint, words array<string>, meta array<double>, good int, held boolean").collect()
+    got = both.dropDuplicates(["doc_id"]).mapInArrow(views, "doc_id bigint, words binary, meta binary, good int, held boolean").collect()
     got.sort(key=lambda r: r["doc_id"])
-    cases = [(set(r["words"]), np.array(r["meta"]), r["good"], r["held"]) for r in got]
+    cases = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["meta"]), r["good"], r["held"]) for r in got]
     return fit([c for c in cases if c[2] is not None], [c[:2] for c in cases if c[2] is None], s)
 
 
-def _scored(model: Model, part: pa.RecordBatch) -> np.ndarray:
+def _scored(model: Model, part: pa.RecordBatch, known: FeatureHashes) -> np.ndarray:
     text, lang, source = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
     meta = np.stack([metadata(*x) for x in zip(text, lang, source)])
-    known = model.words
-    return model.scores([numbered(words_of(t), known) for t in text], meta)
+    return model.scores([numbered(features(t, known), model.words) for t in text], meta)
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -218,9 +232,10 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     Without a model all scores are one half, and a score of ``least`` is kept.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = FeatureHashes()
         for batch in batches:
             for part in pieces(batch, "text"):
-                p = _scored(model, part)
+                p = _scored(model, part, known)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, 2] >= least)],
                                                  names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
@@ -231,8 +246,9 @@ def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 def kept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is ``least`` or more, as they are."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = FeatureHashes()
         for batch in batches:
             for part in pieces(batch, "text"):
-                yield part.filter(pa.array(_scored(model, part)[:, 2] >= least))
+                yield part.filter(pa.array(_scored(model, part, known)[:, 2] >= least))
 
     return docs.mapInArrow(rows, docs.schema)
