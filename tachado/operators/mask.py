@@ -86,13 +86,17 @@ def mask_array(text, entities, labels: dict | None = None, settled: bool = False
     nothing = ents.isNull() | (F.size(ents) == 0)
     if settled:
         return F.when(nothing, t).otherwise(_spliced(t, ents, labels))
-    ordered = F.array_sort(F.transform(ents, lambda e, i: F.struct(
-        e["start_offset"].alias("s"), i.alias("i"), e.alias("e"))))
-    clean = F.aggregate(ordered, F.lit(0), lambda reach, x: F.when(
-        (reach < 0) | (x["s"] < reach) | (x["e"]["end_offset"] <= x["s"]) | (x["e"]["end_offset"] > F.length(t)),
-        F.lit(-1)).otherwise(x["e"]["end_offset"])) >= 0
-    return (F.when(nothing, t).when(clean, _spliced(t, F.transform(ordered, lambda x: x["e"]), labels))
-            .otherwise(_folded(t, ents, labels)))
+    ordered = F.transform(F.array_sort(F.transform(ents, lambda e, i: F.struct(
+        e["start_offset"].alias("s"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
+
+    def applied(o):
+        clean = F.aggregate(o, F.lit(0), lambda reach, e: F.when(
+            (reach < 0) | (e["start_offset"] < reach) | (e["end_offset"] <= e["start_offset"]) | (e["end_offset"] > F.length(t)),
+            F.lit(-1)).otherwise(e["end_offset"])) >= 0
+        return F.when(clean, _spliced(t, o, labels)).otherwise(_folded(t, ents, labels))
+
+    # Bound as the one element of an array, so that it is sorted once and not wherever it is referred to.
+    return F.when(nothing, t).otherwise(F.get(F.transform(F.array(ordered), applied), F.lit(0)))
 
 
 def entities_by_page(pages: DataFrame, entities: DataFrame, keys=("doc_id", "page")) -> DataFrame:
