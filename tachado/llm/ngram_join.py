@@ -139,36 +139,48 @@ def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, size: int = S
     return sent.repartition("head", "portion").sortWithinPartitions("head", "portion", F.desc("first")).mapInArrow(compare, "a bigint, b bigint")
 
 
-def divide_skip(query: np.ndarray, lists: dict[int, np.ndarray], percent: int = PERCENT, keep: int = 2) -> np.ndarray:
-    """The members of inverted ``lists`` (sorted arrays) that share with ``query`` what a partner of it must.
+class Lists:
+    """Inverted lists of the sets of some members: for each shingle, who has it."""
 
-    Of the lists all but the T - ``keep`` longest are merged; who comes up there often enough is looked for in the long
-    ones by binary search, the shortest first, and dropped as soon as too few are left.
+    def __init__(self, every: list[np.ndarray], members: list[int]):
+        flat = np.concatenate([every[i] for i in members])
+        owner = np.repeat(np.array(members), [len(every[i]) for i in members])
+        order = np.argsort(flat, kind="stable")
+        self.shingle, self.start = np.unique(flat[order], return_index=True)
+        self.start, self.owner = np.append(self.start, len(flat)), owner[order]
+
+
+def divide_skip(query: np.ndarray, lists: Lists, percent: int = PERCENT, keep: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members that share ``keep`` or more of a query's short lists, how many they share, and the shingles of its long ones.
+
+    A partner shares T shingles at least, so it is in all but few of the short lists that are left when the T - ``keep``
+    longest are set aside; only the short ones are merged.
     """
     need = required(len(query), percent)
-    mine = sorted((lists[s] for s in query.tolist() if s in lists), key=len)
-    long = max(0, need - keep)
-    short, rest = mine[:max(0, len(mine) - long)], mine[max(0, len(mine) - long):]
-    if not short or len(mine) < need:
-        return np.zeros(0, np.int64)
-    found, count = np.unique(np.concatenate(short), return_counts=True)
-    left = len(rest)
-    found, count = found[count + left >= need], count[count + left >= need]
-    for posting in rest:
-        if not len(found):
-            break
-        at = np.minimum(np.searchsorted(posting, found), len(posting) - 1)
-        count, left = count + (posting[at] == found), left - 1
-        found, count = found[count + left >= need], count[count + left >= need]
-    return found
+    at = np.minimum(np.searchsorted(lists.shingle, query), len(lists.shingle) - 1)
+    mine = np.flatnonzero(lists.shingle[at] == query)
+    if len(mine) < need:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), query[:0]
+    at = at[mine]
+    order = np.argsort(lists.start[at + 1] - lists.start[at], kind="stable")
+    cut = len(mine) - max(0, need - keep)
+    short, rest = at[order[:cut]], query[mine[order[cut:]]]
+    found, count = np.unique(np.concatenate([lists.owner[lists.start[k]:lists.start[k + 1]] for k in short.tolist()]), return_counts=True)
+    enough = count + len(rest) >= need
+    return found[enough], count[enough], rest
 
 
 def searched(frame: pd.DataFrame, size: int, percent: int) -> list[tuple[int, int]]:
-    """Links between members of a block pair that connect different components: a spanning part of them."""
+    """Links between members of a block pair that connect different components: a spanning part of them.
+
+    Whoever comes up in the short lists and is in another component is looked for in the long ones: each is probed by a
+    binary search of its shingle in the member's sorted set.
+    """
     known = WordHashes()
     every = [shingles(t, known, size) for t in frame["text"]]
-    ids, root, side = frame["doc_id"].tolist(), dict(zip(frame["component"], frame["component"])), frame["side"].to_numpy()
+    ids, side = frame["doc_id"].tolist(), frame["side"].to_numpy()
     both = (side == 0).any() and (side == 1).any()
+    component, root, out = frame["component"].tolist(), {c: c for c in frame["component"]}, []
 
     def top(c: int) -> int:
         while root[c] != c:
@@ -176,20 +188,18 @@ def searched(frame: pd.DataFrame, size: int, percent: int) -> list[tuple[int, in
             c = root[c]
         return c
 
-    indexed = [i for i in range(len(ids)) if not both or side[i] == 0]
-    flat = np.concatenate([every[i] for i in indexed])
-    owner = np.repeat(np.array(indexed), [len(every[i]) for i in indexed])
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
-    edges = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    lists = {int(flat[a]): owner[a:b] for a, b in zip(edges, [*edges[1:], len(flat)])}
-    component, out = frame["component"].tolist(), []
-    for q in range(len(ids)):
+    lists = Lists(every, [i for i in range(len(ids)) if not both or side[i] == 0])
+    for q, query in enumerate(every):
         if both and side[q] == 0:
             continue
-        for i in divide_skip(every[q], lists, percent).tolist():
+        found, count, rest = divide_skip(query, lists, percent)
+        for i, n in zip(found.tolist(), count.tolist()):
             a, b = top(component[q]), top(component[i])
-            if a != b and linked(every[q], every[i], percent):
+            if a == b:
+                continue
+            other = every[i]
+            n += int((other[np.minimum(np.searchsorted(other, rest), len(other) - 1)] == rest).sum())
+            if 100 * n >= percent * (len(query) + len(other) - n):
                 root[max(a, b)] = min(a, b)
                 out.append((ids[i], ids[q]))
     return out
