@@ -65,7 +65,8 @@ def ranged(docs: DataFrame, size: int = RANGE_CHARS) -> DataFrame:
         splits = [-float("inf"), *(float(low - c) for c in reversed(cuts)), float("inf")]
         place = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(
             df.withColumn("_at", (F.lit(low) - F.coalesce(id_, F.lit(low))).cast("double")))
-        return place.withColumn("bucket", F.col("_bucket").cast("int")).drop("_at", "_bucket")
+        # Never null, so that a join on it adds no filter to one of two equal branches, which then share their shuffle.
+        return place.withColumn("bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(0))).drop("_at", "_bucket")
 
     # Ranges count from the highest ids; a range's highest id is a cut, and the id after it lies in the range above.
     real = dealt(rows, F.col("doc_id")).withColumn("ghost", F.lit(False))
