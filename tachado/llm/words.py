@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a task keeps; others are hashed each time.
-KEPT = 1_000_000
+KEPT = 250_000
 P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
