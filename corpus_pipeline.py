@@ -15,8 +15,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal sets of word triples the one of the smallest doc_id stays."""
-    return ngram_join.first_of_each(docs)
+    """Of documents whose sets of runs of five words are alike to 0.8 or more the one of the smallest doc_id stays."""
+    return ngram_join.first_of_each(docs, size=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,15 @@ def test_stages_keep_clean_documents(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == want
 
 
+def test_near_copies_by_runs_of_five_words(spark):
+    words = [f"w{i}" for i in range(150)]
+    edited = lambda *at: " ".join("edit" if i in at else w for i, w in enumerate(words))
+    # Three edits in 150 words: 131 of 161 runs of five, but 139 of 157 triples.  Four: 126 of 166, too few for either.
+    docs = [(1, edited(), "en", "s", 5), (2, edited(30, 70, 110), "en", "s", 5), (3, edited(15, 50, 90, 130), "en", "s", 5), (4, "eins zwei", "en", "s", 5)]
+    kept = corpus_pipeline.one_of_each(spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} and "pipeline" in names
