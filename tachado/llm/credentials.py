@@ -25,7 +25,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KEY_ID = re.compile(r"\bA(?:3T|BIA|CCA|GPA|IDA|IPA|NPA|NVA|ROA|SIA)[A-Z0-9]{12,}", re.A)
 NAMED_ID = re.compile(r"\b(?:client_?id|access_?key_?id|account_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{4,}", re.I | re.A)
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: Also right after "=", as in NAME=VALUE; after the value, "=" is padding.
+BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[^\s\"'<>]+")
 ROLE = {"assign": "secret", "hex": "secret", "bare": "secret", "access": "id", "key_id": "id", "endpoint": "endpoint"}
 COMPLEMENT = {"id": ("secret",), "secret": ("id", "endpoint"), "endpoint": ("secret",)}
