@@ -1,15 +1,17 @@
 """Quality classifier by co-training two views of a document.
 
 One classifier sees the words, the other only what a page says about itself: language, source, length and layout.  Over
-rounds each labels the unlabelled pool, and what it is sure of teaches the other one.  Both are calibrated on labelled
-rows held out, and a last calibration combines them into one score for every document.
+rounds each labels all documents outside the labelled sample, and what it is sure of teaches the other one, by sums that
+are made where the documents are: counts of words for the text view, whose vocabulary is chosen anew from them, and
+slope and curvature of the loss for the metadata view.  Both are calibrated on labelled rows held out, and a last
+calibration combines them into one score for every document.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,27 +19,30 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tachado.llm.tables import pieces
+from tachado.llm.tables import pieces, written
 from tachado.llm.words import KEPT
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-SEEDS = {"labelled": 11, "pool": 13, "held": 17}
+SEEDS = {"labelled": 11, "held": 17}
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
+#: Factor of a word that no labelled row shows, and the one from which those of the others are fitted.
+FACTOR = 0.2
+#: Kinds of sums, the scale at which those of reals become whole numbers (so that their order is nothing), and words that a task holds.
+WORD, DOCUMENTS, SLOPE, CURVE = range(4)
+SCALE, HELD_WORDS = 1 << 20, 1_000_000
 #: Classes of bytes whose shares are layout: digits, upper and lower case, blanks, line ends, marks, bytes beyond ASCII.
 CLASSES = np.select([(b := np.arange(256)) >= 128, (b >= 48) & (b < 58), (b >= 65) & (b < 91), (b >= 97) & (b < 123), b == 10, b <= 32], [0, 1, 2, 3, 4, 5], 6)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of what is fitted on the driver, and of the exchange between the views."""
+    """Bound of the labelled rows that are fitted on the driver, and the exchange between the views."""
 
     labelled: int = 8000
-    pool: int = 4000
     rounds: int = 3
     sure: float = 0.95
-    per_round: int = 600
     held: float = 0.3
-    #: A word is used if so many labelled documents have it and its share of bad ones is so far from all words' (chi-square).
+    #: A word is used if so many documents with a label, given or taught, have it and its share of bad ones is so far from all words' (chi-square).
     least_documents: int = 4
     telling: float = 12
 
@@ -111,67 +116,86 @@ def _dense(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return np.hstack([(x - centre) / spread, np.ones((len(x), 1))])
 
 
-def _fit(value, slope, w: np.ndarray, target: np.ndarray, l2: float, steps: int = 200, rate: float = 0.05) -> np.ndarray:
-    """Logistic regression from ``w`` by adaptive gradient steps; ``value`` gives the rows' sums, ``slope`` the gradient; the last weight is the constant."""
+def _fit(value, slope, w: np.ndarray, target: np.ndarray, l2: float, steps: int = 200, rate: float = 0.05, more=lambda w: 0.0) -> np.ndarray:
+    """Logistic regression from ``w`` by adaptive gradient steps; ``value`` gives the rows' sums, ``slope`` the gradient, ``more`` what else adds to it; the last weight is the constant."""
     w, m, v = w.copy(), np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, steps + 1):
-        g = slope((_sigmoid(value(w)) - target) / len(target)) + l2 * np.append(w[:-1], 0)
+        g = slope((_sigmoid(value(w)) - target) / len(target)) + more(w) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
     return w
 
 
-def _fit_text(found: list[np.ndarray], target: np.ndarray, size: int) -> np.ndarray:
-    """Weights of words: each word counts by the log of the ratio of its shares in good and bad rows, times a factor that is fitted."""
+@dataclass
+class Taught:
+    """Sums over documents: of each telling word in good and bad ones with the numbers of these, labelled rows included, and
+    of the loss of the metadata view, whose weights were ``start``, over the documents that the text view taught."""
+
+    words: np.ndarray
+    good: np.ndarray
+    bad: np.ndarray
+    totals: tuple[int, int]
+    taught: int = 0
+    start: np.ndarray | None = None
+    slope: np.ndarray | None = None
+    curve: np.ndarray | None = None
+
+
+def _fit_text(found: list[np.ndarray], target: np.ndarray, seen: Taught) -> np.ndarray:
+    """Weights of words: each counts by the log of the ratio of its shares in good and bad documents, times a factor that is
+    fitted where a labelled row has the word."""
+    size = len(seen.words)
     at, row = _rows(found)
-    good, bad = (np.bincount(at, side[row], minlength=size) + 0.5 for side in (target, 1 - target))
-    ratio = np.append(np.log(good / (target.sum() + 1)) - np.log(bad / ((1 - target).sum() + 1)), 1.0)
-    start = np.append(np.full(size, 0.2), 0.0)
-    return ratio * _fit(lambda u: _linear((at, row), ratio * u, len(found)), lambda e: ratio * np.append(np.bincount(at, e[row], minlength=size), e.sum()),
-                        start, target, 1e-6, 150)
+    ratio = np.log((seen.good + 0.5) / (seen.totals[0] + 1)) - np.log((seen.bad + 0.5) / (seen.totals[1] + 1))
+    shown = np.bincount(at, minlength=size) > 0
+    at, own, n = (np.cumsum(shown) - 1)[at], np.append(ratio[shown], 1.0), int(shown.sum())
+    u = _fit(lambda u: _linear((at, row), own * u, len(found)), lambda e: own * np.append(np.bincount(at, e[row], minlength=n), e.sum()),
+             np.append(np.full(n, FACTOR), 0.0), target, 1e-6, 150)
+    out = np.append(ratio * FACTOR, u[-1])
+    out[:-1][shown] = own[:-1] * u[:-1]
+    return out
+
 
+def _fit_dense(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int = 300, seen: Taught | None = None) -> np.ndarray:
+    """Weights of dense rows.  Taught documents count by a bound of their loss that touches it at the weights they were
+    summed with (the curvature of a logistic loss is one quarter at most), so their loss never grows from there unseen."""
+    if seen is None or not seen.taught:
+        return _fit(lambda w: x @ w, lambda e: x.T @ e, np.zeros(x.shape[1]), target, l2, steps)
+    every = len(target) + seen.taught
+    return _fit(lambda w: x @ w, lambda e: x.T @ e * (len(target) / every), seen.start, target, l2, steps,
+                more=lambda w: (seen.slope + seen.curve @ (w - seen.start) / 4) / every)
 
-def _fit_dense(x: np.ndarray, target: np.ndarray, l2: float = 1e-4, steps: int = 300) -> np.ndarray:
-    return _fit(lambda w: x @ w, lambda e: x.T @ e, np.zeros(x.shape[1]), target, l2, steps)
 
+def telling(bad, count, share, s: Settings):
+    """Whether words that ``count`` documents have, ``bad`` of them bad, say something; numbers or columns."""
+    return (count >= s.least_documents) & ((bad - count * share) * (bad - count * share) >= s.telling * count * share * (1 - share))
 
-def fit(labelled: list[tuple], pool: list[tuple], s: Settings = Settings()) -> Model:
-    """A model from rows (features, metadata, good, held) and unlabelled rows (features, metadata); an empty one if a class is missing."""
+
+def fit(labelled: list[tuple], exchange: Callable[[Model], Taught], s: Settings = Settings()) -> Model:
+    """A model from rows (features, metadata, good, held) and the sums that ``exchange`` makes of all documents by the model so far; an empty one if a class is missing."""
     train, held = [r for r in labelled if not r[3]], [r for r in labelled if r[3]]
     if len({r[2] for r in train}) < 2 or len({r[2] for r in held}) < 2:
         return Model()
     every, count = np.unique(np.concatenate([r[0] for r in train]), return_counts=True)
     wrong, n = np.unique(np.concatenate([r[0] for r in train if not r[2]]), return_counts=True)
-    bad, share = np.zeros(len(every)), sum(not r[2] for r in train) / len(train)
+    bad, n_bad = np.zeros(len(every)), sum(not r[2] for r in train)
     bad[np.searchsorted(every, wrong)] = n
-    words = every[(count >= s.least_documents) & ((bad - count * share) ** 2 >= s.telling * count * share * (1 - share))]
-    number = lambda rows: [numbered(r[0], words) for r in rows]
-    text, held_text, pool_text = number(train), number(held), number(pool)
+    use = telling(bad, count, n_bad / len(train), s)
+    seen = Taught(every[use], (count - bad)[use], bad[use], (len(train) - n_bad, n_bad))
     meta = np.stack([r[1] for r in train])
     centre, spread = meta.mean(0), meta.std(0) + 1e-6
     meta, held_meta = _dense(meta, centre, spread), _dense(np.stack([r[1] for r in held]), centre, spread)
-    pool_meta = _dense(np.stack([r[1] for r in pool]), centre, spread) if pool else np.zeros((0, meta.shape[1]))
-    good, held_good = np.array([r[2] for r in train], float), np.array([r[2] for r in held], float)
-    #: What the other view has taught: pool row -> label.
-    taught: list[dict[int, float]] = [{}, {}]
+    good, held_good, one = np.array([r[2] for r in train], float), np.array([r[2] for r in held], float), np.ones(len(held))
     for round_ in range(s.rounds + 1):
-        own = [sorted(t) for t in taught]
-        w_text = _fit_text(text + [pool_text[i] for i in own[0]], np.append(good, [taught[0][i] for i in own[0]]), len(words))
-        w_meta = _fit_dense(np.vstack([meta, pool_meta[own[1]]]), np.append(good, [taught[1][i] for i in own[1]]))
-        held_raw = [_linear(_rows(held_text), w_text, len(held)), held_meta @ w_meta]
-        one = np.ones(len(held))
+        w_text = _fit_text([numbered(r[0], seen.words) for r in train], good, seen)
+        w_meta = _fit_dense(meta, good, seen=seen)
+        held_raw = [_linear(_rows([numbered(r[0], seen.words) for r in held]), w_text, len(held)), held_meta @ w_meta]
         scale = [tuple(_fit_dense(np.stack([x, one], 1), held_good, 1e-3)) for x in held_raw]
-        if round_ == s.rounds:
-            break
-        raw = [_linear(_rows(pool_text), w_text, len(pool)), pool_meta @ w_meta]
-        for view in (0, 1):
-            sure = _sigmoid(scale[view][0] * raw[view] + scale[view][1])
-            for label in (1.0, 0.0):
-                p = sure if label else 1 - sure
-                new = [i for i in np.argsort(-p, kind="stable").tolist() if p[i] >= s.sure and i not in taught[1 - view]]
-                taught[1 - view].update({i: label for i in new[:s.per_round]})
-    both = tuple(_fit_dense(np.stack([*held_raw, one], 1), held_good, 1e-3))
-    return Model(words, w_text, w_meta, centre, spread, (*scale, both))
+        both = tuple(_fit_dense(np.stack([*held_raw, one], 1), held_good, 1e-3))
+        model = Model(seen.words, w_text, w_meta, centre, spread, (*scale, both))
+        if round_ < s.rounds:
+            seen = exchange(model)
+    return model
 
 
 def numbered(found: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -182,11 +206,90 @@ def numbered(found: np.ndarray, words: np.ndarray) -> np.ndarray:
     return at[words[at] == found]
 
 
+def _counted(found: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, and how many good and bad rows have each."""
+    at, row = (np.concatenate(found), np.repeat(good, [len(x) for x in found])) if found else (np.zeros(0, np.uint64), np.zeros(0, bool))
+    words, place = np.unique(at, return_inverse=True)
+    return words, np.bincount(place, row, len(words)).astype(np.int64), np.bincount(place, ~row, len(words)).astype(np.int64)
+
+
+def sums(docs: DataFrame, model: Model, sample: dict[int, tuple[bool, bool]], s: Settings) -> DataFrame:
+    """(kind, key, good, bad): the sums of ``Taught`` over all rows of ``docs``, words not chosen yet.
+
+    Rows of the ``sample`` (good, held by doc_id) count by their label, or not at all if held.  Every other row counts by
+    what a view is sure of: for words what the metadata say, for the metadata what words say.
+    """
+    width = len(model.meta)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, kept, size = FeatureHashes(), [], 0
+        documents, taught, slope, curve = [0, 0], 0, np.zeros(width), np.zeros((width, width))
+
+        def out(kind: int, key: np.ndarray, good: np.ndarray, bad: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(good.astype(np.int64)),
+                                               pa.array((good * 0 if bad is None else bad).astype(np.int64))], names=["kind", "key", "good", "bad"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            words, place = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
+            return words, *(np.bincount(place, np.concatenate([k[i] for k in kept]), len(words)).astype(np.int64) for i in (1, 2))
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                ids, text, lang, source = (part.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source"))
+                found = [features(t, known) for t in text]
+                x = np.stack([metadata(*r) for r in zip(text, lang, source)])
+                p = model.scores([numbered(f, model.words) for f in found], x)
+                given = [sample.get(i) for i in ids]
+                free = np.array([g is None for g in given])
+                by_text, by_meta = (np.where(p[:, k] >= s.sure, 1, np.where(1 - p[:, k] >= s.sure, 0, -1)) for k in (0, 1))
+                label = np.array([m if g is None else -1 if g[1] else int(g[0]) for g, m in zip(given, by_meta.tolist())])
+                use = np.flatnonzero(label >= 0)
+                documents[0] += int((label == 1).sum())
+                documents[1] += int((label == 0).sum())
+                kept.append(_counted([found[i] for i in use], label[use] == 1))
+                size += len(kept[-1][0])
+                if size > HELD_WORDS:
+                    kept = [merged()]
+                    size = len(kept[0][0])
+                    if size > HELD_WORDS // 2:
+                        yield out(WORD, *kept[0])
+                        kept, size = [], 0
+                use = free & (by_text >= 0)
+                dense = _dense(x[use], model.centre, model.spread)
+                taught += len(dense)
+                slope += dense.T @ (_sigmoid(dense @ model.meta) - by_text[use])
+                curve += dense.T @ dense
+        if kept:
+            yield out(WORD, *merged())
+        yield out(DOCUMENTS, np.arange(2), np.array([documents[0], taught]), np.array([documents[1], 0]))
+        yield out(SLOPE, np.arange(width), np.rint(slope * SCALE))
+        yield out(CURVE, np.arange(width * width), np.rint(curve.reshape(-1) * SCALE))
+
+    found = docs.select("doc_id", "text", "lang", "source").mapInArrow(rows, "kind int, key bigint, good bigint, bad bigint")
+    return found.groupBy("kind", "key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def exchanged(docs: DataFrame, model: Model, sample: dict[int, tuple[bool, bool]], s: Settings) -> Taught:
+    """What the views teach each other over all of ``docs``; only the telling words come to the driver."""
+    every = written(sums(docs, model, sample, s), "taught")
+    width = len(model.meta)
+    few = {(r["kind"], r["key"]): (r["good"], r["bad"]) for r in every.where(F.col("kind") != WORD).collect()}
+    good, bad = few.get((DOCUMENTS, 0), (0, 0))
+    words = every.where((F.col("kind") == WORD) & telling(F.col("bad"), F.col("good") + F.col("bad"), F.lit(bad / max(1, good + bad)), s)).select("key", "good", "bad").toArrow()
+    key = words.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    real = lambda kind, n: np.array([few.get((kind, k), (0, 0))[0] for k in range(n)]) / SCALE
+    return Taught(key[order], words.column("good").to_numpy()[order], words.column("bad").to_numpy()[order], (good, bad), few.get((DOCUMENTS, 1), (0, 0))[0],
+                  model.meta, real(SLOPE, width), real(CURVE, width * width).reshape(width, width))
+
+
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Fit on at most ``s.labelled`` labelled rows and ``s.pool`` others of ``docs`` (doc_id, text, lang, source).
+    """Fit on at most ``s.labelled`` labelled rows and all other rows of ``docs`` (doc_id, text, lang, source).
 
     ``labels`` (doc_id, quality, toxic): good is of quality and not toxic; rows with a null are left out, and of several
-    for a document the worst counts.  Both samples follow a hash of doc_id, so they are the same in every run.
+    for a document the worst counts.  The labelled sample follows a hash of doc_id, so it is the same in every run;
+    documents with a label that are not in it are taught like those without.  Repeated rows and rows without an id are
+    each taught.  Each of ``s.rounds`` is one scan of ``docs``.
     """
     known = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(
         F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
@@ -196,11 +299,6 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     ids = [(r["doc_id"], r["good"]) for r in chosen.collect()]  # at most s.labelled
     held = spark.createDataFrame(ids, "doc_id bigint, good int")
     labelled = rows.join(F.broadcast(held), "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(SEEDS["held"]), "doc_id"), F.lit(1000)) < 1000 * s.held)
-    free = docs.select("doc_id").distinct().join(known, "doc_id", "left_anti").orderBy(
-        F.xxhash64(F.lit(SEEDS["pool"]), "doc_id"), "doc_id").limit(s.pool)
-    pool_ids = spark.createDataFrame([(r["doc_id"],) for r in free.where(F.col("doc_id").isNotNull()).collect()], "doc_id bigint")
-    pool = rows.join(F.broadcast(pool_ids), "doc_id")
-    both = labelled.unionByName(pool.withColumns({"good": F.lit(None).cast("int"), "held": F.lit(False)}))
 
     def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = FeatureHashes()
@@ -213,10 +311,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
                     part.column("good"), part.column("held")], names=["doc_id", "words", "meta", "good", "held"])
 
     # Rows of a document that is there many times say the same; one of each is enough, and so the sample stays bounded.
-    got = both.dropDuplicates(["doc_id"]).mapInArrow(views, "doc_id bigint, words binary, meta binary, good int, held boolean").collect()
+    got = labelled.dropDuplicates(["doc_id"]).mapInArrow(views, "doc_id bigint, words binary, meta binary, good int, held boolean").collect()
     got.sort(key=lambda r: r["doc_id"])
+    sample = {r["doc_id"]: (bool(r["good"]), r["held"]) for r in got}
     cases = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["meta"]), r["good"], r["held"]) for r in got]
-    return fit([c for c in cases if c[2] is not None], [c[:2] for c in cases if c[2] is None], s)
+    del got
+    return fit(cases, lambda model: exchanged(docs, model, sample, s), s)
 
 
 def _scored(model: Model, part: pa.RecordBatch, known: FeatureHashes) -> np.ndarray:

@@ -314,6 +314,37 @@ def test_classifier_on_held_out_documents(spark):
     assert kept.columns == df.columns and kept.count() == sum(r.keep for r in rows)
 
 
+def test_classifier_learns_words_from_unlabelled_documents(spark):
+    docs, labels = labelled_corpus()
+    # Bad by layout in unlabelled documents only, all of them with a word that no labelled row has.
+    docs += [(2000 + i, (t[1] + " newvile").upper().replace(" ", "!! "), *t[2:]) for i, t in enumerate(docs[:900:6])]
+    df = spark.createDataFrame(docs + [(None, "BAD!! NEWVILE!!", "en", "s0", 5)] * 2, SCHEMA)
+    model = quality.train(df, spark.createDataFrame(labels[:600], "doc_id bigint, quality int, toxic int"))
+    new = quality.features("newvile", quality.FeatureHashes())
+    at = quality.numbered(new, model.words)
+    assert len(at) == len(new) and (model.text[at] < 0).all()
+
+
+def test_classifier_exchange_counts_every_document(spark):
+    docs, labels = labelled_corpus(600)
+    df, s = spark.createDataFrame(docs + docs[-1:], SCHEMA).repartition(3), quality.Settings()
+    model = quality.train(df, spark.createDataFrame(labels[:300], "doc_id bigint, quality int, toxic int"))
+    sample = {0: (True, False), 4: (False, False), 6: (True, True)}
+    got = {(r.kind, r.key): (r.good, r.bad) for r in quality.sums(df, model, sample, s).collect()}
+    known, words, n, taught = quality.FeatureHashes(), collections.defaultdict(lambda: [0, 0]), [0, 0], 0
+    for i, text, lang, source, _ in docs + docs[-1:]:
+        found = quality.features(text, known)
+        p = model.scores([quality.numbered(found, model.words)], quality.metadata(text, lang, source)[None])[0]
+        label = int(p[1] >= s.sure) - int(1 - p[1] >= s.sure) if i not in sample else {0: 1, 4: -1, 6: 0}[i]
+        taught += i not in sample and max(p[0], 1 - p[0]) >= s.sure
+        if label:
+            n[label < 0] += 1
+            for f in found.astype("int64").tolist():
+                words[f][label < 0] += 1
+    assert got[quality.DOCUMENTS, 0] == tuple(n) and got[quality.DOCUMENTS, 1] == (taught, 0) and taught > 100
+    assert {k: v for (kind, k), v in got.items() if kind == quality.WORD} == {k: tuple(v) for k, v in words.items()}
+
+
 def test_classifier_without_labels(spark):
     docs, _ = labelled_corpus(20)
     df = spark.createDataFrame(docs, SCHEMA)
