@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls, windows
+from tachado.llm import chat, credentials, merkle, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls, windows
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,44 @@ link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
 both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)"""
+
+
+@query
+def op13_merkle(spark, d):
+    """Every document proved against the root of the manifest, with line ends lost in those of every second checksum."""
+    docs = table(spark, d, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    lost = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle.verified(merkle.manifest(docs, altered=lost))
+
+
+def _crc32_sql(x: str) -> str:
+    """The unsigned crc32 of an ASCII string, bit by bit, as DuckDB has no function for it."""
+    codes = f"list_transform(range(1, len({x}) + 1), lambda i: CAST(ord({x}[i]) AS BIGINT))"
+    step = "xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce({codes}, lambda a, c: list_reduce(range(8), lambda b, k: {step}, xor(a, c)), 4294967295), 4294967295)"
+
+
+ORACLE["op13_merkle"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, text, {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 AS hit, concat(
+    coalesce(len(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(len(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head FROM documents),
+leaf AS (SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+  CASE WHEN hit THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS g FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+low AS (SELECT source, 0 AS lvl, i, n, h FROM placed
+  UNION ALL SELECT source, max(lvl) + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY source, i // 3),
+sub AS (SELECT source, lvl, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, r AS i, n, h FROM sub
+  UNION ALL SELECT max(lvl) + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY i // 3),
+beside AS (SELECT a.source, a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM low a JOIN low b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+aside AS (SELECT a.lvl, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM high a JOIN high b ON a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY 1, 2),
+way AS (SELECT p.doc_id, p.h AS leaf, s.h AS subroot, s.lvl AS top, s.r AS rank, p.source, p.i, 0 AS k, coalesce(p.g, p.h) AS fold, '' AS proof
+  FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+  UNION ALL SELECT f.doc_id, f.leaf, f.subroot, f.top, f.rank, f.source, f.i, f.k + 1, sha256(coalesce(b.l, o.l) || f.fold || coalesce(b.r, o.r)), f.proof || coalesce(b.l, o.l) || coalesce(b.r, o.r)
+  FROM way f LEFT JOIN beside b ON f.k < f.top AND b.source IS NOT DISTINCT FROM f.source AND b.lvl = f.k AND b.i = f.i // CAST(pow(3, f.k) AS BIGINT)
+  LEFT JOIN aside o ON f.k >= f.top AND o.lvl = f.k - f.top AND o.i = f.rank // CAST(pow(3, greatest(f.k - f.top, 0)) AS BIGINT)
+  WHERE b.l IS NOT NULL OR o.l IS NOT NULL)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY k DESC) AS last FROM way) CROSS JOIN (SELECT h AS root FROM high WHERE n = 1) WHERE last = 1"""
