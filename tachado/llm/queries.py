@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, merkle, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls, windows
+from tachado.llm import chat, credentials, merkle, mixing, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls, windows
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,3 +177,9 @@ way AS (SELECT p.doc_id, p.h AS leaf, s.h AS subroot, s.lvl AS top, s.r AS rank,
   WHERE b.l IS NOT NULL OR o.l IS NOT NULL)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
 FROM (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY k DESC) AS last FROM way) CROSS JOIN (SELECT h AS root FROM high WHERE n = 1) WHERE last = 1"""
+
+
+@query
+def op12_mixing(spark, d):
+    """Every document with the words that a mix of all sources at weights 1, 2, 3 takes of it."""
+    return mixing.taken(mixing.mix(table(spark, d, "documents", "doc_id", "source", "text")))

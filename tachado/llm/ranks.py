@@ -13,7 +13,7 @@ def ranked(df: DataFrame, group: str, order: list[str], size: str | None = None)
     The second table has one row per group: the group, ``n`` rows and with ``size`` their ``total``.  ``order`` sorts
     ascending, nulls first; rows equal in it take their places in the order of the input.  Rows are sorted in ranges that
     a group may span, each range is counted by itself, and the counts, one row per range and group, are summed across.
-    ``group`` must not be null.
+    ``group`` must not be null; names that begin with ``_`` are taken.
     """
     keys = [group, *order, "_tie"]
     rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_tie")
