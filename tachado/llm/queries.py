@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tachado.llm import chat, credentials, merkle, mixing, ngram_join, packing, quality, sampling, tiling, tokenfiles, urls, windows
+from tachado.llm import chat, credentials, merkle, mixing, ngram_join, packing, quality, sampling, tiling, tokenfiles, trie, urls, windows
 from tachado.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +183,33 @@ FROM (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY k DESC) AS la
 def op12_mixing(spark, d):
     """Every document with the words that a mix of all sources at weights 1, 2, 3 takes of it."""
     return mixing.taken(mixing.mix(table(spark, d, "documents", "doc_id", "source", "text")))
+
+
+@query
+def op11_prefix_trie(spark, d):
+    """Every node of the trie of conversations that share their first turns with one of their hundred."""
+    number = F.col("conv_id")
+    convs = trie.sequences(table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
+    built = trie.with_shared_heads(convs, number - number % 100, (F.crc32(number.cast("string").cast("binary")) % 6).cast("int"))
+    return trie.nodes(built).select("conv_id", "depth", "parent_conv_id", *trie.SUMS, F.col("ends").alias("ends_sha256"))
+
+
+ORACLE["op11_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k,
+  md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+built AS (SELECT c.conv_id, 0 AS part, k, m, n FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND k <= h
+  UNION ALL SELECT c.conv_id, 1, k, m, n FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+seq AS (SELECT conv_id, coalesce(list(m ORDER BY part, k) FILTER (m IS NOT NULL), []) AS ms, coalesce(list(n ORDER BY part, k) FILTER (m IS NOT NULL), []) AS ns
+  FROM c LEFT JOIN built USING (conv_id) GROUP BY conv_id),
+pre AS (SELECT conv_id, d, md5(array_to_string(ms[1:d], ',')) AS p, coalesce(ns[d], 0) AS n, d = len(ms) AS last
+  FROM (SELECT *, unnest(range(len(ms) + 1)) AS d FROM seq)),
+up AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY d) AS q FROM pre),
+node AS (SELECT d, p, any_value(q) AS q, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM up GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, q AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT pre.d, pre.p, count(*) FILTER (kids.n_children IS NULL) AS n_leaves, sum((n_convs - 1) * node.n) AS saved_tokens
+  FROM node JOIN pre ON pre.conv_id = node.conv_id AND pre.d <= node.d LEFT JOIN kids ON kids.d = node.d AND kids.p = node.p GROUP BY 1, 2)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN below USING (d, p) LEFT JOIN kids USING (d, p) LEFT JOIN node parent ON parent.d = node.d - 1 AND parent.p = node.q"""
