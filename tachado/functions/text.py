@@ -43,7 +43,8 @@ def quote(x) -> Column:
 _DROPPED = {ord(c): None for c in K.SEPARATORS}
 
 
-def _normalized(text):
+def normalized(text: str | None) -> str | None:
+    """``normalize_text`` of one text."""
     if text is None:
         return None
     if text.isascii():
@@ -55,13 +56,13 @@ def _normalized(text):
 @pandas_udf(T.StringType())
 def normalize_text(texts: pd.Series) -> pd.Series:
     """Compatibility-decompose, drop accents and separators, lower-case (no JVM function does)."""
-    return texts.map(_normalized)
+    return texts.map(normalized)
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
 def normalize_all(words: pd.Series) -> pd.Series:
     """``normalize_text`` for arrays of words."""
-    return words.map(lambda ws: None if ws is None else [_normalized(w) for w in ws])
+    return words.map(lambda ws: None if ws is None else [normalized(w) for w in ws])
 
 
 def safe_name(x, limit: int = 64) -> Column:

@@ -1,66 +1,24 @@
 """Finding entity texts again in words and pages.
 
-The text of an entity may differ from the page in accents, blanks, dashes or
-line breaks.  Words are normalised and joined by blanks (which no normalised word
-contains); a target with an optional blank between its characters then matches
-exactly the runs of words that spell it, starting at a word and free to end inside
-one.  Regular-expression matching from left to right gives the non-overlapping
-occurrences.
+The text of an entity may differ from the page in accents, blanks, dashes or line
+breaks; ``functions/spelling`` says how it is found all the same.  Whatever is
+looked for on a page travels to it as one list, and the page is walked once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tachado.functions.text import as_col, normalize_all, normalize_text, quote
-from tachado.operators.detect import spans_of
+from tachado.functions.spelling import on_page, page_places, page_runs
+from tachado.functions.text import quote
 from tachado.operators.mask import mask_array
 from tachado.operators.overlap import candidate_array
 from tachado.schemas import CANDIDATE, CANDIDATES
 from tachado.session import stored
 
 _KEYS = ["doc_id", "page"]
-_RUNS = "array<struct<first:int,last:int>>"
-
-
-def _spelled(target: Column) -> Column:
-    """Pattern of a normalised target at the start of a word, words joined by blanks."""
-    return F.concat(F.lit(" "), F.array_join(F.transform(F.split(target, ""), quote), " ?"))
-
-
-def word_runs(joined: Column, target: Column) -> Column:
-    """(first, last) places of the words that spell a target, in the joined words.
-
-    Counting the blanks in the pieces before a match gives the place of its first word.
-    """
-    pattern = _spelled(target)
-    pieces, matches = F.split(joined, pattern, -1), F.regexp_extract_all(joined, pattern, F.lit(0))
-
-    def blanks(x):
-        return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_RUNS).alias("out"))
-
-    def step(acc, z):
-        first = acc["at"] + blanks(z["p"])
-        nxt = first + blanks(z["m"])
-        run = F.struct(first.alias("first"), (nxt - 1).alias("last"))
-        return F.struct(nxt.alias("at"), F.concat(acc["out"], F.array(run)).alias("out"))
-
-    both = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda z: z["m"].isNotNull())
-    hit = (target != "") & F.contains(F.replace(joined, F.lit(" "), F.lit("")), target)
-    return F.when(hit, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_RUNS))
-
-
-def page_words(words: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per page: its non-empty normalised words in order, and their spelling joined by blanks."""
-    row = F.struct("word_ord", "text", *fields)
-    pages = words.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(row)).alias("w"))
-    pages = pages.withColumn("n", normalize_all(F.transform("w", lambda x: x["text"])))
-    kept = F.filter(F.arrays_zip("w", "n"), lambda z: F.coalesce(z["n"], F.lit("")) != "")
-    pages = pages.withColumn("k", kept)
-    return pages.select(*_KEYS, F.transform("k", lambda z: z["w"]).alias("words"), F.col("w").alias("all_words"),
-                        F.concat(F.lit(" "), F.array_join(F.transform("k", lambda z: z["n"]), " ")).alias("joined"))
+#: Texts that one walk over a page looks for; a document with more has its pages walked once per so many.
+NEEDLES = 1000
 
 
 def locate_tolerant(entities: DataFrame, words: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -71,58 +29,33 @@ def locate_tolerant(entities: DataFrame, words: DataFrame, fields: list[str] | N
     first to last and their ``fields``.
     """
     fields = fields or []
-    targets = entities.withColumn("_target", normalize_text("text")).filter("_target <> ''")
-    # Only the words of pages that have a target are brought together.
-    pages = page_words(words.join(targets.select(*_KEYS).distinct(), _KEYS, "left_semi"), fields)
-    joined = targets.join(pages, _KEYS)
-    runs = joined.select(*entities.columns, "words", "all_words",
-                         F.posexplode(word_runs(F.col("joined"), F.col("_target"))).alias("occurrence", "_r"))
-    first, last = F.get("words", F.col("_r.first")), F.get("words", F.col("_r.last"))
-    runs = runs.withColumn("first_word", first["word_ord"]).withColumn("last_word", last["word_ord"])
-    run = F.filter("all_words", lambda w: (w["word_ord"] >= F.col("first_word")) & (w["word_ord"] <= F.col("last_word")))
-    return runs.withColumn("run", run).drop("words", "all_words", "_r")
-
-
-def _grams(x: Column, n: int) -> Column:
-    """The different runs of ``n`` characters of a text, each with its size."""
-    runs = F.array_distinct(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
-    return F.transform(runs, lambda g: F.struct(F.lit(n).alias("_size"), g.alias("_key")))
-
-
-_GRAMS = [6, 3, 2, 1]
+    mine = entities.withColumn("_row", F.struct(*entities.columns)).groupBy(*_KEYS).agg(F.collect_list("_row").alias("_e"))
+    # Only the words of pages that have a target are brought together, and a page meets its targets as one row.
+    row = F.struct("word_ord", "text", *fields)
+    pages = words.join(entities.select(*_KEYS).distinct(), _KEYS, "left_semi").groupBy(*_KEYS).agg(
+        F.array_sort(F.collect_list(row)).alias("_w"))
+    found = pages.join(mine, _KEYS).withColumn("_runs", page_runs(
+        F.transform("_w", lambda w: w["text"]), F.transform("_e", lambda e: e["text"])))
+    hits = found.select("_e", "_w", F.explode("_runs").alias("_r"))
+    at = {k: F.col(f"_r.{k}") for k in ("target", "occurrence", "first", "last")}
+    return hits.select(F.get("_e", at["target"]).alias("_of"), "_w", "_r").select(
+        "_of.*", at["occurrence"].alias("occurrence"), F.get("_w", at["first"])["word_ord"].alias("first_word"),
+        F.get("_w", at["last"])["word_ord"].alias("last_word"),
+        F.slice("_w", at["first"] + 1, at["last"] - at["first"] + 1).alias("run"))
 
 
 def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
-    """Entities that are not on their own page, with the first page of the document that has them.
+    """Entities with the first page of their document that has them (J12); those that are nowhere have no row.
 
-    A page has an entity if its text contains it, or its words spell it.  Both need
-    the page's normalised text to contain the normalised entity, so candidates come
-    from an equi-join on a few normalised characters, never from pairing a document's
-    entities with all its pages; the candidates are then checked in full.
+    A page has an entity if its text contains it, or its words spell it.  A document's texts travel to its pages in
+    lists of about a thousand, and a page is walked once per list by automata over them: only what is found leaves the row.
     """
-    needles = entities.select("doc_id", "text").distinct().withColumn("_t", normalize_text("text"))
-    mine = pages.select("doc_id", "page", F.col("text").alias("page_text")).join(
-        needles.select("doc_id").distinct(), "doc_id", "left_semi")
-    mine = mine.withColumn("_n", normalize_text("page_text"))
-    length = F.length("_t")
-    size = F.when(length >= 6, 6).when(length >= 3, 3).when(length >= 1, length).otherwise(0)
-    # An entity of separators only is looked up by its first character.
-    keyed = needles.withColumn("_size", size).withColumn("_key", F.when(
-        size == 0, F.left("text", F.lit(1))).otherwise(F.left("_t", size)))
-    separators = F.array_distinct(F.regexp_extract_all(
-        F.col("page_text"), F.lit(r"[^\p{L}\p{Nd}]"), F.lit(0)))
-    index = mine.select("doc_id", "page", F.explode(F.concat(
-        F.transform(separators, lambda g: F.struct(F.lit(0).alias("_size"), g.alias("_key"))),
-        *[_grams(F.col("_n"), n) for n in _GRAMS])).alias("g")).select("doc_id", "page", "g.*")
-    maybe = keyed.join(index, ["doc_id", "_size", "_key"]).select("doc_id", "page", "text", "_t")
-
-    tokens = F.filter(F.split("page_text", r"[\p{IsWhite_Space}\x1c-\x1f]+", -1), lambda w: w != "")
-    full = maybe.join(mine.select("doc_id", "page", "page_text", "_n"), _KEYS)
-    full = full.filter(F.contains("page_text", F.col("text")) | F.contains("_n", F.col("_t")))
-    full = full.withColumn("_w", normalize_all(tokens))
-    joined = F.concat(F.lit(" "), F.array_join(F.filter("_w", lambda w: w != ""), " "))
-    spelled = (F.col("_t") != "") & F.rlike(joined, _spelled(F.col("_t")))
-    hits = full.filter(F.contains("page_text", F.col("text")) | spelled)
+    needles = entities.select("doc_id", "text").filter("text <> ''").distinct()
+    sizes = needles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).select("doc_id", F.ceil(F.col("_n") / NEEDLES).alias("_lists"))
+    dealt = needles.join(sizes, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("text"), F.col("_lists")).alias("_list")).agg(
+        F.collect_list("text").alias("_needles"))
+    met = pages.select("doc_id", "page", F.col("text").alias("_text")).join(dealt, "doc_id")
+    hits = met.select("doc_id", "page", F.explode(on_page("_text", "_needles")).alias("text"))
     first = hits.groupBy("doc_id", "text").agg(F.min("page").alias("found_page"))
     return entities.join(first, ["doc_id", "text"])
 
@@ -157,60 +90,6 @@ def locate(entities: DataFrame, pages: DataFrame, words: DataFrame, ocr_words: D
     return out.select(*ids, how.alias("how"), at.alias("found_page"))
 
 
-def occurrences_array(text, entities, more=None) -> Column:
-    """All occurrences of a page's entity texts in any case as candidates, in entity order, then ``more``.
-
-    Occurrences of one text do not overlap; a place already taken by an earlier entity is not taken again.
-    """
-    t = as_col(text)
-    low = F.lower(t)
-
-    def spans(e):
-        pattern = F.concat(F.lit("(?iu)"), quote(e["text"]))
-        pieces, n = F.split(t, pattern, -1), F.length(e["text"])
-        cuts = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast("array<int>"),
-                           lambda acc, p: F.concat(acc, F.array(F.length(p) + F.coalesce(
-                               F.get(acc, F.size(acc) - 1) + n, F.lit(0)))))
-        return F.when((F.coalesce(e["text"], F.lit("")) != "") & F.contains(low, F.lower(e["text"])), F.transform(
-            cuts, lambda s: F.struct(F.lit(0), e["type"], s, s + n, F.substr(t, s + 1, n), e["source"], e["confidence"]).cast(CANDIDATE))
-        ).otherwise(F.array().cast(CANDIDATES))
-
-    every = F.flatten(F.transform(as_col(entities), spans))
-    if more is not None:
-        every = F.concat(every, as_col(more))
-
-    def place(kept, c):
-        taken = F.exists(kept, lambda k: F.greatest(k["start_offset"], c["start_offset"])
-                         < F.least(k["end_offset"], c["end_offset"]))
-        return F.when(taken, kept).otherwise(F.concat(kept, F.array(c)))
-
-    placed = F.aggregate(every, F.array().cast(CANDIDATES), place)
-    return F.transform(placed, lambda c, i: c.withField("ord", i))
-
-
-def _words_with_offsets(text: Column) -> Column:
-    """Words of a page as spans (start_offset, end_offset, text)."""
-    word = F.lit(r"[^\p{IsWhite_Space}\x1c-\x1f]+")
-    return spans_of(text, F.regexp_extract_all(text, word, F.lit(0)), word)
-
-
-def tolerant_array(words, joined, entities, targets) -> Column:
-    """Runs of a page's words that spell its entities, as candidates from the first word to the last.
-
-    ``words`` are the page's non-empty words as spans and ``joined`` their normalised
-    spelling; ``targets`` are the entities' normalised texts, null for an entity not
-    to look for.  All four should be columns: the search refers to them many times.
-    """
-    def runs(z):
-        e = z["e"]
-        return F.transform(word_runs(as_col(joined), z["t"]), lambda r: F.struct(
-            F.lit(0), e["type"], F.get(as_col(words), r["first"])["start_offset"], F.get(as_col(words), r["last"])["end_offset"],
-            e["text"], e["source"], e["confidence"]).cast(CANDIDATE))
-
-    wanted = F.filter(F.arrays_zip(as_col(entities).alias("e"), as_col(targets).alias("t")), lambda z: F.coalesce(z["t"], F.lit("")) != "")
-    return F.flatten(F.transform(wanted, runs))
-
-
 def relocate(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """Entities with their page replaced by the first that has them, where their own does not.
 
@@ -240,19 +119,26 @@ def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
     none = F.array().cast(CANDIDATES)
     texts = entities.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(candidate_array())).alias("_e"))
     mine = pages.join(texts, _KEYS, "left").withColumn("_e", F.coalesce("_e", none))
-    wanted = F.transform("_e", lambda e: F.nullif(e["text"], F.lit("")))
-    mine = mine.withColumn("_t", wanted).withColumn("_any", F.exists("_t", lambda t: t.isNotNull()))
-    mine = mine.withColumn("_w", F.when(F.col("_any"), _words_with_offsets(F.col("text"))))
-    mine = mine.withColumn("_n", normalize_all(F.transform("_w", lambda w: w["text"]))).withColumn(
-        "_t", normalize_all(F.when(F.col("_any"), F.col("_t"))))
-    mine = mine.withColumn("_k", F.filter(F.arrays_zip(F.col("_w").alias("w"), F.col("_n").alias("n")), lambda z: z["n"] != ""))
-    mine = mine.withColumn("_w", F.transform("_k", lambda z: z["w"])).withColumn(
-        "_n", F.concat(F.lit(" "), F.array_join(F.transform("_k", lambda z: z["n"]), " ")))
-    loose = F.when(F.col("_any"), tolerant_array("_w", "_n", "_e", "_t")).otherwise(none)
-    placed = mine.withColumn("_loose", loose).withColumn("occurrences", F.when(
-        F.size("_e") > 0, occurrences_array("text", "_e", "_loose")).otherwise(none))
+    t = F.col("text")
+
+    def gaps(e):
+        """Lengths of the text before, between, but not after the occurrences of an entity's text in any case."""
+        pieces = F.split(t, F.concat(F.lit("(?iu)"), quote(e["text"])), -1)
+        between = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
+        return F.when((F.coalesce(e["text"], F.lit("")) != "") & F.contains(F.lower(t), F.lower(e["text"])), between)
+
+    some = F.size("_e") > 0
+    mine = mine.withColumn("_at", page_places(
+        F.when(some, t), F.transform("_e", lambda e: e["text"]), F.when(some, F.transform("_e", gaps))))
+
+    def candidate(p, i):
+        e = F.get("_e", p["target"])
+        said = F.when(p["loose"] == 1, e["text"]).otherwise(F.substr(t, p["start"] + 1, p["end"] - p["start"]))
+        return F.struct(i, e["type"], p["start"], p["end"], said, e["source"], e["confidence"]).cast(CANDIDATE)
+
+    mine = mine.withColumn("occurrences", F.transform("_at", candidate))
     # Places do not overlap and lie inside the text; from left to right they are masked in one walk.
     across = F.transform(F.array_sort(F.transform("occurrences", lambda c: F.struct(c["start_offset"].alias("s"), c.alias("c")))), lambda x: x["c"])
-    placed = placed.withColumn("_across", across)
-    return placed.withColumn("masked_text", mask_array("text", "_across", settled=True)).withColumn(
-        "occurrences_masked", F.size("occurrences")).drop("_e", "_t", "_any", "_w", "_n", "_k", "_loose", "_across")
+    mine = mine.withColumn("_across", across)
+    return mine.withColumn("masked_text", mask_array("text", "_across", settled=True)).withColumn(
+        "occurrences_masked", F.size("occurrences")).drop("_e", "_at", "_across")

@@ -12,7 +12,7 @@ from tachado.functions import display, identity, text as T
 from tachado.operators import aggregate, config, detect, geometry, intake, locate as loc, mask, model, observe, ocr, overlap, residual
 from tachado.operators import status as st
 from tachado.plans import corpus, roles
-from tachado.session import checkpoint_dir
+from tachado.session import checkpoint_dir, stored
 from tachado.sources.files import read_entities, read_table, write_entities, write_reports
 from tachado.streaming import flows
 
@@ -503,7 +503,7 @@ def _strays(spark, d):
 
 @query
 def locate_any_page(spark, d):
-    return loc.locate_any_page(_strays(spark, d), roles.split_pages(spark, d)).select("doc_id", "page", "ord", "text", "found_page")
+    return loc.locate_any_page(stored(_strays(spark, d)), roles.split_pages(spark, d)).select("doc_id", "page", "ord", "text", "found_page")
 
 
 @query
