@@ -8,13 +8,14 @@ when it is small and splits a user with very many documents when it is not.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
 from tachado.functions import patterns
 from tachado.functions.text import is_blank
 from tachado.schemas import CONFIG_FIELDS
+from tachado.sources import buckets
 
 _RULES = "array<struct<type:string,pattern:string,enabled:boolean>>"
 
@@ -109,12 +110,21 @@ def validate_config(config: DataFrame) -> DataFrame:
             .withColumn("valid", F.col("message") == "").drop("_compiles"))
 
 
-def save_config(config: DataFrame, path: str, mode: str = "append") -> None:
-    """Write the valid rows of a submitted configuration."""
+def save_config(config: DataFrame, path: str, buckets_of: int = buckets.BUCKETS) -> None:
+    """Put the valid rows of a submitted configuration into the stored table, one row per user.
+
+    What a user had stored before is replaced whole; others' rows, and the files of buckets without a submitted user,
+    stay as they are.  Of several rows of one user in one call the last by its values counts.
+    """
     valid = validate_config(config).filter("valid")
-    kept = [f for f in CONFIG_FIELDS if f in config.columns]
-    (valid.select(*[F.col(f).cast(CONFIG_FIELDS[f]).alias(f) for f in kept])
-     .withColumn("updated_at", F.current_timestamp()).write.mode(mode).parquet(path))
+    full = [(F.col(f) if f in config.columns else F.lit(None)).cast(kind).alias(f) for f, kind in CONFIG_FIELDS.items()]
+    buckets.upsert(valid.select(*full, F.current_timestamp().alias("updated_at")), path, ["user_id"],
+                   buckets.newest(["user_id"], ["updated_at"]), buckets_of)
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """The stored configurations, the current row of each user."""
+    return buckets.read(spark, path)
 
 
 def add_rule(config: DataFrame, entity_type: str, pattern: str, enabled: bool = True) -> DataFrame:

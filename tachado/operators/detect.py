@@ -17,6 +17,7 @@ from pyspark.sql.functions import pandas_udf
 from tachado import constants as K
 from tachado.functions import patterns
 from tachado.functions.reuse import once_per_session
+from tachado.functions.spelling import automaton
 from tachado.functions.text import as_col, is_blank
 from tachado.operators.overlap import explode_entities
 from tachado.schemas import CANDIDATE, CANDIDATES
@@ -65,7 +66,7 @@ def _study(pattern: pd.Series) -> pd.DataFrame:
 def usable_rules(rules: DataFrame) -> DataFrame:
     """Rule rows that can run, with their JVM form (null where only ``re`` can run them).
 
-    Each distinct pattern is studied once; ``rules`` holds at most fifty rows per user.
+    Each distinct pattern is studied once.
     """
     listed = rules.filter(F.coalesce("enabled", F.lit(True)) & (F.coalesce("type", F.lit("")) != "")
                           & (F.coalesce("pattern", F.lit("")) != ""))
@@ -179,44 +180,75 @@ def detect_rules(pages: DataFrame, rules: Iterable | None = None, base_offset: i
     return explode_entities(page_candidates(pages, rules, base_offset, engine), "candidates", ("doc_id", "page", *carry))
 
 
-def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """As ``page_candidates`` with rules per user: ``rules`` has user_id, rule_idx, type, pattern, enabled.
+class _RuleSet:
+    """A user's patterns, each compiled once, and an index from the literals they require to the patterns.
 
-    A user's rules (at most fifty) travel as one array to that user's pages in one
-    equi-join; no size is assumed, so the engine broadcasts the rules only when
-    they are small and otherwise splits a hot user.
+    One walk over a page by an automaton over all literals says which patterns can match there at all.
     """
-    ready = usable_rules(rules)
-    per_user = ready.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rule_idx", "type", "pattern", "jvm", "required"))).alias("_rules"))
-    joined = pages.join(per_user, "user_id", "left")
-    text = F.col("text")
-    with_py = joined.withColumn("_py", _python_user_spans(
-        F.when(F.exists("_rules", lambda r: r["jvm"].isNull()), text),
-        F.transform(F.filter("_rules", lambda r: r["jvm"].isNull()), lambda r: r["pattern"])))
-    nothing = F.array().cast("array<string>")
 
-    def look(r, i):
-        # A fallback rule's place among the user's fallback rules is its slot in ``_py``.
-        slot = F.size(F.filter(F.slice("_rules", F.lit(1), i), lambda q: q["jvm"].isNull()))
-        skip = r["jvm"].isNull() | F.exists(r["required"], lambda x: ~F.contains(text, x))
-        return F.struct(r["type"].alias("type"), r["jvm"].alias("jvm"),
-                        F.when(skip, nothing).otherwise(F.regexp_extract_all(text, r["jvm"], F.lit(0))).alias("m"),
-                        F.when(r["jvm"].isNull(), F.get("_py", slot)).alias("spans"))
+    def __init__(self, patterns_: list[str], required: list[list[str]]):
+        self.compiled = [re.compile(p) for p in patterns_]
+        self.missing = [len(set(r)) for r in required]
+        self.wanted_by: dict[str, list[int]] = {}
+        for i, literals in enumerate(required):
+            for literal in set(literals):
+                self.wanted_by.setdefault(literal, []).append(i)
+        self.literals = automaton(self.wanted_by)
 
-    found = F.filter(F.transform("_rules", look), lambda h: (F.size(h["m"]) > 0) | (F.size(h["spans"]) > 0))
-    matched = with_py.withColumn("_found", found)
-    return matched.select(*pages.columns, F.when(F.size("_found") > 0, _candidates_of("text", "_found"))
-                          .otherwise(F.array().cast(CANDIDATES)).alias("candidates"))
+    def admitted(self, text: str) -> list[bool]:
+        missing = list(self.missing)
+        for literal in {x for _, x in self.literals.iter(text)} if self.literals is not None else ():
+            for i in self.wanted_by[literal]:
+                missing[i] -= 1
+        return [n == 0 for n in missing]
+
+    def spans(self, text: str) -> list[list[tuple]]:
+        return [[(m.start(), m.end(), m.group()) for m in rx.finditer(text) if m.end() > m.start()] if runs else []
+                for rx, runs in zip(self.compiled, self.admitted(text))]
 
 
 @pandas_udf(T.ArrayType(_SPANS))
-def _python_user_spans(texts: pd.Series, pats: pd.Series) -> pd.Series:
-    def one(t, ps):
-        if t is None or ps is None or len(ps) == 0:
+def _user_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The matches of each page's rules, rule by rule; none where the page or its rules are null."""
+    known: dict[tuple, _RuleSet] = {}
+
+    def one(text, rules):
+        if text is None or rules is None or not len(rules):
             return None
-        return [[(m.start(), m.end(), m.group()) for m in re.finditer(p, t) if m.end() > m.start()] for p in ps]
-    return pd.Series([one(t, p) for t, p in zip(texts, pats)])
+        key = tuple(r["pattern"] for r in rules)
+        if key not in known:
+            if len(known) >= RULE_SETS:
+                known.clear()
+            known[key] = _RuleSet(list(key), [[] if r["required"] is None else list(r["required"]) for r in rules])
+        return known[key].spans(text)
+
+    for texts, rules in batches:
+        yield pd.Series([one(t, r) for t, r in zip(texts, rules)], dtype=object)
+
+
+#: Users whose compiled rules a task keeps.
+RULE_SETS = 512
+
+
+def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """As ``page_candidates`` with rules per user: ``rules`` has user_id, rule_idx, type, pattern, enabled.
+
+    A user's rules travel as one array to that user's pages in one equi-join; no size is assumed, so the engine
+    broadcasts the rules only when they are small and otherwise splits a hot user.  Only pages that hold all literals of
+    some rule leave the JVM, and of their rules only those run that the page's literals admit, compiled once a task and
+    user.  Patterns are run by ``re``, in whose dialect they are written.
+    """
+    ready = usable_rules(rules)
+    per_user = ready.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
+        "rule_idx", "type", "pattern", "required"))).alias("_rules"))
+    text = F.col("text")
+    possible = F.exists("_rules", lambda r: F.forall(r["required"], lambda x: F.contains(text, x)))
+    matched = pages.join(per_user, "user_id", "left").withColumn("_spans", _user_spans(
+        F.when(possible, text), F.transform("_rules", lambda r: F.struct(r["pattern"].alias("pattern"), r["required"].alias("required")))))
+    found = numbered(F.flatten(F.transform(F.arrays_zip(F.col("_rules").alias("r"), F.col("_spans").alias("s")),
+                                           lambda z: _as_candidates(z["s"], z["r"]["type"]))))
+    return matched.select(*pages.columns, F.when(F.col("_spans").isNotNull(), found).otherwise(
+        F.array().cast(CANDIDATES)).alias("candidates"))
 
 
 # ---------------------------------------------------------------- page predicates

@@ -61,38 +61,44 @@ def error_alarms(metrics: DataFrame, width: str = K.WINDOW, thresholds: dict[str
     return sums.withColumn("breaching", F.col("total") > limit)
 
 
+#: Stretches into which the values between the brackets are cut, so that ranks are summed, not counted through in one task.
+STRETCHES = 1024
+
+
 def latency_p99(metrics: DataFrame, width: str = K.WINDOW, q: float = 0.99, limit: float = K.LATENCY_P99_MS,
                 accuracy: int = 10000) -> DataFrame:
     """Exact interpolated percentile per name and window, and whether it breaches.
 
-    Exact without gathering a window's values: an approximate percentile first
-    brackets the rank (its error is at most 1/accuracy of the rows), then only the
-    few values between the brackets are ranked, by counts of equal values.
+    Exact without gathering a window's values, in the same way whatever their number: a sketch brackets the rank to
+    within a few parts in ``accuracy``; values below and above the brackets are only counted, with the nearest of each.
+    Those between are counted by value and cut into stretches, whose totals (at most a thousand rows a window) say which
+    one or two hold the rank; only these are ranked.  A rank outside of the brackets is an error, not a wrong number.
     """
     keys = ["window_start", "name"]
     points = metrics.select(in_window("ts", width), "name", F.col("value").cast("double").alias("value")).filter("value is not null")
     eps = 2.0 / accuracy
-    sides = [max(0.0, q - eps), min(1.0, q + eps)]
-    near = points.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("value", sides, accuracy).alias("side"),
-        F.min("value").alias("least"), F.max("value").alias("most"))
-    # The two neighbours of the rank lie between the brackets, or at an end of a tiny window.
-    near = near.select(*keys, "n", F.when(F.col("n") <= accuracy, F.col("least")).otherwise(F.get("side", F.lit(0))).alias("low"),
-                       F.when(F.col("n") <= accuracy, F.col("most")).otherwise(F.get("side", F.lit(1))).alias("high"))
-    value = F.col("value")
-    inside = F.when(value.between(F.col("low"), F.col("high")), value)
-    counts = points.join(near, keys).groupBy(*keys, "n", inside.alias("v")).agg(
-        F.count(F.lit(1)).alias("c"), F.count_if(value < F.col("low")).alias("b"))
-    every, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("v")
-    ranked = counts.select(*keys, "n", F.col("v").alias("value"), F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0).alias("c"),
-                           F.sum("b").over(every).alias("below"), F.col("v"))
-    ranked = ranked.withColumn("upto", F.col("below") + F.sum("c").over(upto)).filter("value is not null")
+    near = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(
+        "value", [max(0.0, q - eps), min(1.0, q + eps)], accuracy).alias("side"))
+    value, low, high = F.col("value"), F.col("side")[0], F.col("side")[1]
+    zone = F.when(value < low, -1).when(value > high, STRETCHES).otherwise(
+        F.least(F.lit(STRETCHES - 1), F.coalesce(F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * STRETCHES), F.lit(0)))).cast("int")
     at = (F.col("n") - 1) * F.lit(q)
-    lower = F.min(F.when(F.col("upto") > F.floor(at), F.col("value")))
-    upper = F.min(F.when(F.col("upto") > F.ceil(at), F.col("value")))
-    out = ranked.groupBy(*keys, "n").agg(lower.alias("lo"), upper.alias("hi"))
-    share = at - F.floor(at)
-    p = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-        (F.ceil(at) - at) * F.col("lo") + share * F.col("hi"))
+    first, second = F.floor(at), F.ceil(at)
+    # One row per value; below the brackets one for all, which stands for the largest, and above for the smallest.
+    placed = points.join(near, keys).select(*keys, "n", "value", zone.alias("stretch"))
+    alone = F.col("stretch").between(0, STRETCHES - 1)
+    counts = placed.groupBy(*keys, "n", "stretch", F.when(alone, value).alias("v")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("value").alias("most"), F.min("value").alias("least"))
+    counts = counts.withColumn("v", F.coalesce("v", F.when(F.col("stretch") < 0, F.col("most")).otherwise(F.col("least"))))
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "n", "stretch").agg(F.sum("c").alias("t")).withColumn("base", F.coalesce(F.sum("t").over(before), F.lit(0)))
+    holding = totals.filter((F.col("base") <= second) & (F.col("base") + F.col("t") > first)).select(*keys, "stretch", "base")
+    upto = F.col("base") + F.sum("c").over(Window.partitionBy(*keys, "stretch").orderBy("v"))
+    ranked = counts.join(holding, [*keys, "stretch"]).select(*keys, "n", "v", "c", "stretch", upto.alias("upto"))
+    # The rows for all below and all above know only their last and first value.
+    outside = ((F.col("stretch") < 0) & (first < F.col("upto") - 1)) | ((F.col("stretch") == STRETCHES) & (second > F.col("upto") - F.col("c")))
+    ranked = ranked.withColumn("v", F.when(outside, F.raise_error(F.lit("the rank lies outside of the brackets")).cast("double")).otherwise(F.col("v")))
+    out = ranked.groupBy(*keys, "n").agg(F.min(F.when(F.col("upto") > first, F.col("v"))).alias("lo"),
+                                         F.min(F.when(F.col("upto") > second, F.col("v"))).alias("hi"))
+    p = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise((second - at) * F.col("lo") + (at - first) * F.col("hi"))
     return out.select(*keys, p.alias("p99")).withColumn("breaching", F.col("p99") > limit)

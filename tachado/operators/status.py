@@ -6,11 +6,12 @@ import base64
 import json
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tachado import constants as K
 from tachado.functions.display import doc_state, masked_state
 from tachado.functions.text import as_col
+from tachado.sources import buckets
 
 KEYS = ["user_id", "document_id"]
 ATTRIBUTES = [
@@ -49,8 +50,52 @@ def latest_status(events: DataFrame, keys=KEYS) -> DataFrame:
 apply_status_events = latest_status
 
 
+def said(events: DataFrame, keys=KEYS) -> DataFrame:
+    """Current rows with, in place of each attribute, its value and the event that said it: (v, ts, seq), null if none did.
+
+    Such rows of any parts of the events, in any order, add up by ``merged``, also where an event comes late.
+    """
+    when = F.struct("ts", "seq")
+    attributes = [c for c in events.columns if c not in [*keys, *_EVENT]]
+
+    def last(name):
+        says = (F.col("op") == "put") | F.col(name).isNotNull()
+        return F.max_by(F.struct(F.col(name).alias("v"), "ts", "seq"), F.when(says, when)).alias(name)
+
+    return events.groupBy(*keys).agg(*[last(a) for a in attributes], F.max("ts").alias("last_ts"))
+
+
+def merged(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows of ``said`` of the same documents made one."""
+    attributes = [c for c in rows.columns if c not in [*keys, "last_ts"]]
+
+    def later(name):
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.struct(F.col(f"{name}.ts"), F.col(f"{name}.seq")))).alias(name)
+
+    return rows.groupBy(*keys).agg(*[later(a) for a in attributes], F.max("last_ts").alias("last_ts")).select(rows.columns)
+
+
+def current(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """Rows of ``said`` as ``latest_status`` gives them."""
+    return rows.select(*[F.col(c) if c in [*keys, "last_ts"] else F.col(f"{c}.v").alias(c) for c in rows.columns])
+
+
+def put_status(events: DataFrame, path: str, batch: int | None = None, keys=KEYS, buckets_of: int = buckets.BUCKETS) -> int:
+    """Bring the stored status table up to date with events, also late ones (S10); only touched buckets are written.
+
+    A stored attribute keeps the time of the event that said it, so events may come in any order.  ``batch`` numbers
+    micro-batches: one that was taken already changes nothing.
+    """
+    return buckets.upsert(said(events, keys), path, list(keys), lambda rows: merged(rows, keys), buckets_of, batch)
+
+
+def stored_status(spark: SparkSession, path: str, keys=KEYS) -> DataFrame:
+    """The rows of the stored status table."""
+    return current(buckets.read(spark, path), keys)
+
+
 def fold_stored(stored: DataFrame, events: DataFrame, keys=KEYS) -> DataFrame:
-    """A stored status table brought up to date with newer events: stored rows count as puts."""
+    """A status table in memory brought up to date with newer events: its rows count as puts."""
     attributes = [c for c in stored.columns if c not in [*keys, "last_ts"]]
     base = stored.select(*keys, F.col("last_ts").alias("ts"), F.lit(-1).cast("bigint").alias("seq"),
                          F.lit("put").alias("op"), *attributes)

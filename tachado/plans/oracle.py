@@ -560,4 +560,14 @@ sql("stream_stuck", [], """SELECT CAST(user_id AS VARCHAR) AS user_id, document_
   SELECT user_id, 'doc-' || json_extract_string(props, '$.k') AS document_id, arg_max(CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'PROCESSING' END, (ts, event_id)) AS status, max(ts) AS ts
   FROM events GROUP BY 1, 2) WHERE status = 'PROCESSING' AND ts + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE""")
 sql("stream_deduplicated", [], "SELECT DISTINCT user_id, json_extract_string(props, '$.k') AS document_id FROM events")
-sql("stream_last_status", [], """SELECT user_id, 'doc-' || json_extract_string(props, '$.k') AS document_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS events FROM events GROUP BY 1, 2""")
+ORACLE["stream_last_status"] = ORACLE["latest_status"]
+ORACLE["stored_status_buckets"] = ORACLE["latest_status"]
+ORACLE["stream_sinks"] = ORACLE["stream_masked"]
+sql("stream_arrivals", [], "SELECT conv_id, turn, role, md5(text) AS text FROM conversations")
+sql("stream_latency", [], """SELECT window_start, name, p99 FROM (
+  SELECT time_bucket(INTERVAL 6 HOURS, ts) AS window_start, event_type AS name, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1, 2)
+  WHERE p99 > 60 AND window_start + INTERVAL 6 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+sql("saved_config", [], """SELECT user_id, CASE WHEN length(user_id) % 2 = 0 THEN 'regex' ELSE 'ai' END AS method, CASE WHEN length(user_id) % 2 = 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS temperature,
+  CAST(1 AS INTEGER) AS n_rules, user_id AS ignored FROM (SELECT DISTINCT source AS user_id FROM documents UNION ALL SELECT DISTINCT role FROM conversations)""")
+sql("stored_recognition", [], "SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations")
+sql("listed_files", [], """SELECT CAST(item_id AS VARCHAR) AS item, true AS json, CAST(length('{"documentId":"","totalPages":1}') + length(CAST(item_id AS VARCHAR)) + 1 AS BIGINT) AS size FROM benchmark WHERE item_id IS NOT NULL""")

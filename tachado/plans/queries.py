@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tachado import constants as K
@@ -12,8 +13,11 @@ from tachado.functions import display, identity, text as T
 from tachado.operators import aggregate, config, detect, geometry, intake, locate as loc, mask, model, observe, ocr, overlap, residual
 from tachado.operators import status as st
 from tachado.plans import corpus, roles
+from tachado.schemas import BOX
 from tachado.session import checkpoint_dir, stored
-from tachado.sources.files import read_entities, read_table, write_entities, write_reports
+from tachado.sources.buckets import batch_files
+from tachado.sources.files import (
+    list_files, ocr_page_text, read_entities, read_ocr, read_table, stream_files, write_entities, write_ocr, write_reports)
 from tachado.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +313,31 @@ def stored_entities(spark, d):
     return read_entities(spark, f"{at}/entities").select("doc_id", "page", "type", "start_offset", "end_offset", "text", "source", "confidence")
 
 
+@query
+def stored_recognition(spark, d):
+    """Recognition results of every conversation, a part per turn, written and read back."""
+    at = _folder(spark)
+    turns = read_table(spark, d, "conversations", "conv_id", "turn", "text")
+    box = F.lit(None).cast(BOX).alias("boundingBox")
+    nothing = F.lit(None).cast(f"array<struct<text:string,boundingBox:{BOX}>>").alias("words")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit("LINE").alias("type"), x.alias("text"), box, nothing))
+    noise = F.array(F.struct(F.lit("WORD").alias("type"), F.lit("x").alias("text"), box, nothing))
+    number = F.when(F.col("turn") > 0, F.col("turn") + 1).cast("int")
+    page = F.struct(number.alias("pageNumber"), F.concat(noise, lines).alias("blocks"))
+    write_ocr(turns.select(F.col("conv_id").cast("string").alias("documentId"), F.array(page).alias("pages"), F.lit(1).alias("totalPages")), f"{at}/ocr")
+    return ocr_page_text(read_ocr(spark, f"{at}/ocr"))
+
+
+@query
+def listed_files(spark, d):
+    """A folder of files by name and size, one file per benchmark item."""
+    at = f"{_folder(spark)}/files"
+    items = read_table(spark, d, "benchmark", "item_id", "text").filter("item_id IS NOT NULL")
+    write_ocr(items.select(F.col("item_id").cast("string").alias("documentId"), F.lit(1).alias("totalPages")), at, by_document=True)
+    found = list_files(spark, at, "*.json")
+    return found.select(F.regexp_extract("key", "document=([^/]*)/", 1).alias("item"), F.endswith("name", F.lit(".json")).alias("json"), "size")
+
+
 @query
 def stored_reports(spark, d):
     """Report sections written and read back."""
@@ -535,6 +564,21 @@ def default_config(spark, d):
     return c.select("user_id", F.explode("rules").alias("r"), "method").select("user_id", "method", "r.type", "r.pattern", "r.enabled")
 
 
+@query
+def saved_config(spark, d):
+    """Configurations saved twice by half of the users, and read back: one row per user, the later one."""
+    at, n = f"{_folder(spark)}/config", F.length("user_id")
+    rule = F.struct(F.lit("LEGAJO").alias("type"), F.lit("[0-9]+").alias("pattern"), F.lit(True).alias("enabled"))
+    first = roles.users(spark, d).filter("user_id IS NOT NULL").select(
+        "user_id", F.lit("ai").alias("method"), F.lit("modelo").alias("model_id"), F.lit("ver {text}").alias("prompt"),
+        F.lit("0.5").alias("temperature"), F.lit("true").alias("residual_scan"), F.lit("false").alias("alerts"),
+        F.array(rule).alias("rules"), F.array("user_id").alias("ignored"))
+    config.save_config(first, at)
+    config.save_config(first.filter(n % 2 == 0).withColumn("method", F.lit("regex")).withColumn("temperature", F.lit("0.25")), at)
+    c = config.resolve_config(roles.users(spark, d), config.read_config(spark, at))
+    return c.select("user_id", "method", "temperature", F.size("rules").alias("n_rules"), F.get("ignored", F.lit(0)).alias("ignored"))
+
+
 @query
 def added_rules(spark, d):
     c = config.resolve_config(roles.users(spark, d), roles.user_config(spark, d))
@@ -677,6 +721,15 @@ def stored_status_update(spark, d):
     return st.fold_stored(st.latest_status(events.filter(early)), events.filter(~early)).drop("last_ts")
 
 
+@query
+def stored_status_buckets(spark, d):
+    """The stored table put together from three parts of the events, the latest part first."""
+    events, at = roles.status_events(spark, d), f"{_folder(spark)}/status"
+    for part in (2, 0, 1):
+        st.put_status(events.filter(F.expr(f"pmod(seq, 3) = {part}")), at)
+    return st.stored_status(spark, at).drop("last_ts")
+
+
 def _tracked(spark, d):
     requested = read_table(spark, d, "events", "user_id", "props").select(
         "user_id", F.concat(F.lit("doc-"), F.get_json_object("props", "$.k")).alias("document_id"), F.lit("PENDING").alias("previous")).distinct()
@@ -915,9 +968,10 @@ def _drained(stream: DataFrame) -> DataFrame:
 def _in_batches(rows: DataFrame, batch, n: int = 3) -> DataFrame:
     """``rows`` as a stream of ``n`` micro-batches, by a column that numbers them."""
     spark, at = rows.sparkSession, f"{_folder(rows.sparkSession)}/in"
+    files = rows.rdd.getNumPartitions()
     for i in range(n):
-        rows.filter(batch == i).coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        rows.filter(batch == i).repartition(files).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -946,11 +1000,58 @@ def stream_alarms(spark, d):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+#: Numbers three batches of events without regard to their time.
+_SHUFFLED = F.expr("pmod(coalesce(event_id, 0) * 7, 3)")
+
+
+@query
+def stream_latency(spark, d):
+    """Windows over the limit, once a stream's watermark has closed them."""
+    m = _stream(spark, d, "events").select("ts", F.col("event_type").alias("name"), "value")
+    out = _drained(flows.latency_stream(m, width="6 hours", limit=60.0))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "name", "p99")
+
+
+@query
+def stream_sinks(spark, d):
+    """Documents masked into three sinks, of which one fails first: after the restart each has every document once."""
+    at, failing = _folder(spark), [True]
+    pages = _in_batches(read_table(spark, d, "documents", "doc_id", "text"), F.expr("pmod(coalesce(doc_id, 0), 3)"))
+    write = {name: batch_files(f"{at}/{name}") for name in ("masked", "entities", "failed")}
+
+    def entities(rows: DataFrame, number: int) -> None:
+        if number == 1 and failing:
+            failing.clear()
+            raise OSError("the sink is away")
+        write["entities"](rows, number)
+
+    def run():
+        return flows.mask_to_sinks(pages.withColumn("page", F.lit(1)), write | {"entities": entities}, f"{at}/checkpoint")
+
+    try:
+        run().awaitTermination()
+    except StreamingQueryException:
+        run().awaitTermination()
+    found = spark.read.parquet(f"{at}/entities").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return spark.read.parquet(f"{at}/masked").join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_entities"), "masked_text")
+
+
+@query
+def stream_arrivals(spark, d):
+    """Files as they arrive in a folder, in two lots."""
+    at = f"{_folder(spark)}/in"
+    c = read_table(spark, d, "conversations")
+    for odd in (0, 1):
+        c.filter(F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(2)) == odd).write.mode("append").parquet(at)
+    return _drained(stream_files(spark, at, "parquet", c.schema, maxFilesPerTrigger="4").select("conv_id", "turn", "role", F.md5("text").alias("text")))
+
+
 @query
 def stream_deduplicated(spark, d):
     """Events as notifications that arrive in three batches; a document's are spread over them, out of order."""
     e = read_table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("document_id"), "ts")
-    out = _drained(flows.dedup_arrivals(_in_batches(e, F.col("event_id") * 7 % 3), "3650 days"))
+    out = _drained(flows.dedup_arrivals(_in_batches(e, _SHUFFLED), "3650 days"))
     return out.select("user_id", "document_id")
 
 
@@ -966,18 +1067,8 @@ def stream_stuck(spark, d):
 
 @query
 def stream_last_status(spark, d):
-    e = _in_batches(read_table(spark, d, "events"), F.col("event_id") * 7 % 3)
-    doc = F.concat(F.lit("doc-"), F.get_json_object("props", "$.k"))
-    events = e.select("user_id", doc.alias("document_id"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq"))
+    """Every attribute of every document's row, from events that arrive out of order in three batches."""
     at = _folder(spark)
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
-
-    q = (flows.status_stream(events).writeStream.outputMode("update").foreachBatch(keep)
-         .option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    # A batch holds the documents it changed; the last one of each counts.
-    changes = spark.read.parquet(f"{at}/out")
-    last = changes.groupBy("user_id", "document_id").agg(F.max_by(F.struct("status", "ts", "events"), "batch").alias("s"))
-    return last.select("user_id", "document_id", "s.*")
+    events = roles.as_status_events(_in_batches(read_table(spark, d, "events"), _SHUFFLED))
+    flows.status_to_table(events, f"{at}/table", f"{at}/checkpoint").awaitTermination()
+    return st.stored_status(spark, f"{at}/table").drop("last_ts")

@@ -96,7 +96,10 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 def status_events(spark: SparkSession, d: str) -> DataFrame:
     """Status events from ``events``: puts, completions, failures and an engine note, about ten documents a user."""
-    e = read_table(spark, d, "events")
+    return as_status_events(read_table(spark, d, "events"))
+
+
+def as_status_events(e: DataFrame) -> DataFrame:
     doc = F.concat(F.lit("doc-"), F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("string"))
     user = F.col("user_id").cast("string")
     e = e.select(F.col("user_id"), doc.alias("document_id"), "ts", F.col("event_id").alias("seq"), "event_type", "value")

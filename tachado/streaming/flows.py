@@ -11,7 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tachado import constants as K
 from tachado.operators.observe import threshold
 from tachado.operators.residual import residual_scan
+from tachado.operators.status import KEYS, put_status
 from tachado.plans.corpus import entities_of, mask_pages
+from tachado.sources.buckets import BUCKETS, Ledger
 
 
 def mask_stream(pages: DataFrame, rules: Iterable | None = None) -> DataFrame:
@@ -20,23 +22,25 @@ def mask_stream(pages: DataFrame, rules: Iterable | None = None) -> DataFrame:
 
 
 def mask_to_sinks(pages: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str,
-                  rules: Iterable | None = None, **trigger):
+                  rules: Iterable | None = None, ledger: str | None = None, **trigger):
     """Masked pages, entities and failures of each micro-batch to their own sinks.
 
     ``sinks`` maps ``masked``, ``entities`` and ``failed`` to writers of (frame,
-    batch number); a repeated batch has the same number, so a writer can overwrite
-    it.  The batch is kept while its sinks read it.
+    batch number).  A ledger beside the checkpoint (or in the folder ``ledger``) notes
+    which sink took which batch: where one sink fails, the batch comes again under its
+    number and only the sinks that had not taken it write.  A sink that failed while
+    writing must overwrite by the number, as ``buckets.batch_files`` does.  The batch
+    is kept while its sinks read it.
     """
     def write(batch: DataFrame, number: int) -> None:
+        taken = Ledger(batch.sparkSession, ledger or f"{checkpoint.rstrip('/')}-ledger")
         done = mask_pages(batch, rules).persist()
+        failed = done.filter("text is null").select(
+            "doc_id", "page", F.lit("page without text").alias("error_message"), F.lit("DETECTION").alias("error_step"))
+        outputs = {"masked": done.filter("text is not null").drop("entities"), "entities": entities_of(done), "failed": failed}
         try:
-            if "masked" in sinks:
-                sinks["masked"](done.filter("text is not null").drop("entities"), number)
-            if "entities" in sinks:
-                sinks["entities"](entities_of(done), number)
-            if "failed" in sinks:
-                sinks["failed"](done.filter("text is null").select(
-                    "doc_id", "page", F.lit("page without text").alias("error_message"), F.lit("DETECTION").alias("error_step")), number)
+            for name in [n for n in outputs if n in sinks]:
+                taken.once(name, number, lambda name=name: sinks[name](outputs[name], number))
         finally:
             done.unpersist()
 
@@ -92,6 +96,19 @@ def status_stream(events: DataFrame) -> DataFrame:
         "user_id", "document_id", F.col("s.status").alias("status"), F.col("s.ts").alias("ts"), "events")
 
 
+def status_to_table(events: DataFrame, path: str, checkpoint: str, keys=KEYS, buckets_of: int = BUCKETS, **trigger):
+    """Put and update events folded into the stored status table, micro-batch by micro-batch.
+
+    ``events`` has the columns that ``status.latest_status`` takes.  All attributes are kept, each with the event that
+    said it, so late events overlay rightly; the table is the state and lies in files, of which a batch rewrites the
+    buckets it touches, and the stream itself keeps nothing.  A batch that comes again counts once.
+    """
+    def fold(batch: DataFrame, number: int) -> None:
+        put_status(batch, path, number, keys, buckets_of)
+
+    return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 FINAL = ("COMPLETED", "FAILED")
 _STUCK = "user_id string, document_id string, status string, since timestamp, stuck boolean"
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -123,3 +124,21 @@ def test_blank_pages_and_tolerance(spark):
         detect.offset_within(F.lit("0123456789Ana0123456789"), F.lit("Ana"), F.lit(15)).alias("c"),
         detect.offset_within(F.lit("0123456789Ana0123456789"), F.lit("Ana"), F.lit(16)).alias("d")).first()
     assert tuple(t) == (True, False, True, False)
+
+
+def test_rules_of_users_by_their_literals(spark):
+    """Fifty rules a user over short pages: what comes out is what each rule finds alone."""
+    random.seed(8)
+    rules = [(u, i, f"T{i}", p, None) for u in "ab" for i, p in enumerate(
+        [rf"\bk{i}-{u}\d+" for i in range(40)] + [r"(\d)\1{2,}", r"(?i)hola", r"a+b?", r"[xyz]{2}", r"(uno|dos) y tres", "([", "a*", r"é\w+", r"\Bq\B", r"fin$"])]
+    words = ["k3-a12", "k39-b7", "HOLA", "1112", "xyz", "dos y tres", "écran", "aqui", "fin", "k3-b1", "aab"]
+    pages = [(i, 1, random.choice(["a", "b", "c", None]), " ".join(random.choices(words, k=6)) if i % 9 else random.choice([None, ""])) for i in range(300)]
+    found = detect.user_candidates(spark.createDataFrame(pages, "doc_id int, page int, user_id string, text string"),
+                                   spark.createDataFrame(rules, "user_id string, rule_idx int, type string, pattern string, enabled boolean"))
+    got = {r.doc_id: [(c.ord, c.type, c.start_offset, c.end_offset, c.text) for c in r.candidates] for r in found.collect()}
+    for doc, _, user, text in pages:
+        want = []
+        for u, _, kind, pattern, _ in rules:
+            if u == user and text and pattern not in ("([", "a*"):
+                want += [(kind, m.start(), m.end(), m.group()) for m in re.finditer(pattern, text)]
+        assert got[doc] == [(i, *w) for i, w in enumerate(want)]

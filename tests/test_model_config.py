@@ -128,7 +128,7 @@ def test_config_round_trip_and_defaults(spark, tmp_path):
     df = spark.createDataFrame(rows, "user_id string, method string, residual_scan string, alerts string, model_id string, temperature string, prompt string, "
                                      "rules array<struct<type:string,pattern:string,enabled:boolean>>, ignored array<string>")
     config.save_config(df, str(tmp_path / "c"))
-    stored = spark.read.parquet(str(tmp_path / "c"))
+    stored = config.read_config(spark, str(tmp_path / "c"))
     users = spark.createDataFrame([("u",), ("v",)], "user_id string")
     got = {r.user_id: r for r in config.resolve_config(users, stored).collect()}
     assert (got["u"].method, got["u"].temperature, len(got["u"].rules)) == ("ai", 0.5, 1)
