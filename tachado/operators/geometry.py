@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+from collections.abc import Iterator
 
-from tachado.functions.text import as_col
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 _CORNERS = ["x0", "y0", "x1", "y1"]
 
@@ -38,59 +41,119 @@ def scale_boxes(matches: DataFrame, page_sizes: DataFrame, keys: list[str]) -> D
         (F.col("r") * F.col("page_width")).alias("x1"), (F.col("b") * F.col("page_height")).alias("y1"))
 
 
-def _area(b: Column) -> Column:
-    return F.abs((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]))
-
-
 def _shared(a: Column, b: Column) -> Column:
     w = F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"])
     h = F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"])
     return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
 
 
-def dedup_array(boxes, threshold: float = 0.5) -> Column:
-    """Boxes of one page in order, without those an earlier kept box covers by half or more."""
-    bs = as_col(boxes)
+#: Cells of the grid that is laid over a page, in each direction.
+CELLS = 32
+
+
+class _Grid:
+    """Kept boxes of a page by the cells they touch, so that a box is held only against those around it."""
+
+    def __init__(self, boxes: list[tuple]):
+        xs, ys = [x for b in boxes for x in (b[0], b[2])], [y for b in boxes for y in (b[1], b[3])]
+        self.cells = min(256, 1 + math.isqrt(len(boxes)))
+        self.left, self.top = min(xs), min(ys)
+        self.width, self.height = (max(xs) - self.left) / self.cells or 1.0, (max(ys) - self.top) / self.cells or 1.0
+        self.held: dict[tuple[int, int], list[tuple]] = {}
+
+    def around(self, b: tuple) -> Iterator[tuple[int, int]]:
+        x0, x1 = sorted((b[0], b[2]))
+        y0, y1 = sorted((b[1], b[3]))
+        for x in range(int((x0 - self.left) / self.width), int((x1 - self.left) / self.width) + 1):
+            for y in range(int((y0 - self.top) / self.height), int((y1 - self.top) / self.height) + 1):
+                yield x, y
 
-    def covered(kept, b):
-        def by(k):
-            smaller = F.least(_area(b), F.when(_area(k) > 0, _area(k)).otherwise(_area(b)))
-            return (_shared(b, k) > 0) & (_shared(b, k) >= smaller * threshold)
-        return (_area(b) > 0) & F.exists(kept, by)
 
-    def step(kept, b):
-        return F.when(covered(kept, b), kept).otherwise(F.concat(kept, F.array(b)))
+def unstacked(boxes: list[tuple], threshold: float = 0.5) -> list[bool]:
+    """Which boxes (x0, y0, x1, y1) stay, in order: not those that an earlier one that stayed covers by ``threshold`` or more.
 
-    return F.aggregate(bs, F.filter(bs, lambda b: F.lit(False)), step)
+    Measured on the smaller of the two; a box without area, or with a missing corner, covers nothing and stays.
+    """
+    whole = [b for b in boxes if all(v is not None and math.isfinite(v) for v in b)]
+    grid = _Grid(whole) if whole else None
+    out = []
+    for b in boxes:
+        if any(v is None or not math.isfinite(v) for v in b):
+            out.append(True)
+            continue
+        area = abs((b[2] - b[0]) * (b[3] - b[1]))
+        stays = True
+        for cell in grid.around(b) if area > 0 else ():
+            for k in grid.held.get(cell, ()):
+                w, h = min(b[2], k[2]) - max(b[0], k[0]), min(b[3], k[3]) - max(b[1], k[1])
+                if w > 0 and h > 0 and w * h >= min(area, k[4] or area) * threshold:
+                    stays = False
+                    break
+            if not stays:
+                break
+        out.append(stays)
+        if stays and area > 0:
+            for cell in grid.around(b):
+                grid.held.setdefault(cell, []).append((*b, area))
+    return out
 
 
 def dedup_boxes(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Box rows (doc_id, page, box_ord, corners and more) without stacked ones.
 
-    Depends on the order of a page's boxes, so it folds them; a page has few.
+    Depends on the order of a page's boxes, so a page is one row; inside, a grid holds the boxes that stayed.
     """
+    @pandas_udf(T.ArrayType(T.BooleanType()))
+    def stay(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        def one(*corners):
+            return unstacked([tuple(None if v is None else float(v) for v in b) for b in zip(*corners)], threshold)
+        return pd.Series([one(*page) for page in zip(x0, y0, x1, y1)], dtype=object)
+
     rest = [c for c in boxes.columns if c not in ("doc_id", "page", "box_ord")]
     pages = boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("box_ord", *rest))).alias("_b"))
-    kept = pages.select("doc_id", "page", F.explode(dedup_array("_b", threshold)).alias("b"))
-    return kept.select("doc_id", "page", "b.*").select(*boxes.columns)
+    flagged = pages.withColumn("_stay", stay(*[F.col(f"_b.{c}").cast("array<double>") for c in _CORNERS]))
+    kept = F.filter(F.arrays_zip(F.col("_b").alias("b"), F.col("_stay").alias("s")), lambda z: z["s"])
+    return flagged.select("doc_id", "page", F.explode(F.transform(kept, lambda z: z["b"])).alias("b")).select(
+        "doc_id", "page", "b.*").select(*boxes.columns)
+
+
+def _in_cells(boxes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boxes once per grid cell they touch; ``pages`` says where a page's grid lies."""
+    placed = boxes.join(pages, ["doc_id", "page"])
+
+    def span(low, high, origin, step):
+        def at(c):
+            return F.least(F.lit(CELLS - 1), F.floor((F.col(c) - F.col(origin)) / F.col(step))).cast("int")
+        return F.sequence(F.least(at(low), at(high)), F.greatest(at(low), at(high)))
+
+    return placed.withColumn("_cx", F.explode(span("x0", "x1", "_left", "_width"))).withColumn(
+        "_cy", F.explode(span("y0", "y1", "_top", "_height")))
 
 
 def font_size(boxes: DataFrame, spans: DataFrame) -> DataFrame:
     """Each box with the size of the text span that covers most of it, 0 if none does.
 
-    ``spans`` has doc_id, page, span_ord, corners and size.  A page's spans travel
-    as one array to its boxes, so no box-span pair becomes a row; the first of
-    equal spans wins.
+    ``spans`` has doc_id, page, span_ord, corners and size; the first of equal spans wins.  A grid is laid over each
+    page: boxes and spans meet by an equi-join on the cells they touch, and a pair counts in the one cell that holds the
+    corner of what they share.  Equal boxes are looked up once.
     """
-    usable = spans.filter(F.coalesce("size", F.lit(0.0)) != 0)
-    pages = usable.groupBy("doc_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct("span_ord", *_CORNERS, "size"))).alias("_s"))
-    joined = boxes.join(pages, ["doc_id", "page"], "left")
-    box = F.struct(*_CORNERS)
-
-    def step(best, s):
-        area = _shared(s, box)
-        return F.when(area > best["area"], F.struct(area.alias("area"), s["size"].cast("double").alias("size"))).otherwise(best)
-
-    best = F.aggregate("_s", F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("size")), step)
-    return joined.withColumn("font_size", F.coalesce(best["size"], F.lit(0.0))).drop("_s")
+    keys = ["doc_id", "page"]
+    usable = spans.filter(F.coalesce("size", F.lit(0.0)) != 0).select(*keys, "span_ord", *_CORNERS, F.col("size").cast("double").alias("size"))
+    corners = boxes.select(*keys, *_CORNERS).distinct()
+    every = corners.unionByName(usable.select(*keys, *_CORNERS)).filter(" AND ".join(f"{c} IS NOT NULL" for c in _CORNERS))
+    ends = {c: (F.min(F.least(f"{c}0", f"{c}1")), F.max(F.greatest(f"{c}0", f"{c}1"))) for c in "xy"}
+    pages = every.groupBy(*keys).agg(
+        ends["x"][0].alias("_left"), ends["y"][0].alias("_top"), F.coalesce(F.nullif((ends["x"][1] - ends["x"][0]) / CELLS, F.lit(0.0)), F.lit(1.0)).alias("_width"),
+        F.coalesce(F.nullif((ends["y"][1] - ends["y"][0]) / CELLS, F.lit(0.0)), F.lit(1.0)).alias("_height"))
+    box = _in_cells(corners, pages).select(*keys, "_cx", "_cy", F.struct(*_CORNERS).alias("b"), "_left", "_top", "_width", "_height")
+    span = _in_cells(usable, pages).select(*keys, "_cx", "_cy", F.struct(*_CORNERS).alias("s"), "span_ord", "size")
+    b, s = F.col("b"), F.col("s")
+
+    def corner(axis, origin, step):
+        return F.least(F.lit(CELLS - 1), F.floor((F.greatest(b[f"{axis}0"], s[f"{axis}0"]) - F.col(origin)) / F.col(step)))
+
+    area = _shared(s, b)
+    met = box.join(span, [*keys, "_cx", "_cy"]).filter(
+        (area > 0) & (F.col("_cx") == corner("x", "_left", "_width")) & (F.col("_cy") == corner("y", "_top", "_height")))
+    best = met.groupBy(*keys, "b").agg(F.min_by("size", F.struct(-area, "span_ord")).alias("_size")).select(*keys, "b.*", "_size")
+    return boxes.join(best, [*keys, *_CORNERS], "left").select(*boxes.columns, F.coalesce("_size", F.lit(0.0)).alias("font_size"))

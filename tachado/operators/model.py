@@ -223,11 +223,11 @@ def locate_in_windows(windows: DataFrame, types: list[str] | None = None) -> Dat
     whole = F.filter("candidates", lambda c: ((c["start_offset"] > 0) | (F.col("window_start") == 0)) & (
         (c["end_offset"] < F.length("text")) | (F.col("window_start") + F.length("text") >= F.col("page_chars"))))
     moved = F.transform(whole, lambda c: c.withField("start_offset", c["start_offset"] + F.col("window_start")).withField(
-        "end_offset", c["end_offset"] + F.col("window_start")).withField("ord", F.col("window") * 1_000_000 + c["ord"]).cast(CANDIDATE))
-    rows = explode_entities(found.withColumn("candidates", moved), "candidates")
-    rest = [c for c in rows.columns if c != "ord"]
-    once = rows.groupBy(*rest).agg(F.min("ord").alias("ord")).select(*rows.columns)
-    return candidate_order(once, ["ord"])
+        "end_offset", c["end_offset"] + F.col("window_start")).cast(CANDIDATE))
+    rows = explode_entities(found.withColumn("candidates", moved), "candidates", ("doc_id", "page", "window"))
+    names = [c for c in rows.columns if c != "window"]
+    once = rows.groupBy(*[c for c in names if c != "ord"]).agg(F.min(F.struct("window", "ord")).alias("_seen"))
+    return candidate_order(once.withColumn("ord", F.lit(0)), ["_seen"]).select(*names)
 
 
 def map_types(entities: DataFrame, mapping: dict | None = None) -> DataFrame:
