@@ -213,6 +213,33 @@ def _counted(found: list[np.ndarray], good: np.ndarray) -> tuple[np.ndarray, np.
     return words, np.bincount(place, row, len(words)).astype(np.int64), np.bincount(place, ~row, len(words)).astype(np.int64)
 
 
+def viewed(docs: DataFrame) -> DataFrame:
+    """What the two views see of every row of ``docs`` (doc_id, text, lang, source): doc_id, words, meta, as arrays in binary.
+
+    About half of the texts in size when stored; rounds and scoring read it in place of cutting texts into words again.
+    Rows that are views already pass through.
+    """
+    if docs.columns == ["doc_id", "words", "meta"]:
+        return docs
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = FeatureHashes()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                text, lang, source = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.array([features(t, known).tobytes() for t in text], pa.binary()),
+                    pa.array([metadata(*x).tobytes() for x in zip(text, lang, source)], pa.binary())], names=["doc_id", "words", "meta"])
+
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, words binary, meta binary")
+
+
+def _seen(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and metadata of rows of views."""
+    found = [np.frombuffer(x, np.uint64) for x in part.column("words").to_pylist()]
+    return found, np.stack([np.frombuffer(x) for x in part.column("meta").to_pylist()])
+
+
 def sums(docs: DataFrame, model: Model, sample: dict[int, tuple[bool, bool]], s: Settings) -> DataFrame:
     """(kind, key, good, bad): the sums of ``Taught`` over all rows of ``docs``, words not chosen yet.
 
@@ -222,7 +249,7 @@ def sums(docs: DataFrame, model: Model, sample: dict[int, tuple[bool, bool]], s:
     width = len(model.meta)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, kept, size = FeatureHashes(), [], 0
+        kept, size = [], 0
         documents, taught, slope, curve = [0, 0], 0, np.zeros(width), np.zeros((width, width))
 
         def out(kind: int, key: np.ndarray, good: np.ndarray, bad: np.ndarray | None = None) -> pa.RecordBatch:
@@ -234,10 +261,9 @@ def sums(docs: DataFrame, model: Model, sample: dict[int, tuple[bool, bool]], s:
             return words, *(np.bincount(place, np.concatenate([k[i] for k in kept]), len(words)).astype(np.int64) for i in (1, 2))
 
         for batch in batches:
-            for part in pieces(batch, "text"):
-                ids, text, lang, source = (part.column(c).to_pylist() for c in ("doc_id", "text", "lang", "source"))
-                found = [features(t, known) for t in text]
-                x = np.stack([metadata(*r) for r in zip(text, lang, source)])
+            for part in pieces(batch, "words"):
+                ids = part.column("doc_id").to_pylist()
+                found, x = _seen(part)
                 p = model.scores([numbered(f, model.words) for f in found], x)
                 given = [sample.get(i) for i in ids]
                 free = np.array([g is None for g in given])
@@ -265,7 +291,7 @@ def sums(docs: DataFrame, model: Model, sample: dict[int, tuple[bool, bool]], s:
         yield out(SLOPE, np.arange(width), np.rint(slope * SCALE))
         yield out(CURVE, np.arange(width * width), np.rint(curve.reshape(-1) * SCALE))
 
-    found = docs.select("doc_id", "text", "lang", "source").mapInArrow(rows, "kind int, key bigint, good bigint, bad bigint")
+    found = viewed(docs).mapInArrow(rows, "kind int, key bigint, good bigint, bad bigint")
     return found.groupBy("kind", "key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
@@ -289,34 +315,23 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model
     ``labels`` (doc_id, quality, toxic): good is of quality and not toxic; rows with a null are left out, and of several
     for a document the worst counts.  The labelled sample follows a hash of doc_id, so it is the same in every run;
     documents with a label that are not in it are taught like those without.  Repeated rows and rows without an id are
-    each taught.  Each of ``s.rounds`` is one scan of ``docs``.
+    each taught.  ``docs`` is cut into words once, unless it is what ``viewed`` gives; each of ``s.rounds`` is one scan of that.
     """
     known = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(
         F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
     chosen = known.orderBy(F.xxhash64(F.lit(SEEDS["labelled"]), "doc_id"), "doc_id").limit(s.labelled)
-    rows = docs.select("doc_id", "text", "lang", "source")
     spark = docs.sparkSession
+    views = docs if viewed(docs) is docs else written(viewed(docs), "views")
     ids = [(r["doc_id"], r["good"]) for r in chosen.collect()]  # at most s.labelled
     held = spark.createDataFrame(ids, "doc_id bigint, good int")
-    labelled = rows.join(F.broadcast(held), "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(SEEDS["held"]), "doc_id"), F.lit(1000)) < 1000 * s.held)
-
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = FeatureHashes()
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                text, lang, source = (part.column(c).to_pylist() for c in ("text", "lang", "source"))
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([features(t, known).tobytes() for t in text], pa.binary()),
-                    pa.array([metadata(*x).tobytes() for x in zip(text, lang, source)], pa.binary()),
-                    part.column("good"), part.column("held")], names=["doc_id", "words", "meta", "good", "held"])
-
+    labelled = views.join(F.broadcast(held), "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(SEEDS["held"]), "doc_id"), F.lit(1000)) < 1000 * s.held)
     # Rows of a document that is there many times say the same; one of each is enough, and so the sample stays bounded.
-    got = labelled.dropDuplicates(["doc_id"]).mapInArrow(views, "doc_id bigint, words binary, meta binary, good int, held boolean").collect()
+    got = labelled.dropDuplicates(["doc_id"]).select("doc_id", "words", "meta", "good", "held").collect()
     got.sort(key=lambda r: r["doc_id"])
     sample = {r["doc_id"]: (bool(r["good"]), r["held"]) for r in got}
     cases = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["meta"]), r["good"], r["held"]) for r in got]
     del got
-    return fit(cases, lambda model: exchanged(docs, model, sample, s), s)
+    return fit(cases, lambda model: exchanged(views, model, sample, s), s)
 
 
 def _scored(model: Model, part: pa.RecordBatch, known: FeatureHashes) -> np.ndarray:
@@ -326,20 +341,20 @@ def _scored(model: Model, part: pa.RecordBatch, known: FeatureHashes) -> np.ndar
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text, lang, source): doc_id, text_score, meta_score, score, keep.
+    """Every row of ``docs`` (doc_id, text, lang, source, or what ``viewed`` gives): doc_id, text_score, meta_score, score, keep.
 
     Nulls are empty texts and unknown languages and sources; repeated rows are scored each; other columns are ignored.
     Without a model all scores are one half, and a score of ``least`` is kept.
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = FeatureHashes()
         for batch in batches:
-            for part in pieces(batch, "text"):
-                p = _scored(model, part, known)
+            for part in pieces(batch, "words"):
+                found, meta = _seen(part)
+                p = model.scores([numbered(f, model.words) for f in found], meta)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, 2] >= least)],
                                                  names=["doc_id", "text_score", "meta_score", "score", "keep"])
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(
+    return viewed(docs).mapInArrow(
         rows, f"doc_id {dict(docs.dtypes)['doc_id']}, text_score double, meta_score double, score double, keep boolean")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tachado.llm import chat, credentials, merkle, mixing, ngram_join, packing, quality, sampling, tiling, tokenfiles, trie, urls, windows
-from tachado.llm.tables import table
+from tachado.llm.tables import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,7 +95,8 @@ def op6_curve_packing(spark, d):
 def op1_cotraining(spark, d):
     """Every document scored by two co-trained views."""
     docs = table(spark, d, "documents", "doc_id", "text", "lang", "source")
-    return quality.score(docs, quality.train(docs, table(spark, d, "labels", "doc_id", "quality", "toxic")))
+    views = written(quality.viewed(docs), "views")
+    return quality.score(views, quality.train(views, table(spark, d, "labels", "doc_id", "quality", "toxic")))
 
 
 @query

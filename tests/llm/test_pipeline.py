@@ -43,5 +43,5 @@ def test_near_copies_by_runs_of_five_words(spark):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
