@@ -33,6 +33,8 @@ FEW = 16
 BLOCK_SHINGLES = 2_000_000
 #: Documents that one task compares with a class, and ids that a broadcast may hold.
 MEMBERS, BROADCAST_ROWS = 500, 1_000_000
+#: Nodes from here on are texts that share their doc_id with another one.
+OWN = 1 << 62
 
 
 def shingles(text: str | None, known: WordHashes, size: int = SIZE) -> np.ndarray:
@@ -224,16 +226,54 @@ def in_blocks(docs: DataFrame, members: DataFrame, places: DataFrame, size: int
     return sent.groupBy("list", "i", "j").applyInPandas(search, "a bigint, b bigint")
 
 
+def _twins(every: DataFrame, nulls: bool) -> tuple[DataFrame, int]:
+    """(doc_id, place, node) of texts whose doc_id does not name them alone, with a number of their own, and how many.
+
+    Of an id with several texts the one of the least hash keeps the id; with ``nulls`` texts without an id count too.
+    """
+    several = every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most")
+    twins = every.join(several, "doc_id").where("place <> least").select("doc_id", "place").distinct()
+    if nulls:
+        twins = twins.unionByName(every.where("doc_id IS NULL").select("doc_id", "place").distinct())
+    own = F.xxhash64("doc_id", "place").bitwiseAND(F.lit(OWN - 1)).bitwiseOR(F.lit(OWN))
+    twins = written(twins.withColumn("node", own), "twins")
+    return twins, twins.count()
+
+
+def _as_nodes(rows: DataFrame, twins: DataFrame, n: int) -> DataFrame:
+    """Rows (doc_id, place, ...) with ``id``, the doc_id they had, and the node's number as doc_id."""
+    rows = rows.withColumn("id", F.col("doc_id"))
+    if not n:
+        return rows
+    to = twins.select(F.col("doc_id").alias("_id"), F.col("place").alias("_place"), "node")
+    met = rows.join(F.broadcast(to) if n <= BROADCAST_ROWS else to, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("place") == F.col("_place")), "left")
+    return met.withColumn("doc_id", F.coalesce("node", "doc_id")).drop("_id", "_place", "node")
+
+
 def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id.
 
     A document's set is that of its runs of ``size`` words, or of all its words if they are fewer; documents link when
     100 * intersection >= ``percent`` * union, and component_id is the smallest doc_id that links lead to, their own
-    included.  Null, empty and blank texts have no shingles and link with nothing; rows of equal doc_id are one node for
-    others (the one of the smallest text hash stands for them) and each is returned; a null doc_id takes no part and has
-    a null component; other columns are ignored.
+    included.  Null, empty and blank texts have no shingles and link with nothing; rows of equal doc_id and text are one
+    node, different texts of one doc_id (below 2^62) are different nodes, and each row is returned; a null doc_id takes
+    no part and has a null component; other columns are ignored.
     """
+    found, n = _linked(docs, size, percent, False)
+    component = F.col("component")
+    if n:  # a component's smallest doc_id may be that of a text with a number of its own
+        low = found.where(F.col("node") >= OWN).groupBy("component").agg(F.min("id").alias("low"))
+        found = found.join(F.broadcast(low) if n <= BROADCAST_ROWS else low, "component", "left")
+        component = F.least("low", F.when(component < OWN, component))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def _linked(docs: DataFrame, size: int, percent: int, nulls: bool) -> tuple[DataFrame, int]:
+    """(id, place, n, node, component) of every row, both numbers of nodes, and how many nodes have a number of their own."""
     every = written(sets(docs, size, percent), "sets")
+    twins, n_twins = _twins(every, nulls)
+    every = _as_nodes(every, twins, n_twins)
+    docs = _as_nodes(docs.select("doc_id", "text", F.xxhash64("text").alias("place")), twins, n_twins).select("doc_id", "text")
     able = every.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = able.groupBy("set").agg(F.min(F.struct("doc_id", "place")).alias("rep"))
     reps = written(able.join(classes, (able["set"] == classes["set"]) & (able["doc_id"] == F.col("rep.doc_id")) & (able["place"] == F.col("rep.place")))
@@ -266,8 +306,9 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     whole = components(links.unionByName(more).unionByName(many))
     of_class = classes.join(whole.withColumnRenamed("node", "id"), F.col("rep.doc_id") == F.col("id"), "left").select(
         "set", F.coalesce("component", F.col("rep.doc_id")).alias("component"))
-    return every.select("doc_id", "n", "set").join(of_class, "set", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")), "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component"))
+    return every.select("id", "place", "doc_id", "n", "set").join(of_class, "set", "left").select(
+        "id", "place", "n", F.col("doc_id").alias("node"), F.coalesce(component, "doc_id").alias("component")), n_twins
 
 
 def fitting(a: Column, b: Column, percent: int) -> Column:
@@ -276,7 +317,33 @@ def fitting(a: Column, b: Column, percent: int) -> Column:
 
 
 def first_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest doc_id; rows without an id stay."""
-    found = linked_components(docs, size, percent)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return joined(docs, gone, ["doc_id"], "left_anti")
+    """``docs`` with one row of each component: that of the smallest doc_id, of several texts of it the one of the least hash.
+
+    Rows without an id link as well and come last.  Of rows with the same doc_id and text one stays (any, where their
+    other columns differ).  Rows without words link with nothing and all stay.
+    """
+    found, n = _linked(docs, size, percent, True)
+    found = written(found, "found")
+    stays = F.col("component")
+    if n:
+        mixed_ = found.where(F.col("node") >= OWN).select("component").distinct()
+        chosen = found.join(mixed_, "component", "left_semi").groupBy("component").agg(
+            F.min_by("node", F.struct(F.col("id").isNull(), "id", "place")).alias("chosen"))
+        found = found.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "component", "left")
+        stays = F.coalesce("chosen", "component")
+    able = found.where("n > 0")
+    gone = written(able.where(F.col("node") != stays).select("id", "place").distinct(), "gone")
+    again = written(able.where(F.col("node") == stays).groupBy("id", "place").count().where("count > 1").select("id", "place"), "again")
+    placed = docs.withColumn("_place", F.xxhash64("text"))
+    left = _matched(placed, gone, "left_anti")
+    if again.isEmpty():
+        return left.drop("_place")
+    once = _matched(left, again, "left_semi").dropDuplicates(["doc_id", "_place"])
+    return _matched(left, again, "left_anti").unionByName(once).drop("_place")
+
+
+def _matched(rows: DataFrame, texts: DataFrame, how: str) -> DataFrame:
+    """Rows (doc_id, _place, ...) that ``texts`` (id, place) name, or not; broadcast within bounds."""
+    texts = texts.select(F.col("id").alias("_id"), F.col("place").alias("_at"))
+    few = texts.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(texts) if few else texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_place") == F.col("_at")), how)

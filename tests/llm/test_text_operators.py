@@ -94,6 +94,16 @@ def test_ngram_odd_tables(spark):
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == [(2, 2), (4, 2), (4, 2), (None, None)]
 
 
+def test_one_row_of_each_component_and_no_text_lost(spark):
+    one, two, three = ("eins zwei drei vier fünf sechs", "uno dos tres cuatro cinco seis", "un deux trois quatre cinq six")
+    rows = [(1, one), (5, two), (5, one), (9, two), (7, three), (7, three), (None, three), (None, "a b c d"), (None, "a b c d"), (8, None), (8, None), (None, " ")]
+    left = ngram_join.first_of_each(frame(spark, rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left) == sorted(
+        [(False, 1, one), (False, 5, two), (False, 7, three), (True, 0, "a b c d"), (False, 8, ""), (False, 8, ""), (True, 0, " ")])
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.linked_components(frame(spark, [(1, one), (1, two), (5, two), (3, three), (5, three)])).collect())
+    assert got == [(1, 1), (1, 1), (3, 3), (5, 1), (5, 3)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(9)] + [(200, 201 + i) for i in range(8)]
