@@ -1001,7 +1001,7 @@ def stream_alarms(spark, d):
 
 
 #: Numbers three batches of events without regard to their time.
-_SHUFFLED = F.expr("pmod(coalesce(event_id, 0) * 7, 3)")
+_SHUFFLED = "pmod(coalesce(event_id, 0) * 7, 3)"
 
 
 @query
@@ -1051,7 +1051,7 @@ def stream_arrivals(spark, d):
 def stream_deduplicated(spark, d):
     """Events as notifications that arrive in three batches; a document's are spread over them, out of order."""
     e = read_table(spark, d, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").alias("document_id"), "ts")
-    out = _drained(flows.dedup_arrivals(_in_batches(e, _SHUFFLED), "3650 days"))
+    out = _drained(flows.dedup_arrivals(_in_batches(e, F.expr(_SHUFFLED)), "3650 days"))
     return out.select("user_id", "document_id")
 
 
@@ -1069,6 +1069,6 @@ def stream_stuck(spark, d):
 def stream_last_status(spark, d):
     """Every attribute of every document's row, from events that arrive out of order in three batches."""
     at = _folder(spark)
-    events = roles.as_status_events(_in_batches(read_table(spark, d, "events"), _SHUFFLED))
+    events = roles.as_status_events(_in_batches(read_table(spark, d, "events"), F.expr(_SHUFFLED)))
     flows.status_to_table(events, f"{at}/table", f"{at}/checkpoint").awaitTermination()
     return st.stored_status(spark, f"{at}/table").drop("last_ts")
