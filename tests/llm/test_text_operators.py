@@ -4,7 +4,9 @@ import collections
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,3 +363,36 @@ def test_classifier_without_labels(spark):
     model = quality.train(df, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert {(r.score, r.keep) for r in quality.score(df, model).collect()} == {(0.5, True)}
     assert quality.score(empty(spark), model).count() == 0
+
+
+def test_tiles_of_repetitive_texts():
+    """Few different tokens: many matches of equal length, tiles in the order the method asks for."""
+    rng = random.Random(8)
+    for _ in range(150):
+        kinds = rng.randint(1, 3)
+        a, b = ([f"r{rng.randrange(kinds)}" for _ in range(rng.randint(0, 40))] for _ in range(2))
+        k = rng.randint(1, 5)
+        names = {w: i + 1 for i, w in enumerate(sorted({*b}))}
+        x, y = (np.array([names.get(w, 0) for w in t], np.uint64) for t in (a, b))
+        tiles = tiling.tile(x, y, k)
+        assert sum(t[2] for t in tiles) == brute_tiles(a, b, k)
+        assert all(a[i:i + n] == b[j:j + n] for i, j, n in tiles)
+        assert len({p for i, _, n in tiles for p in range(i, i + n)}) == len({p for _, j, n in tiles for p in range(j, j + n)}) == sum(t[2] for t in tiles)
+
+
+def test_tiling_long_repetitive_text():
+    """A text of 4 MB that repeats one token, against an item of 200 of them, and one with the item between."""
+    index = tiling.Index([(1, "ab " * 200), (None, " ".join(f"n{i}" for i in range(12)))], tiling.MIN_MATCH)
+    begun = time.monotonic()
+    assert index.matches("ab " * 1_400_000, 0.5) == [(1, 200, 200, [(0, 0, 200)])]
+    mixed = index.matches("ab " * 700_000 + " ".join(f"n{i}" for i in range(12)) + " xx" * 700_000, 0.5)
+    assert mixed == [(None, 12, 12, [(700_000, 0, 12)]), (1, 200, 200, [(0, 0, 200)])]
+    assert time.monotonic() - begun < 60
+
+
+def test_tiling_item_without_id(spark):
+    items = spark.createDataFrame([(None, "uno dos tres cuatro cinco seis"), (4, "uno dos tres cuatro cinco siete")], "item_id bigint, text string")
+    found = tiling.contaminated(frame(spark, [(1, "a uno dos tres cuatro cinco seis b"), (2, "nada de eso")]), items)
+    got = tiling.pairs(found).select("doc_id", "item_id", "covered").collect()
+    assert [tuple(r) for r in got] == [(1, None, 6), (1, 4, 5)]
+    assert tiling.clean(frame(spark, [(1, "uno dos tres cuatro cinco seis"), (2, "nada")]), items.limit(1)).count() == 1
