@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -54,15 +56,39 @@ def normalized(text: str | None) -> str | None:
 
 
 @pandas_udf(T.StringType())
-def normalize_text(texts: pd.Series) -> pd.Series:
-    """Compatibility-decompose, drop accents and separators, lower-case (no JVM function does)."""
+def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(normalized)
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def normalize_all(words: pd.Series) -> pd.Series:
-    """``normalize_text`` for arrays of words."""
-    return words.map(lambda ws: None if ws is None else [normalized(w) for w in ws])
+#: Stands for characters that come apart into several; no text has it by right.
+_SEVERAL = "\uffff"
+
+
+@cache
+def _normal_characters() -> tuple[str, str]:
+    """Characters of the basic plane that normalising changes, and what of; those that vanish come last."""
+    one, several, gone = {}, [], []
+    for c in map(chr, chain(range(0xD800), range(0xE000, 0xFFFF))):
+        to = normalized(c)
+        if not to:
+            gone.append(c)
+        elif len(to) > 1:
+            several.append(c)
+        elif to != c:
+            one[c] = to
+    return "".join([*one, *several, *gone]), "".join(one.values()) + _SEVERAL * len(several)
+
+
+def normalize_text(text) -> Column:
+    """Compatibility-decompose, drop accents and separators, lower-case.
+
+    Characters that stay one or vanish are exchanged by a table made from the rule; only texts with others (ligatures,
+    fractions, Hangul, beyond the basic plane) go through Python, which sees null for the rest.
+    """
+    x = as_col(text)
+    plain = F.translate(x, *_normal_characters())
+    other = F.contains(plain, F.lit(_SEVERAL)) | x.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(other, _normalized(F.when(other, x))).otherwise(plain)
 
 
 def safe_name(x, limit: int = 64) -> Column:

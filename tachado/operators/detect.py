@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
 from tachado.functions import patterns
+from tachado.functions.arrays import bound, sums_before
 from tachado.functions.reuse import once_per_session
 from tachado.functions.spelling import automaton
 from tachado.functions.text import as_col, is_blank
@@ -79,18 +80,14 @@ def usable_rules(rules: DataFrame) -> DataFrame:
 
 def spans_of(text: Column, matches: Column, pattern: Column) -> Column:
     """Exact offsets of non-overlapping matches, from the pieces between them."""
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc, z):
-        begin = acc["at"] + F.length(z["p"])
-        end = begin + F.length(z["m"])
-        span = F.struct(begin.alias("start_offset"), end.alias("end_offset"), z["m"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(z: Column, before: Column) -> Column:
+        begin = before + z["gap"]
+        return F.struct(begin.alias("start_offset"), (begin + F.length(z["m"])).alias("end_offset"), z["m"].alias("text"))
 
     # The tail after the last match has no match of its own and is left out.
-    both = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda z: z["m"].isNotNull())
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    both = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("p"), matches.alias("m")), lambda z: z["m"].isNotNull())
+    gaps = F.transform(both, lambda z: F.struct(F.length(z["p"]).alias("gap"), z["m"].alias("m")))
+    return bound(gaps, lambda zs: F.zip_with(zs, sums_before(F.transform(zs, lambda z: z["gap"] + F.length(z["m"]))), span)).cast(_SPANS)
 
 
 def _as_candidates(spans: Column, entity_type: Column, base_offset: int = 0) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from tachado import constants as K
+from tachado.functions.arrays import bound, sums_before
 from tachado.functions.display import clamp01, lookup
 from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col, is_blank, quote, strip
@@ -157,11 +158,9 @@ def find_all(text, needle) -> Column:
     up to the positions.
     """
     t, n = as_col(text), as_col(needle)
-    pieces = F.split(t, F.concat(F.lit("(?="), quote(n), F.lit(")")), -1)
-    cuts = F.aggregate(
-        F.slice(pieces, F.lit(1), F.greatest(F.lit(0), F.size(pieces) - 1)),
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + F.length(p))))
+    sizes = F.transform(F.split(t, F.concat(F.lit("(?="), quote(n), F.lit(")")), -1), F.length)
+    # Before the first piece is no cut; before each later one there is.
+    cuts = bound(sums_before(sizes), lambda at: F.slice(at, F.lit(2), F.size(at)))
     none = F.array().cast("array<int>")
     at_start = F.when(F.startswith(t, n), F.array(F.lit(0))).otherwise(none)
     return F.when((n != "") & F.contains(t, n), F.concat(at_start, cuts)).otherwise(none)

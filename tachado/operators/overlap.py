@@ -16,6 +16,7 @@ from tachado import constants as K
 from tachado.functions.reuse import once_per_session
 from tachado.functions.text import as_col
 from tachado.schemas import CANDIDATE, CANDIDATE_FIELDS, CANDIDATES
+from tachado.session import stored
 
 
 def overlap_ratio(start_a, end_a, start_b, end_b) -> Column:
@@ -162,8 +163,11 @@ def candidate_order(entities: DataFrame, order_by, keys=("doc_id", "page")) -> D
 
 
 def in_reading_order(entities: DataFrame) -> DataFrame:
-    """Global order by document, page and start, for a sink."""
-    return entities.orderBy("doc_id", "page", "start_offset", "ord")
+    """Global order by document, page and start, for a sink.
+
+    A sort by range reads its input twice, first for the ranges, so the entities are stored before.
+    """
+    return stored(entities).orderBy("doc_id", "page", "start_offset", "ord")
 
 
 def overlap_pairs(entities: DataFrame, keys=("doc_id", "page")) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado import constants as K
+from tachado.functions.arrays import bound, sums_before
 from tachado.functions.display import severity_label
 from tachado.functions.text import as_col
 from tachado.operators.detect import page_candidates
@@ -20,11 +21,8 @@ def label_spans(entities, labels: dict | None = None) -> Column:
     """Where the labels of settled entities lie in the masked text, as an array of (s, e)."""
     each = F.transform(as_col(entities), lambda e: F.struct(
         e["start_offset"].alias("at"), F.length(label(e["type"], e["source"], labels)).alias("n"), (e["end_offset"] - e["start_offset"]).alias("was")))
-    start = F.struct(F.lit(0).alias("moved"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
-    return F.aggregate(each, start, lambda acc, x: F.struct(
-        (acc["moved"] + x["n"] - x["was"]).alias("moved"),
-        F.concat(acc["out"], F.array(F.struct((x["at"] + acc["moved"]).alias("s"), (x["at"] + acc["moved"] + x["n"]).alias("e")))).alias("out")),
-        lambda acc: acc["out"])
+    return bound(each, lambda xs: F.zip_with(xs, sums_before(F.transform(xs, lambda x: x["n"] - x["was"])), lambda x, moved: F.struct(
+        (x["at"] + moved).alias("s"), (x["at"] + moved + x["n"]).alias("e"))))
 
 
 def residual_scan(masked_pages: DataFrame, rules: Iterable | None = None, labels: dict | None = None) -> DataFrame:

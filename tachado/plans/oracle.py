@@ -174,7 +174,7 @@ sql("engine_branches", [CONFIG], """SELECT user_id, branch, count(*) AS pages FR
   SELECT source AS user_id, unnest(CASE coalesce(method, 'both') WHEN 'ai' THEN ['ai'] WHEN 'regex' THEN ['regex'] ELSE ['ai', 'regex'] END) AS branch
   FROM documents LEFT JOIN cfg ON user_id = source) GROUP BY 1, 2""")
 sql("usable_rules", [], """SELECT doc_id AS rule_idx, upper(lang) AS type, regexp_replace(word, '[^A-Za-z]', '.', 'g') AS pattern FROM (
-  SELECT *, string_split(string_split(text, chr(10))[1], ' ')[1] AS word FROM documents)
+  SELECT *, unnest(list_distinct(string_split(text, ' '))) AS word FROM documents)
   WHERE n_chars % 11 <> 0 AND n_chars % 7 > 2 AND n_chars % 5 <> 0 AND word <> ''""")
 sql("offset_check", [DOC_PAGES, found_ctes(False)], """SELECT doc_id, start_offset, ent, reported,
   contains(substring(text, greatest(0, reported - 5) + 1, greatest(0, least(len(text), reported + len(ent) + 5) - greatest(0, reported - 5))), ent) AS "close"
@@ -331,13 +331,14 @@ LAID = """lw AS (SELECT doc_id, page, unnest(range(0, len(w))) AS word_ord, unne
 laid AS (SELECT *, (word_ord % 8) * 60.0 AS x0, (word_ord // 8) * 12.0 AS y0, (word_ord % 8) * 60.0 + least(len(text), 9) * 6.0 AS x1, (word_ord // 8) * 12.0 + 10 AS y1, word_ord // 8 AS line FROM lw)"""
 sql("font_sizes", ["pg AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, text FROM conversations)", LAID],
     """SELECT b.doc_id, b.page, CAST(b.word_ord AS INTEGER) AS word_ord, CAST(s.n + 6 AS DOUBLE) AS font_size FROM laid b
-  JOIN (SELECT doc_id, page, line, count(*) AS n FROM laid GROUP BY 1, 2, 3) s USING (doc_id, page, line) WHERE len(b.text) > 9""")
+  JOIN (SELECT doc_id, page, line, count(*) AS n FROM laid GROUP BY 1, 2, 3) s USING (doc_id, page, line)""")
 # Two neighbouring words of each page as a model would spell them, and where their letters run in the page's words.
 _NORMAL = "regexp_replace(lower(strip_accents({0})), '[' || chr(9) || chr(10) || chr(13) || ' \\-–—.,;:()\\[\\]{{}}/\\\\|+*°#''\"]', '', 'g')"
 sql("normalized_words", [], f"""SELECT text, {_NORMAL.format('text')} AS normal FROM (
   SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS text FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)) WHERE text <> ''""")
-SPOKEN = f"""tok AS (SELECT doc_id, page, w, len(w) AS n FROM (SELECT doc_id, page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM pg) WHERE len(w) > 4),
-spoken AS (SELECT doc_id, page, 0 AS ord, lower(w[n - 2]) || ' - ' || lower(w[n - 1]) AS text FROM tok UNION ALL SELECT doc_id, page, 1, w[1] FROM tok),
+SPOKEN = f"""tok AS (SELECT doc_id, page, w, len(w) AS n FROM (SELECT doc_id, page, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM pg)),
+spoken AS (SELECT doc_id, page, 0 AS ord, lower(w[n - 2]) || ' - ' || lower(w[n - 1]) AS text FROM tok WHERE n > 2
+  UNION ALL SELECT doc_id, page, 1, w[1] FROM tok WHERE n > 0 UNION ALL SELECT doc_id, page, ord + 2, text FROM found),
 targets AS (SELECT doc_id, page, ord, {_NORMAL.format('text')} AS t FROM spoken)"""
 RUNS = f"""nw AS (SELECT *, {_NORMAL.format('text')} AS norm FROM laid),
 full_words AS (SELECT *, sum(len(norm)) OVER (PARTITION BY doc_id, page ORDER BY word_ord) - len(norm) AS s FROM nw WHERE norm <> ''),
@@ -353,7 +354,7 @@ runs AS (SELECT doc_id, page, ord, CAST(k - 1 AS INTEGER) AS occurrence, CAST(ke
 boxed AS (SELECT doc_id, page, ord, occurrence, CAST(row_number() OVER (PARTITION BY doc_id, page, ord, occurrence ORDER BY line) - 1 AS INTEGER) AS box, x0, y0, x1, y1 FROM (
   SELECT r.doc_id, r.page, ord, occurrence, line, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1
   FROM runs r JOIN laid l ON l.doc_id = r.doc_id AND l.page = r.page AND l.word_ord BETWEEN first_word AND last_word GROUP BY 1, 2, 3, 4, 5))"""
-_RUN_CTES = [SPLIT_PAGES, LAID, SPOKEN, RUNS]
+_RUN_CTES = [SPLIT_PAGES, found_ctes(False), LAID, SPOKEN, RUNS]
 sql("locate_tolerant", _RUN_CTES, "SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, occurrence, first_word, last_word FROM runs")
 # Every literal occurrence in any case of each text in turn, then the runs of words that spell it; a place that is taken stays taken.
 _TARGETS = f"targets AS (SELECT doc_id, page, ord, {_NORMAL.format('text')} AS t FROM ent)"
@@ -376,14 +377,17 @@ taking AS (
 occ AS (SELECT doc_id, page, e.t AS type, CAST(e.s AS INTEGER) AS start_offset, CAST(e.e AS INTEGER) AS end_offset, e.o AS source FROM (SELECT doc_id, page, unnest(kept) AS e FROM taking WHERE i = len(c) + 1))"""
 sql("mask_occurrences", [DOC_PAGES, found_ctes(False), settled_ctes("found"), "ent AS (SELECT doc_id, page, ord, type, text, source FROM settled)", LAID, _TARGETS, RUNS, _OCCURRENCES, masked_ctes("occ")],
     "SELECT doc_id, CAST(n_entities AS BIGINT) AS occurrences_masked, masked_text FROM masked")
-sql("mask_spelled", [SPLIT_PAGES, LAID, SPOKEN.partition("targets AS")[0] + "ent AS (SELECT *, 'NOMBRE' AS type, 'bedrock' AS source FROM spoken)", _TARGETS, RUNS, _OCCURRENCES, masked_ctes("occ")],
+sql("mask_spelled", [SPLIT_PAGES, found_ctes(False), LAID, SPOKEN.partition("targets AS")[0] + "ent AS (SELECT *, 'NOMBRE' AS type, 'bedrock' AS source FROM spoken)", _TARGETS, RUNS, _OCCURRENCES, masked_ctes("occ")],
     "SELECT doc_id, page, CAST(n_entities AS BIGINT) AS occurrences_masked, masked_text FROM masked")
 sql("boxes_per_line", _RUN_CTES, "SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, occurrence, box, x0, y0, x1, y1 FROM boxed")
-# The boxes of one text never meet, and its second text is a single word: it goes if the first covers half of it.
-sql("dedup_boxes", _RUN_CTES, """SELECT doc_id, page, count(*) AS boxes, sum(x0) AS x0, sum(y1) AS y1 FROM boxed b WHERE ord = 0 OR NOT EXISTS (
-  SELECT 1 FROM boxed k WHERE k.doc_id = b.doc_id AND k.page = b.page AND k.ord = 0
-    AND greatest(0, least(b.x1, k.x1) - greatest(b.x0, k.x0)) * greatest(0, least(b.y1, k.y1) - greatest(b.y0, k.y0))
-      >= 0.5 * least((b.x1 - b.x0) * (b.y1 - b.y0), (k.x1 - k.x0) * (k.y1 - k.y0))) GROUP BY 1, 2""")
+# In turn, a box goes if one that stayed shares half of the smaller of both.
+KEEPING = """lined AS (SELECT doc_id, page, list({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1} ORDER BY ord, occurrence, box) AS c FROM boxed GROUP BY 1, 2),
+keeping AS (SELECT doc_id, page, c, CAST(1 AS BIGINT) AS i, c[:0] AS kept FROM lined
+  UNION ALL SELECT doc_id, page, c, i + 1, CASE WHEN len(list_filter(kept, lambda k:
+    greatest(0, least(c[i].x1, k.x1) - greatest(c[i].x0, k.x0)) * greatest(0, least(c[i].y1, k.y1) - greatest(c[i].y0, k.y0))
+      >= 0.5 * least((c[i].x1 - c[i].x0) * (c[i].y1 - c[i].y0), (k.x1 - k.x0) * (k.y1 - k.y0)))) = 0 THEN list_append(kept, c[i]) ELSE kept END FROM keeping WHERE i <= len(c))"""
+sql("dedup_boxes", [*_RUN_CTES, KEEPING], """SELECT doc_id, page, count(*) AS boxes, sum(k.x0) AS x0, sum(k.y1) AS y1 FROM (
+  SELECT doc_id, page, unnest(kept) AS k FROM keeping WHERE i = len(c) + 1) GROUP BY 1, 2""")
 STRAYS = """strays AS (SELECT doc_id, CAST(page + start_offset % 2 AS INTEGER) AS page, ord, start_offset, CASE WHEN start_offset % 7 = 0 THEN text || '@@' ELSE text END AS text FROM found)"""
 # Brute force: every page of the document against every text, as it is and by its letters from a word's start.
 ANYWHERE = f"""need AS (SELECT DISTINCT doc_id, text, {_NORMAL.format('text')} AS t FROM strays),

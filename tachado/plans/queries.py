@@ -12,6 +12,7 @@ from tachado import constants as K
 from tachado.functions import display, identity, text as T
 from tachado.operators import aggregate, config, detect, geometry, intake, locate as loc, mask, model, observe, ocr, overlap, residual
 from tachado.operators import status as st
+from tachado.operators.running import total_before
 from tachado.plans import corpus, roles
 from tachado.schemas import BOX
 from tachado.session import checkpoint_dir, stored
@@ -86,9 +87,9 @@ def engine_branches(spark, d):
 
 @query
 def usable_rules(spark, d):
-    """Rules taken from the texts themselves: each document's first word, as a pattern."""
-    docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars")
-    word = F.substring_index(F.substring_index("text", "\n", 1), " ", 1)
+    """Rules taken from the texts themselves: every distinct word of each document, as a pattern."""
+    docs = read_table(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars", spread=True)
+    docs, word = docs.withColumn("word", F.explode(F.array_distinct(F.split("text", " ", -1)))), F.col("word")
     rules = docs.select(
         F.col("doc_id").alias("rule_idx"), F.when(F.col("n_chars") % 11 == 0, "").otherwise(F.upper("lang")).alias("type"),
         F.when(F.col("n_chars") % 7 == 0, F.concat(F.lit("(["), word)).when(F.col("n_chars") % 7 == 1, "").when(
@@ -456,25 +457,26 @@ def ocr_words(spark, d):
 
 @query
 def page_lookup(spark, d):
-    c = read_table(spark, d, "conversations", "conv_id", "turn")
+    c = read_table(spark, d, "conversations", "conv_id", "turn").select(F.col("conv_id").alias("doc_id"), "turn")
     # Page numbers run one ahead on every other conversation, so number and place disagree.
-    one = F.struct((F.col("turn") + F.col("conv_id") % 2 + 1).cast("int").alias("pageNumber"), F.col("turn").alias("t"))
-    docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("pages"))
-    wanted = c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"))
-    return ocr.page_lookup(wanted, docs)
+    pages = total_before(c, ["doc_id"], "turn", F.lit(1), "pos").select(
+        "doc_id", F.col("pos").cast("int").alias("pos"), (F.col("turn") + F.col("doc_id") % 2 + 1).cast("int").alias("pageNumber"))
+    return ocr.page_lookup(c.select("doc_id", (F.col("turn") + 1).cast("int").alias("page")), pages)
 
 
 # ---------------------------------------------------------------- location and geometry
 
 def _spoken(spark, d):
-    """Entities as a model would spell them: two neighbouring words of each page, in small letters and dashed."""
+    """Entities as a model would spell them: two neighbouring words of each page, in small letters and dashed, its first
+    word, and all that the default rules find on it."""
     pages = roles.split_pages(spark, d)
     tokens = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
     pick = F.size("t") - 3
-    pages = pages.withColumn("t", tokens).filter(F.size("t") > 4)
-    spelled = F.array(F.concat(F.lower(F.get("t", pick)), F.lit(" - "), F.lower(F.get("t", pick + 1))), F.get("t", F.lit(0)))
-    rows = pages.select("doc_id", "page", F.posexplode(spelled).alias("ord", "text"))
-    return rows.select("doc_id", "page", "ord", "text", F.lit("NOMBRE").alias("type"), F.lit(0).alias("start_offset"),
+    both = pages.withColumn("t", tokens)
+    spelled = F.array(F.when(pick >= 0, F.concat(F.lower(F.get("t", pick)), F.lit(" - "), F.lower(F.get("t", pick + 1)))), F.get("t", F.lit(0)))
+    rows = both.select("doc_id", "page", F.posexplode(spelled).alias("ord", "text")).filter("text IS NOT NULL")
+    found = detect.detect_rules(pages).select("doc_id", "page", (F.col("ord") + 2).alias("ord"), "text")
+    return rows.unionByName(found).select("doc_id", "page", "ord", "text", F.lit("NOMBRE").alias("type"), F.lit(0).alias("start_offset"),
                        F.lit(0).alias("end_offset"), F.lit("bedrock").alias("source"), F.lit(0.85).alias("confidence"))
 
 
@@ -509,7 +511,7 @@ def font_sizes(spark, d):
     spans = words.groupBy("doc_id", "page", F.col("line").alias("span_ord")).agg(
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
         (F.count(F.lit(1)) + 6).cast("double").alias("size"))
-    boxes = words.filter("length(text) > 9").select("doc_id", "page", "word_ord", "x0", (F.col("y0") + 5.0).alias("y0"), "x1", (F.col("y1") + 4.0).alias("y1"))
+    boxes = words.select("doc_id", "page", "word_ord", "x0", (F.col("y0") + 5.0).alias("y0"), "x1", (F.col("y1") + 4.0).alias("y1"))
     return geometry.font_size(boxes, spans).select("doc_id", "page", "word_ord", "font_size")
 
 

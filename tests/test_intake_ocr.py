@@ -86,7 +86,7 @@ def test_unnumbered_pages(spark, tmp_path):
         assert sorted(r.page for r in got.collect()) == expected
     wanted = spark.createDataFrame([("d", 1), ("d", 2), ("d", 7), ("d", 9)], "doc_id string, page int")
     stored = spark.read.schema("documentId string, pages array<struct<pageNumber:int>>").option("multiLine", True).json(str(tmp_path)).withColumnRenamed("documentId", "doc_id")
-    assert {r.page: r.pos for r in ocr.page_lookup(wanted, stored).collect()} == {1: 0, 2: 1, 7: 1}
+    assert {r.page: r.pos for r in ocr.page_lookup(wanted, ocr.page_rows(stored)).collect()} == {1: 0, 2: 1, 7: 1}
 
 
 def test_entity_files(spark, tmp_path):
