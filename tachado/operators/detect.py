@@ -64,16 +64,30 @@ def _study(pattern: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["usable", "jvm", "required"])
 
 
+#: ASCII letters, digits and dots, at least one: compiles, matches no empty text, and reads the same in both dialects but for the dot.
+_PLAIN = r"\A[A-Za-z0-9.]+\z"
+
+
+def _plain_study(pattern: Column) -> Column:
+    """What ``_study`` says of a pattern that is ``_PLAIN``, without leaving the row."""
+    ahead = F.regexp_replace(F.regexp_extract(pattern, r"\A[A-Za-z0-9]", 0), "(.)", "(?=[$1])")
+    return F.struct(F.concat(ahead, F.replace(pattern, F.lit("."), F.lit(r"[^\n]"))).alias("jvm"),
+                    F.filter(F.split(pattern, r"\."), lambda x: x != "").alias("required"))
+
+
 def usable_rules(rules: DataFrame) -> DataFrame:
     """Rule rows that can run, with their JVM form (null where only ``re`` can run them).
 
-    Each distinct pattern is studied once.
+    Plain words are stated in the row; of other patterns each distinct one is studied once.
     """
     listed = rules.filter(F.coalesce("enabled", F.lit(True)) & (F.coalesce("type", F.lit("")) != "")
                           & (F.coalesce("pattern", F.lit("")) != ""))
-    studied = listed.select("pattern").distinct().withColumn("s", _study("pattern"))
-    return (listed.join(studied.filter("s.usable"), "pattern")
-            .select(*[c for c in rules.columns], F.col("s.jvm").alias("jvm"), F.col("s.required").alias("required")))
+    plain = F.col("pattern").rlike(_PLAIN)
+    stated, other = listed.filter(plain).withColumn("s", _plain_study(F.col("pattern"))), listed.filter(~plain)
+    # Called non-deterministic, lest the filter on its result moves below the distinct and every row is studied.
+    studied = other.select("pattern").distinct().withColumn("s", _study.asNondeterministic()("pattern"))
+    columns = [*rules.columns, F.col("s.jvm").alias("jvm"), F.col("s.required").alias("required")]
+    return stated.select(*columns).unionByName(other.join(studied.filter("s.usable"), "pattern").select(*columns))
 
 
 # ---------------------------------------------------------------- matching
