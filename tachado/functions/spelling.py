@@ -165,3 +165,28 @@ def placed(text: str, targets: list[str | None], gaps: list) -> list[tuple[int,
 def page_places(texts: pd.Series, targets: pd.Series, gaps: pd.Series) -> pd.Series:
     """``placed`` of each page; nothing on pages without text or targets."""
     return pd.Series([[] if x is None or t is None or not len(t) else placed(x, list(t), list(g)) for x, t, g in zip(texts, targets, gaps)], dtype=object)
+
+
+def stretches(targets: list[str | None], gaps: list) -> list[tuple[int, int, int, int]]:
+    """(target, start, end, 0) of what the literal occurrences given by ``gaps`` cover: those that overlap are one
+    stretch, of the target that begins it (the longest of them)."""
+    spans = []
+    for i, between in enumerate(gaps):
+        at, size = 0, len(targets[i] or "")
+        for gap in _listed(between):
+            start = at + int(gap)
+            at = start + size
+            spans.append((start, -at, i))
+    out: list[list[int]] = []
+    for start, end, i in sorted(spans):
+        if out and start < out[-1][2]:
+            out[-1][2] = max(out[-1][2], -end)
+        else:
+            out.append([i, start, -end, 0])
+    return [(*s,) for s in out]
+
+
+@pandas_udf(_struct("target", "start", "end", "loose"))
+def page_stretches(targets: pd.Series, gaps: pd.Series) -> pd.Series:
+    """``stretches`` of each page; nothing on pages without targets."""
+    return pd.Series([[] if t is None or g is None else stretches(list(t), list(g)) for t, g in zip(targets, gaps)], dtype=object)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tachado.functions.spelling import on_page, page_places, page_runs
+from tachado.functions.spelling import on_page, page_places, page_runs, page_stretches
 from tachado.functions.text import quote
 from tachado.operators.mask import mask_array
 from tachado.operators.overlap import candidate_array
@@ -109,10 +109,11 @@ def relocate(entities: DataFrame, pages: DataFrame) -> DataFrame:
         "page", F.coalesce("found_page", "page")).select(*entities.columns)
 
 
-def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
+def mask_occurrences(pages: DataFrame, entities: DataFrame, as_written: bool = False) -> DataFrame:
     """Every occurrence of each entity's text on its page masked, with the count.
 
-    Literal occurrences in any case, and wherever the words of the page spell it.
+    Literal occurrences in any case, and wherever the words of the page spell it; a place that is taken stays taken.
+    ``as_written``: the text exactly as it stands, and occurrences that overlap are masked as one place.
     ``occurrences_masked`` counts places, not entities.  Entities that may be on
     another page go through ``relocate`` first.
     """
@@ -122,14 +123,15 @@ def mask_occurrences(pages: DataFrame, entities: DataFrame) -> DataFrame:
     t = F.col("text")
 
     def gaps(e):
-        """Lengths of the text before, between, but not after the occurrences of an entity's text in any case."""
-        pieces = F.split(t, F.concat(F.lit("(?iu)"), quote(e["text"])), -1)
+        """Lengths of the text before, between, but not after the occurrences of an entity's text."""
+        case = (lambda x: x) if as_written else F.lower
+        pieces = F.split(t, quote(e["text"]) if as_written else F.concat(F.lit("(?iu)"), quote(e["text"])), -1)
         between = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
-        return F.when((F.coalesce(e["text"], F.lit("")) != "") & F.contains(F.lower(t), F.lower(e["text"])), between)
+        return F.when((F.coalesce(e["text"], F.lit("")) != "") & F.contains(case(t), case(e["text"])), between)
 
     some = F.size("_e") > 0
-    mine = mine.withColumn("_at", page_places(
-        F.when(some, t), F.transform("_e", lambda e: e["text"]), F.when(some, F.transform("_e", gaps))))
+    targets, between = F.transform("_e", lambda e: e["text"]), F.when(some, F.transform("_e", gaps))
+    mine = mine.withColumn("_at", page_stretches(targets, between) if as_written else page_places(F.when(some, t), targets, between))
 
     def candidate(p, i):
         e = F.get("_e", p["target"])
