@@ -7,12 +7,14 @@ the task that read it.  The row form explodes that column.
 
 from __future__ import annotations
 
+import json
 import re
 from typing import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from tachado import constants as K
 from tachado.functions import patterns
@@ -25,6 +27,8 @@ from tachado.schemas import CANDIDATE, CANDIDATES
 
 _SPANS = T.ArrayType(T.StructType([
     T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType()), T.StructField("text", T.StringType())]))
+_SPAN = ("start_offset", "end_offset", "text")
+_ARROW_SPANS = pa.list_(pa.list_(pa.struct([("start_offset", pa.int32()), ("end_offset", pa.int32()), ("text", pa.string())])))
 _STUDIED = T.StructType([T.StructField("usable", T.BooleanType()), T.StructField("jvm", T.StringType()),
                          T.StructField("required", T.ArrayType(T.StringType()))])
 
@@ -218,23 +222,26 @@ class _RuleSet:
                 for rx, runs in zip(self.compiled, self.admitted(text))]
 
 
-@pandas_udf(T.ArrayType(_SPANS))
-def _user_spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The matches of each page's rules, rule by rule; none where the page or its rules are null."""
-    known: dict[tuple, _RuleSet] = {}
+@arrow_udf(T.ArrayType(_SPANS))
+def _user_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The matches of each page's rules, rule by rule; none where the page or its rules are null.
+
+    Texts become Python's one at a time, and a user's rules are one text, so that a batch costs little beyond its own bytes.
+    """
+    known: dict[str, _RuleSet] = {}
 
     def one(text, rules):
-        if text is None or rules is None or not len(rules):
+        if text is None or rules is None:
             return None
-        key = tuple(r["pattern"] for r in rules)
-        if key not in known:
+        if rules not in known:
             if len(known) >= RULE_SETS:
                 known.clear()
-            known[key] = _RuleSet(list(key), [[] if r["required"] is None else list(r["required"]) for r in rules])
-        return known[key].spans(text)
+            listed = json.loads(rules)
+            known[rules] = _RuleSet([r["pattern"] for r in listed], [r.get("required") or [] for r in listed])
+        return [[dict(zip(_SPAN, span)) for span in spans] for spans in known[rules].spans(text)]
 
     for texts, rules in batches:
-        yield pd.Series([one(t, r) for t, r in zip(texts, rules)], dtype=object)
+        yield pa.array([one(t.as_py(), r.as_py()) for t, r in zip(texts, rules)], _ARROW_SPANS)
 
 
 #: Users whose compiled rules a task keeps.
@@ -252,10 +259,12 @@ def user_candidates(pages: DataFrame, rules: DataFrame) -> DataFrame:
     ready = usable_rules(rules)
     per_user = ready.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(
         "rule_idx", "type", "pattern", "required"))).alias("_rules"))
+    # What Python needs of a user's rules, as one text that is made once a user.
+    per_user = per_user.withColumn("_stated", F.to_json(F.transform("_rules", lambda r: F.struct(r["pattern"].alias("pattern"), r["required"].alias("required")))))
     text = F.col("text")
     possible = F.exists("_rules", lambda r: F.forall(r["required"], lambda x: F.contains(text, x)))
     matched = pages.join(per_user, "user_id", "left").withColumn("_spans", _user_spans(
-        F.when(possible, text), F.transform("_rules", lambda r: F.struct(r["pattern"].alias("pattern"), r["required"].alias("required")))))
+        F.when(possible, text), F.col("_stated")))
     found = numbered(F.flatten(F.transform(F.arrays_zip(F.col("_rules").alias("r"), F.col("_spans").alias("s")),
                                            lambda z: _as_candidates(z["s"], z["r"]["type"]))))
     return matched.select(*pages.columns, F.when(F.col("_spans").isNotNull(), found).otherwise(
