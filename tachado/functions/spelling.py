@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -48,27 +49,31 @@ def automaton(texts: Iterable[str]) -> ahocorasick.Automaton | None:
     return made
 
 
+#: Between words that are normalised at once; nothing else becomes it.
+_BETWEEN = "\0"
+
+
 class LaidWords:
-    """Normalised words end to end, with where each begins and which word it is."""
+    """Normalised words end to end, with where each begins; one of which nothing is left begins where the next does."""
 
     def __init__(self, words: Iterable[str | None]):
-        self.starts, self.places, parts, at = [], [], [], 0
-        for place, word in enumerate(words):
-            part = _NORMALS[word] if word else ""
-            if part:
-                self.starts.append(at)
-                self.places.append(place)
-                parts.append(part)
-                at += len(part)
+        listed = [w or "" for w in words]
+        parts = normalized(_BETWEEN.join(listed)).split(_BETWEEN)
+        if len(parts) != len(listed):
+            parts = [normalized(w) for w in listed]
+        self.starts = list(accumulate(map(len, parts), initial=0))[:-1]
         self.text = "".join(parts)
-        self.begins = set(self.starts)
+
+    def begins(self, at: int) -> bool:
+        place = bisect_left(self.starts, at)
+        return place < len(self.starts) and self.starts[place] == at
 
     def spelled(self, finder: ahocorasick.Automaton | None) -> dict[str, list[tuple[int, int]]]:
         """Per text its occurrences from left to right, none of which overlap, as (start, end) in the laid words."""
         found: dict[str, list[tuple[int, int]]] = {}
         for last, text in finder.iter(self.text) if finder is not None else ():
             start = last + 1 - len(text)
-            if start in self.begins:
+            if self.begins(start):
                 mine = found.setdefault(text, [])
                 if not mine or start >= mine[-1][1]:
                     mine.append((start, last + 1))
@@ -76,7 +81,7 @@ class LaidWords:
 
     def words_of(self, start: int, end: int) -> tuple[int, int]:
         """The places of the first and the last word of an occurrence."""
-        return self.places[bisect_left(self.starts, start)], self.places[bisect_right(self.starts, end - 1) - 1]
+        return bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
 
 
 def _listed(values) -> list:

@@ -42,17 +42,29 @@ def quote(x) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(as_col(x), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
-_DROPPED = {ord(c): None for c in K.SEPARATORS}
+_DROPPED = set(K.SEPARATORS)
+
+
+class _Characters(dict):
+    """What normalising makes of each character (by code point) seen so far: it never depends on the ones around."""
+
+    def __missing__(self, point: int) -> str:
+        kept = (c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
+        # A character beyond ASCII may come apart into separators.
+        value = self[point] = "".join(c.lower() for c in kept if c not in _DROPPED)
+        return value
+
+    def __reduce__(self):
+        # Travels to workers empty.
+        return _Characters, ()
+
+
+_CHARACTERS = _Characters()
 
 
 def normalized(text: str | None) -> str | None:
     """``normalize_text`` of one text."""
-    if text is None:
-        return None
-    if text.isascii():
-        return text.translate(_DROPPED).lower()
-    kept = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return "".join(c.lower() for c in kept if ord(c) not in _DROPPED)
+    return None if text is None else text.translate(_CHARACTERS)
 
 
 @pandas_udf(T.StringType())

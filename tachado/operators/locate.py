@@ -7,7 +7,9 @@ looked for on a page travels to it as one list, and the page is walked once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado.functions.spelling import on_page, page_places, page_runs, page_stretches
 from tachado.functions.text import quote
@@ -29,19 +31,35 @@ def locate_tolerant(entities: DataFrame, words: DataFrame, fields: list[str] | N
     first to last and their ``fields``.
     """
     fields = fields or []
-    mine = entities.withColumn("_row", F.struct(*entities.columns)).groupBy(*_KEYS).agg(F.collect_list("_row").alias("_e"))
-    # Only the words of pages that have a target are brought together, and a page meets its targets as one row.
+    # Only the words of pages that have a target are brought together.
     row = F.struct("word_ord", "text", *fields)
     pages = words.join(entities.select(*_KEYS).distinct(), _KEYS, "left_semi").groupBy(*_KEYS).agg(
-        F.array_sort(F.collect_list(row)).alias("_w"))
-    found = pages.join(mine, _KEYS).withColumn("_runs", page_runs(
-        F.transform("_w", lambda w: w["text"]), F.transform("_e", lambda e: e["text"])))
-    hits = found.select("_e", "_w", F.explode("_runs").alias("_r"))
-    at = {k: F.col(f"_r.{k}") for k in ("target", "occurrence", "first", "last")}
-    return hits.select(F.get("_e", at["target"]).alias("_of"), "_w", "_r").select(
-        "_of.*", at["occurrence"].alias("occurrence"), F.get("_w", at["first"])["word_ord"].alias("first_word"),
-        F.get("_w", at["last"])["word_ord"].alias("last_word"),
-        F.slice("_w", at["first"] + 1, at["last"] - at["first"] + 1).alias("run"))
+        F.array_sort(F.collect_list(row)).alias("_words"))
+    return locate_in_pages(entities, pages, F.transform("_words", lambda w: w["text"]), lambda w, at: F.get("_words", at))
+
+
+def locate_in_pages(entities: DataFrame, pages: DataFrame, words: Column, laid: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """As ``locate_tolerant``, with the words of each page in order as an array of texts, stated by the page's row.
+
+    ``laid`` gives a word of a run as a struct, from its text and place; word_ord and text if None.  A page and its targets
+    meet by one shuffle, words are cut after it, and only those that are found become rows.
+    """
+    laid = laid or (lambda w, at: F.struct(at.alias("word_ord"), w.alias("text")))
+    rest = [c for c in entities.columns if c not in _KEYS]
+    mine = entities.groupBy(*_KEYS).agg(F.collect_list(F.struct(*rest)).alias("_e"))
+    met = pages.join(mine, _KEYS).withColumn("_w", words)
+    found = met.withColumn("_runs", page_runs("_w", F.transform("_e", lambda e: e["text"])))
+
+    def hit(r):
+        run = F.slice("_w", r["first"] + 1, r["last"] - r["first"] + 1)
+        return F.struct(F.get("_e", r["target"]).alias("of"), r["occurrence"].alias("occurrence"),
+                        F.transform(run, lambda w, i: laid(w, r["first"] + i)).alias("run"))
+
+    # A hit takes what is its own along, not the page.
+    hits = found.select(*_KEYS, F.explode(F.transform("_runs", hit)).alias("_r"))
+    kept = [F.col(c) if c in _KEYS else F.col(f"_r.of.{c}").alias(c) for c in entities.columns]
+    return hits.select(*kept, "_r.occurrence", F.get("_r.run", F.lit(0))["word_ord"].alias("first_word"),
+                       F.element_at("_r.run", -1)["word_ord"].alias("last_word"), "_r.run")
 
 
 def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
@@ -60,12 +78,12 @@ def locate_any_page(entities: DataFrame, pages: DataFrame) -> DataFrame:
     return entities.join(first, ["doc_id", "text"])
 
 
-def locate(entities: DataFrame, pages: DataFrame, words: DataFrame, ocr_words: DataFrame | None = None) -> DataFrame:
+def locate(entities: DataFrame, pages: DataFrame, words: DataFrame | Column, ocr_words: DataFrame | None = None) -> DataFrame:
     """How each entity is found: literally, tolerantly, on another page, in recognised words, or not.
 
     Each step only sees what the one before it left.  ``entities`` has doc_id, page,
-    ord and text.  What is left after the literal step is stored once, since the
-    later steps read it again and again.
+    ord and text; ``words`` are rows, or the texts of the words of ``pages`` as their rows state them.  What is left after the
+    literal step is stored once, since the later steps read it again and again.
     """
     ids = ["doc_id", "page", "ord"]
     mine = entities.filter(F.coalesce("text", F.lit("")) != "").select(*ids, "text")
@@ -73,7 +91,8 @@ def locate(entities: DataFrame, pages: DataFrame, words: DataFrame, ocr_words: D
     literal = stored(mine.join(texts, _KEYS, "left").select(
         *ids, "text", F.coalesce(F.contains("page_text", F.col("text")), F.lit(False)).alias("_exact")))
     left = literal.filter("not _exact").drop("_exact")
-    tolerant = stored(locate_tolerant(left, words).select(*ids).distinct().withColumn("_tolerant", F.lit(True)))
+    spelled = locate_in_pages(left, pages, words) if isinstance(words, Column) else locate_tolerant(left, words)
+    tolerant = stored(spelled.select(*ids).distinct().withColumn("_tolerant", F.lit(True)))
     left = left.join(tolerant, ids, "left_anti")
     moved = locate_any_page(left, pages).select(*ids, "found_page")
     out = literal.join(tolerant, ids, "left").join(moved, ids, "left")
@@ -100,9 +119,8 @@ def relocate(entities: DataFrame, pages: DataFrame) -> DataFrame:
     seen = stored(entities.join(texts, _KEYS, "left").withColumn("_here", literal).drop("page_text"))
     away = seen.filter("not _here").drop("_here")
     # A page that spells it tolerantly counts as its own.
-    tokens = pages.select("doc_id", "page", F.posexplode(F.filter(
-        F.split("text", r"[\p{IsWhite_Space}\x1c-\x1f]+", -1), lambda w: w != "")).alias("word_ord", "text"))
-    spelled = locate_tolerant(away, tokens).select(*_KEYS, "text").distinct()
+    tokens = F.array_remove(F.split("text", r"[\p{IsWhite_Space}\x1c-\x1f]+", -1), "")
+    spelled = locate_in_pages(away, pages, tokens).select(*_KEYS, "text").distinct()
     lost = stored(away.join(spelled, [*_KEYS, "text"], "left_anti"))
     found = locate_any_page(lost, pages).select(*_KEYS, "text", "found_page").distinct()
     return seen.drop("_here").join(found, [*_KEYS, "text"], "left").withColumn(
