@@ -13,8 +13,9 @@ from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from tachado.functions.text import normalized
 
@@ -99,10 +100,20 @@ def runs(words: Iterable[str | None], targets: Iterable[str | None]) -> list[tup
     return [(i, k, *laid.words_of(*at)) for i, t in enumerate(wanted) for k, at in enumerate(found.get(t, ()))]
 
 
-@pandas_udf(_struct("target", "occurrence", "first", "last"))
-def page_runs(words: pd.Series, targets: pd.Series) -> pd.Series:
-    """``runs`` of each page."""
-    return pd.Series([runs(_listed(w), _listed(t)) for w, t in zip(words, targets)], dtype=object)
+#: Pages whose words are Python's at once.
+PAGES = 128
+_RUN = ("target", "occurrence", "first", "last")
+_ARROW_RUNS = pa.list_(pa.struct([(f, pa.int32()) for f in _RUN]))
+
+
+@arrow_udf(_struct(*_RUN))
+def page_runs(words: pa.Array, targets: pa.Array) -> pa.Array:
+    """``runs`` of each page, a few pages at a time, so that a batch costs little beyond its own bytes."""
+    parts = []
+    for at in range(0, len(words), PAGES):
+        both = zip(words.slice(at, PAGES).to_pandas(), targets.slice(at, PAGES).to_pandas())
+        parts.append(pa.array([[dict(zip(_RUN, r)) for r in runs(_listed(w), _listed(t))] for w, t in both], _ARROW_RUNS))
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW_RUNS)
 
 
 @pandas_udf(T.ArrayType(_TEXT))
