@@ -216,12 +216,13 @@ def mix(docs: DataFrame, weigh=lambda i: i % 3 + 1, block: int = BLOCK, shard: i
 def drawn(made: Mix) -> DataFrame:
     """The mix itself: (shard, slot, at, rank, idx, start, words), what each slot holds of which document, in order of ``at``."""
     slots = made.slots.select("shard", "slot", "rank", "block", F.col("words").alias("_slot_words"))
-    each = made.pieces.join(slots, ["rank", "block"]).withColumn("words", F.least("words", F.col("_slot_words") - F.col("at")))
+    # Files of places and slots are a small part of their rows, so their size says nothing about whether the driver can hold them.
+    each = made.pieces.join(slots.hint("merge"), ["rank", "block"]).withColumn("words", F.least("words", F.col("_slot_words") - F.col("at")))
     return each.where("words > 0").select("shard", "slot", "at", "rank", "idx", "start", "words")
 
 
 def taken(made: Mix) -> DataFrame:
     """Every document with the number of its words in the mix."""
     used = drawn(made).groupBy("rank", "idx").agg(F.sum("words").alias("taken"))
-    return made.docs.join(used, ["rank", "idx"], "left").select(
+    return made.docs.join(used.hint("merge"), ["rank", "idx"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

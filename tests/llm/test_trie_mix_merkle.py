@@ -121,6 +121,13 @@ def test_mix_against_targets(spark):
     assert mixing.taken(mixing.mix(df.where("text = ''"))).selectExpr("sum(taken)").first()[0] == 0
 
 
+def test_mix_meets_its_blocks_without_the_driver(spark):
+    df = spark.range(500).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('a ', 40) AS text")
+    used = mixing.taken(mixing.mix(df, block=16, shard=500))
+    assert "Broadcast" not in used._jdf.queryExecution().executedPlan().toString()  # their files are small enough for it
+    assert 500 * 40 - 3 < used.selectExpr("sum(taken)").first()[0] <= 500 * 40  # whole words of three targets
+
+
 def test_mix_plans_take_whole_targets():
     rng = np.random.default_rng(1)
     for _ in range(300):
