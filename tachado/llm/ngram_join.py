@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tachado.llm.components import components
 from tachado.llm.tables import pieces, written
-from tachado.llm.words import WordHashes, split, windows
+from tachado.llm.words import distinct, lowered, windows
 
 SIZE, PERCENT = 3, 90
 #: Counters of the sketch that orders shingles by rarity; the order decides speed, never the result.
@@ -37,11 +37,14 @@ MEMBERS, BROADCAST_ROWS = 500, 1_000_000
 OWN = 1 << 62
 
 
-def shingles(text: str | None, known: WordHashes, size: int = SIZE) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of a text, A-Z lower-cased; of all its words if they are fewer."""
-    words = split(text)
-    raw = known.of([w.lower() for w in words]) if words else np.zeros(0, np.uint64)  # bytes: A-Z only
-    return np.unique(windows(raw, min(size, len(raw)))) if len(raw) else raw
+def shingles(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
+    """The sorted hashes of the distinct shingles of each text, A-Z lower-cased; of all its words if they are fewer."""
+    words, counts = lowered(texts)
+    every, out, at = windows(words, size), [], 0
+    for n in counts.tolist():
+        out.append(distinct(every[at:at + n - size + 1] if n >= size else windows(words[at:at + n], n)) if n else words[:0])
+        at += n
+    return out
 
 
 def required(n: int, percent: int = PERCENT) -> int:
@@ -59,10 +62,10 @@ def rarity(docs: DataFrame, size: int = SIZE) -> np.ndarray:
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        known, counts = WordHashes(), np.zeros(1 << CELLS_LOG2, np.uint32)
+        counts = np.zeros(1 << CELLS_LOG2, np.uint32)
         for batch in batches:
             for part in pieces(batch, "text"):
-                cells = [shingles(t, known, size) >> np.uint64(64 - CELLS_LOG2) for t in part.column("text").to_pylist()]
+                cells = [s >> np.uint64(64 - CELLS_LOG2) for s in shingles(part.column("text").to_pylist(), size)]
                 counts += np.bincount(np.concatenate(cells).astype(np.int64), minlength=1 << CELLS_LOG2).astype(np.uint32)
         if counts.any():
             low = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, -1)
@@ -90,10 +93,10 @@ def sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     ranks = docs.sparkSession.sparkContext.broadcast(rarity(docs, size).tobytes())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = WordHashes(), np.frombuffer(ranks.value, np.uint8)
+        rank = np.frombuffer(ranks.value, np.uint8)
         for batch in batches:
             for part in pieces(batch, "text"):
-                every = [shingles(t, known, size) for t in part.column("text").to_pylist()]
+                every = shingles(part.column("text").to_pylist(), size)
                 rare = []
                 for s in every:
                     order = np.argsort(rank[(s >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)], kind="stable")
@@ -127,14 +130,15 @@ def verified(docs: DataFrame, pairs: DataFrame, places: DataFrame, size: int = S
     sent = rows.select("doc_id", F.explode("to").alias("to"), "text").select("to.head", "to.portion", "to.first", "doc_id", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, head, own = WordHashes(), None, None
+        head, own = None, None
         for batch in batches:
             for part in pieces(batch, "text"):
                 out = []
-                for h, p, first, doc, text in zip(*(part.column(c).to_pylist() for c in ("head", "portion", "first", "doc_id", "text"))):
+                every = shingles(part.column("text").to_pylist(), size)
+                for h, p, first, doc, found in zip(*(part.column(c).to_pylist() for c in ("head", "portion", "first", "doc_id")), every):
                     if first:
-                        head, own = (h, p), shingles(text, known, size)
-                    elif head == (h, p) and linked(own, shingles(text, known, size), percent):
+                        head, own = (h, p), found
+                    elif head == (h, p) and linked(own, found, percent):
                         out.append((h, doc))
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
@@ -178,8 +182,7 @@ def searched(frame: pd.DataFrame, size: int, percent: int) -> list[tuple[int, in
     Whoever comes up in the short lists and is in another component is looked for in the long ones: each is probed by a
     binary search of its shingle in the member's sorted set.
     """
-    known = WordHashes()
-    every = [shingles(t, known, size) for t in frame["text"]]
+    every = shingles(frame["text"].tolist(), size)
     ids, side = frame["doc_id"].tolist(), frame["side"].to_numpy()
     both = (side == 0).any() and (side == 1).any()
     component, root, out = frame["component"].tolist(), {c: c for c in frame["component"]}, []

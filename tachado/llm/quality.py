@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tachado.llm.tables import pieces, written
-from tachado.llm.words import KEPT
+from tachado.llm.words import KEPT, distinct
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 SEEDS = {"labelled": 11, "held": 17}
@@ -72,20 +72,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class FeatureHashes(dict):
-    """Hashes of features, kept for those seen first."""
+    """Hashes of the features of a run of characters that are not blank, as bytes, kept for those seen first."""
 
-    def __missing__(self, feature: str) -> int:
-        value = xxhash.xxh3_64_intdigest(feature.encode())
+    def __missing__(self, run: str) -> bytes:
+        words = (run,) if run.isalnum() else TOKEN.findall(run)
+        digest = xxhash.xxh3_64_digest
+        value = b"".join([digest(w) if len(w) <= 4 else digest(w) + digest(w[:4] + "*") for w in words])
         if len(self) < KEPT:
-            self[feature] = value
+            self[run] = value
         return value
 
 
 def features(text: str | None, known: FeatureHashes) -> np.ndarray:
-    """Sorted hashes of a text's words, and of the first letters of longer ones, which a word not seen before may share."""
-    words = set(TOKEN.findall((text or "").lower()))
-    words |= {w[:4] + "*" for w in words if len(w) > 4}
-    return np.unique(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+    """Sorted hashes of a text's words, and of the first letters of longer ones, which a word not seen before may share.
+
+    No word holds a blank, so a run of other characters says its words by itself.
+    """
+    runs = set((text or "").lower().split())
+    return distinct(np.frombuffer(b"".join(map(known.__getitem__, runs)), ">u8").astype(np.uint64))
 
 
 def metadata(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
