@@ -30,7 +30,7 @@ KEPT = 700_000
 
 
 #: Bytes of a cut up to which it is merged here, and of cuts merged at once.
-SHORT, GROUP = 60, 1 << 18
+SHORT, GROUP = 60, 1 << 16
 #: In place of a rank where a pair has none; ranks and a place below 64 go in 32 bits.
 NONE = 1 << 20
 
@@ -54,7 +54,7 @@ class Merges:
             if len(keys):  # those whose place is taken go to a further table
                 at = self._at(keys, factor)
                 _, own = np.unique(at, return_index=True)
-                table = np.full(1 << 20, 0xFFFFFFFF, np.uint32), np.full(1 << 20, NONE, np.uint32)
+                table = np.full(1 << 18, 0xFFFFFFFF, np.uint32), np.full(1 << 18, NONE, np.uint32)
                 table[0][at[own]], table[1][at[own]] = keys[own], ranks[own]
                 self.tables.append((factor, *table))
                 keys, ranks = np.delete(keys, own), np.delete(ranks, own)
@@ -74,7 +74,7 @@ class Merges:
 
     @staticmethod
     def _at(keys: np.ndarray, factor: int) -> np.ndarray:
-        return (keys ^ keys >> np.uint32(15)) * np.uint32(factor) >> np.uint32(12)
+        return (keys ^ keys >> np.uint32(15)) * np.uint32(factor) >> np.uint32(14)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys, out = left << np.uint32(16) | right, np.full(len(left), NONE, np.uint32)
